@@ -109,22 +109,22 @@ def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _blocks(key, batches: Iterator[pa.RecordBatch], least: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _blocks(key: tuple, table: pa.Table, least: int, num: int, den: int) -> pa.Table:
     """Pairs of two blocks of a bucket whose minima agree and whose components differ."""
-    table = pa.Table.from_batches(batches)
     side = table.column("side").to_numpy()
     left = table.filter(pa.array(side == 0))
     right = table.filter(pa.array(side == 1)) if key[1].as_py() != key[2].as_py() else left
-    if not left.num_rows or not right.num_rows:
-        return
-    ids, n, comp, low = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "n", "component", "id"))
-    low = [np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(-1, MINIMA) for t in (left, right)]
-    for i in range(left.num_rows):
-        fits = ((low[1] == low[0][i]).sum(1) >= least) & (comp[1] != comp[0][i]) & (ids[1] != ids[0][i])
-        fits &= den * np.minimum(n[1], n[0][i]) >= num * np.maximum(n[1], n[0][i])
-        if fits.any():
-            other = ids[1][fits]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[0][i])), pa.array(np.maximum(other, ids[0][i]))], ["a", "b"])
+    out: tuple[list[np.ndarray], list[np.ndarray]] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    if left.num_rows and right.num_rows:
+        ids, n, comp = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "n", "component"))
+        low = [np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(-1, MINIMA) for t in (left, right)]
+        for i in range(left.num_rows):
+            fits = (comp[1] != comp[0][i]) & (den * np.minimum(n[1], n[0][i]) >= num * np.maximum(n[1], n[0][i]))
+            near = np.flatnonzero(fits)
+            other = ids[1][near[(low[1][near] == low[0][i]).sum(1) >= least]]
+            out[0].append(np.minimum(other, ids[0][i]))
+            out[1].append(np.maximum(other, ids[0][i]))
+    return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
 
 
 class _Links:
@@ -237,5 +237,9 @@ def _rest(rest: DataFrame, links: _Links) -> DataFrame:
     dealt = rest.join(sized, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(links.classes.select("id", "minima"), "id")
     each = dealt.select("key", "id", "n", "component", "minima", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     laid = each.select("key", "id", "n", "component", "minima", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    found = laid.groupBy("key", "i", "j").applyInArrow(partial(_blocks, least=agreement(links.num, links.den), num=links.num, den=links.den), "a long, b long")
-    return found.distinct()
+    least, num, den = agreement(links.num, links.den), links.num, links.den
+
+    def pairs(key, table):
+        return _blocks(key, table, least, num, den)
+
+    return laid.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
