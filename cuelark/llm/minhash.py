@@ -10,9 +10,12 @@ The shape of the job, each step linear in what it reads:
    most central class (the one whose buckets are fullest) against all others.
 3. Pairs whose minima agree too rarely are dropped, the rest are confirmed on
    the full sets, and confirmed links are merged into components.
-4. A large bucket whose classes now lie in one component is done. The rest give
-   further stars; what two rounds leave over is compared block by block, so no
-   link between different sets is lost and no bucket is ever gathered whole.
+4. Classes that stars hold together are a family; it is done if it now lies in one
+   component. In the others every class outside the largest component that shares
+   enough shingles with the family to have a link at all is compared with the
+   family on full sets, in blocks of bounded size, so no link between different
+   sets is lost and no group is ever gathered whole. A block gives a spanning
+   forest of its links, not all of them.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 #: Largest bucket that gives all its pairs.
 SMALL = 16
-#: Star rounds before what is left is compared block by block, and the block's classes.
-STAR_ROUNDS, BLOCK = 2, 512
+#: Classes and shingles of a block at most (about), and columns of its matrix at a time.
+BLOCK, BLOCK_ITEMS, COLUMNS = 2048, 1_000_000, 1024
 #: Ids of which the text join may be broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -109,22 +112,65 @@ def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _blocks(key: tuple, table: pa.Table, least: int, num: int, den: int) -> pa.Table:
-    """Pairs of two blocks of a bucket whose minima agree and whose components differ."""
+def _forest(links: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a bipartite graph given as a boolean matrix, as (row, column)."""
+    rows_left, columns_left = links.any(1), links.any(0)
+    for root in range(len(links)):
+        if not rows_left[root]:
+            continue
+        rows_left[root] = False
+        rows = [root]
+        while rows:
+            row = rows.pop()
+            for column in np.flatnonzero(links[row] & columns_left):
+                columns_left[column] = False
+                yield row, int(column)
+                more = np.flatnonzero(links[:, column] & rows_left)
+                rows_left[more] = False
+                yield from ((int(r), int(column)) for r in more)
+                rows.extend(more.tolist())
+
+
+def _linked(table: pa.Table, same: bool, num: int, den: int) -> pa.Table:
+    """A spanning forest of the links between two blocks (or inside one) of different components.
+
+    Sizes of intersections are a product of two incidence matrices over the
+    shingles that more than one set has, some columns at a time.
+    """
     side = table.column("side").to_numpy()
-    left = table.filter(pa.array(side == 0))
-    right = table.filter(pa.array(side == 1)) if key[1].as_py() != key[2].as_py() else left
-    out: tuple[list[np.ndarray], list[np.ndarray]] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
-    if left.num_rows and right.num_rows:
-        ids, n, comp = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "n", "component"))
-        low = [np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(-1, MINIMA) for t in (left, right)]
-        for i in range(left.num_rows):
-            fits = (comp[1] != comp[0][i]) & (den * np.minimum(n[1], n[0][i]) >= num * np.maximum(n[1], n[0][i]))
-            near = np.flatnonzero(fits)
-            other = ids[1][near[(low[1][near] == low[0][i]).sum(1) >= least]]
-            out[0].append(np.minimum(other, ids[0][i]))
-            out[1].append(np.maximum(other, ids[0][i]))
-    return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
+    at = [np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))]
+    if not len(at[0]) or not len(at[1]):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+    n = np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    live = np.cumsum(count > 1) - 1
+    owner, keep = np.repeat(np.arange(len(sets)), n), (count > 1)[column]
+    column, owner = live[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((len(at[0]), len(at[1])), np.float32)
+    for low in range(0, int(live[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[owner[a:b], column[a:b] - low] = 1
+        shared += dense[at[0]] @ dense[at[1]].T
+    n, c, i = ([x[k] for k in at] for x in (n, comp, ids))
+    links = (den * shared >= num * (n[0][:, None] + n[1] - shared)) & (c[0][:, None] != c[1])
+    found = list(_forest(links))
+    left, right = i[0][[r for r, _ in found]], i[1][[k for _, k in found]]
+    return pa.table({"a": np.minimum(left, right).astype(np.int64), "b": np.maximum(left, right).astype(np.int64)})
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
+        ids, family = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in sets]) for c in ("id", "family"))
+        for a in range(0, len(ids), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(family[part]), pa.array(np.concatenate(sets)[part])], ["id", "family", "item"])
 
 
 class _Links:
@@ -155,19 +201,49 @@ class _Links:
         return pairs.join(a, "a").join(b, "b").mapInArrow(partial(_confirmed, num=self.num, den=self.den), "a long, b long")
 
 
-def _star(big: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's most central class with those of other components, and the buckets without it."""
-    hub = big.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("central", -F.col("id"))).alias("hub"))
-    met = big.join(hub, "key")
-    pairs = met.where("id <> hub.id and component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    return pairs, met.where("id <> hub.id").drop("hub", "component")
+def _stars(big: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's most central class, the hub, with every other class in it."""
+    hub = big.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
+    met = big.join(hub, "key").where("id <> hub")
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _settled(stars: DataFrame, comps: DataFrame, links: _Links) -> DataFrame | None:
+    """Edges for the links that stars have missed in families of more than one component; None if there are no such.
+
+    A class with fewer than ``tau * n`` shingles that occur elsewhere in the family
+    has no link. Nor has one whose shared shingles allow only smaller partners than
+    the family has: a link needs ``tau / (1 + tau) * (n_a + n_b)`` in common.
+    """
+    num, den = links.num, links.den
+    families = connected_components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "family")
+    named = families.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
+    mixed_ones = named.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
+    rest = cut(named.join(mixed_ones, "family"))
+    if rest.isEmpty():
+        return None
+    held = cut(rest.join(links.sets, "id"))
+    alone = held.mapInArrow(_items, "id long, family long, item long").groupBy("family", "item").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
+    own = alone.groupBy("id").agg(F.count("*").alias("own"))
+    n = F.octet_length("items") / 8
+    sized = held.join(own, "id", "left").withColumn("n", n.cast("long")).withColumn("live", F.col("n") - F.coalesce("own", F.lit(0)))
+    largest = sized.groupBy("family", "component").agg(F.count("*").alias("c"), F.min("n").alias("least")).groupBy("family").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.min("least").alias("least"))
+    most = F.col("live") * (num + den) / F.lit(float(num)) - F.col("n")
+    able = (F.col("live") * den >= F.col("n") * num) & (most + 1e-9 >= F.col("least"))
+    sized = cut(sized.join(largest, "family").where(able).select("id", "family", "component", "items", "n", (F.col("component") == F.col("main")).cast("int").alias("inside")))
+    blocks = sized.groupBy("family").agg(*[
+        F.ceil(F.greatest(F.sum(F.when(F.col("inside") == k, 1).otherwise(0)) / BLOCK, F.sum(F.when(F.col("inside") == k, F.col("n")).otherwise(0)) / BLOCK_ITEMS)).cast("long").alias(f"blocks_{k}") for k in (0, 1)
+    ])
+    dealt = sized.join(blocks, "family").where("blocks_0 > 0")
+    mine = dealt.withColumn("mine", F.when(F.col("inside") == 1, F.col("blocks_0") + F.pmod(F.xxhash64("id"), F.col("blocks_1"))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks_0"))))
+    # Blocks outside the largest component meet all blocks, those inside it only the ones outside.
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("inside") == 1, F.col("blocks_0")).otherwise(F.col("blocks_0") + F.col("blocks_1")) - 1)
+    laid = mine.withColumn("other", F.explode(others)).select("id", "family", "component", "items", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
 
+    def pairs(key, table):
+        return _linked(table, key[1].as_py() == key[2].as_py(), num, den)
 
-def _open(big: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of large buckets that still span more than one component, with their components."""
-    named = big.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return named.join(still, "key", "left_semi")
+    return laid.groupBy("family", "i", "j").applyInArrow(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = WORDS) -> DataFrame:
@@ -201,27 +277,16 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = WOR
 
     links = _Links(texts, classes, k, num, den)
     if wide:
-        starred, big = _star(big.withColumn("component", F.col("id")))
-        pairs, big = pairs.unionByName(starred).distinct(), cut(big)
+        stars = cut(_stars(big))
+        pairs = pairs.unionByName(stars).distinct()
     pairs = cut(links.alike(pairs))
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    if wide:
-        asked = asked.unionByName(big.select("id"))
-    links.gather(asked)
+    links.gather(asked.unionByName(big.select("id")) if wide else asked)
     same = known.join(first, ["n", "d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    edges = cut(links.confirmed(pairs))
-    comps = connected_components(edges)
-    for turn in range(STAR_ROUNDS + 1) if wide else ():
-        rest = cut(_open(big, comps))
-        if rest.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            more, big = _star(rest)
-            big = cut(big)
-        else:
-            more = _rest(rest, links)
-        edges = cut(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.confirmed(cut(links.alike(more)))))
-        comps = connected_components(edges)
+    comps = connected_components(cut(links.confirmed(pairs)))
+    more = _settled(stars, comps, links) if wide else None
+    if more is not None:
+        comps = connected_components(cut(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     # Copies join the component of their class.
     hung = same.join(comps.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
@@ -231,15 +296,19 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = WOR
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def _rest(rest: DataFrame, links: _Links) -> DataFrame:
-    """Candidate pairs of the buckets that stars did not settle, compared block by block."""
-    sized = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = rest.join(sized, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(links.classes.select("id", "minima"), "id")
-    each = dealt.select("key", "id", "n", "component", "minima", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    laid = each.select("key", "id", "n", "component", "minima", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    least, num, den = agreement(links.num, links.den), links.num, links.den
+def deduplicated(docs: DataFrame, num: int = 80, den: int = 100, k: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` without near copies, with their columns as they were.
 
-    def pairs(key, table):
-        return _blocks(key, table, least, num, den)
-
-    return laid.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+    The document of the smallest doc_id stays of each component of
+    ``near_duplicates``; one row of it, if several repeat its doc_id. Rows without
+    doc_id stay.
+    """
+    found = near_duplicates(docs, num, den, k)
+    gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    named, nameless = left.where("doc_id is not null"), left.where("doc_id is null")
+    return named.dropDuplicates(["doc_id"]).unionByName(nameless)
