@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from cuelark.llm import decontam, html_extract, langid, mixing, pii, quality, sharding, spotsigs, toxicity
 from cuelark.llm.minhash import near_duplicates
 
 
@@ -12,13 +12,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs.where(~langid.held_out(docs["doc_id"]))))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
 
-QUERIES = {
-    "op2_minhash": op2_minhash,
-}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_minhash, op3_decontamination, op4_pii, op5_spotsigs, op6_toxicity, op7_quality, op8_html, op9_mixing, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -40,3 +77,45 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, d.n AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d JOIN comp c USING (doc_id)
 """
+
+#: Sainte-Laguë by ranking every quotient; targets by raising the level source by source.
+ORACLE_SQL["op9_mixing"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS ticket FROM documents),
+s AS MATERIALIZED (
+  SELECT source, sum(size)::BIGINT AS source_size, ceil(count(*) / 4096.0)::BIGINT AS shards,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS w
+  FROM d GROUP BY source),
+o AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS id, 3 * source_size::DOUBLE AS cap,
+    row_number() OVER (ORDER BY 3 * source_size::DOUBLE / w, source NULLS LAST) AS turn, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+fill(turn, rest, weights, level) AS (
+  SELECT 0, max(total), sum(w), max(total) / sum(w) FROM o
+  UNION ALL
+  SELECT f.turn + 1, f.rest - o.cap, f.weights - o.w, (f.rest - o.cap) / nullif(f.weights - o.w, 0)
+  FROM fill f JOIN o ON o.turn = f.turn + 1 WHERE o.cap / o.w <= f.level),
+ending AS (SELECT level FROM fill ORDER BY turn DESC LIMIT 1),
+aim AS MATERIALIZED (SELECT o.*, CASE WHEN cap / w <= level OR level IS NULL THEN cap ELSE level * w END AS target FROM o, ending),
+n AS (SELECT floor(sum(target) / 64)::BIGINT AS n FROM aim),
+seat AS MATERIALIZED (
+  SELECT id, count(*) AS blocks FROM (
+    SELECT id, row_number() OVER (ORDER BY q DESC, id) AS place FROM (
+      SELECT id, source, target / (2 * k + 1) AS q FROM aim, n, range(0, n.n) r(k) WHERE target > 0 AND k <= ceil(2 * target / 64) + 1)), n
+  WHERE place <= n.n GROUP BY id),
+p AS MATERIALIZED (
+  SELECT d.*, a.id, a.source_size, a.target, coalesce(t.blocks, 0) AS blocks, ('0x' || substr(d.ticket, 1, 8))::BIGINT % a.shards AS shard
+  FROM d JOIN aim a ON d.source IS NOT DISTINCT FROM a.source LEFT JOIN seat t ON t.id = a.id),
+cell AS MATERIALIZED (SELECT id, shard, blocks, sum(size)::BIGINT AS cell FROM p GROUP BY id, shard, blocks),
+quota AS MATERIALIZED (
+  SELECT id, shard, count(*) AS quota FROM (
+    SELECT id, shard, blocks, row_number() OVER (PARTITION BY id ORDER BY cell / (2.0 * k + 1) DESC, shard) AS place FROM cell, range(0, (SELECT max(blocks) FROM cell)) r(k) WHERE cell > 0 AND k < blocks)
+  WHERE place <= blocks GROUP BY id, shard),
+laid AS (
+  SELECT p.*, c.cell, least(coalesce(q.quota, 0) * 64, 3 * c.cell)::BIGINT AS words,
+    (sum(size) OVER (PARTITION BY p.id, p.shard ORDER BY ticket, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+  FROM p JOIN cell c USING (id, shard) LEFT JOIN quota q USING (id, shard))
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  CASE WHEN cell = 0 THEN 0 ELSE words // cell * size + greatest(least(start + size, words % cell) - start, 0) END::BIGINT AS taken
+FROM laid
+"""
