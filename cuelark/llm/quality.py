@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cuelark.llm.textbatch import flat
 
@@ -159,8 +160,8 @@ def fit(ids: np.ndarray, labels: np.ndarray, parts: list[bytes]) -> Network:
     weight /= weight.mean()
     rate = np.clip((y * weight).sum() / weight.sum(), 0.01, 0.99)
     net.p["out_shift"][:] = np.log(rate / (1 - rate))
-    m, v, turn = ({k: np.zeros_like(w) for k, w in net.p.items()} for _ in range(2)), None, 0
-    m, v = m
+    m, v = ({k: np.zeros_like(w) for k, w in net.p.items()} for _ in range(2))
+    turn = 0
     steps = EPOCHS * -(-len(y) // BATCH)
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
@@ -218,7 +219,7 @@ def _scored(batches: Iterator[pa.RecordBatch], net, text: str, score: str) -> It
 def with_score(docs: DataFrame, net: Network, score: str, text: str = "text") -> DataFrame:
     """``docs`` with one more column, the probability of its text; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    return docs.mapInArrow(partial(_scored, net=shared, text=text, score=score), docs.schema.add(score, "double"))
+    return docs.mapInArrow(partial(_scored, net=shared, text=text, score=score), StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 
 def classify(docs: DataFrame, net: Network, least: float = REJECT_BELOW) -> DataFrame:
