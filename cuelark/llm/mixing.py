@@ -52,8 +52,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         "left_w": F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
         "full": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
     }).withColumn("level", (F.col("total") - F.col("full")) / F.col("left_w"))
-    free = F.min(F.when(F.col("cap") / F.col("w") > F.col("level"), F.col("level"))).over(all_rows)
-    # The level falls short of no cap only where every size is 0.
+    # The first source in that order that does not stop has the level.
+    free = F.min(F.when(F.col("cap") / F.col("w") > F.col("level"), F.struct(F.row_number().over(stops).alias("turn"), "level"))).over(all_rows)["level"]
     return rows.select("source", "source_size", F.least("cap", F.coalesce(free * F.col("w"), F.col("cap"))).alias("target"))
 
 
