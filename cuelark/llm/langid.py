@@ -23,7 +23,7 @@ from cuelark.llm.storage import cut
 from cuelark.llm.textbatch import U64, mixed
 
 #: Lengths of the n-grams, in characters; a word's edges count as blanks.
-LENGTHS = (2, 3, 4)
+LENGTHS = (2, 3, 4)  # 2 at least
 #: Positions of a filter (8 languages a byte), positions of an n-gram, n-grams of a language at most.
 POSITIONS, PROBES, MOST_GRAMS = 1 << 20, 3, 100_000
 #: Documents that a language is learnt from at most (about; dealt by a hash of the text).
@@ -72,9 +72,10 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h += (code[j : j + m] + U64(1)) * GRAM_FACTORS[j]
             if 0 < j < n - 1:
                 whole &= is_letter[j : j + m]
-        whole &= is_letter[:m] | is_letter[n - 1 : n - 1 + m]
+        if n == 2:
+            whole &= is_letter[:m] | is_letter[1 : 1 + m]
         hashes.append(mixed(h[whole] + U64(n)))
-        owners.append(np.where(is_letter[:m], text[:m], text[n - 1 : n - 1 + m])[whole])
+        owners.append((text[1 : 1 + m] if n > 2 else np.where(is_letter[:m], text[:m], text[1 : 1 + m]))[whole])
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64), has[:-1]
     return np.concatenate(hashes), np.concatenate(owners), has[:-1]
