@@ -85,8 +85,8 @@ def words(data: np.ndarray, begins: np.ndarray, between: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, begins)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from one running sum over all bytes."""
+def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, from one running sum over all of them."""
     if not len(starts):
         return np.empty(0, np.uint64)
     value = BYTE_VALUE[data]
@@ -98,6 +98,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(h + (ends - starts).astype(np.uint64))
 
 
+word_hashes = part_hashes
+
+
 def hashed_words(column, between: np.ndarray = BLANKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes, first word of each text) for runs of texts; A-Z count as a-z."""
     data, begins = flat(column)

@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max index.
 
-Texts are vectors over the words whose use tells the two labels apart in the
-labelled sample. The examples stand in an inverted index whose lists are cut into
-blocks of examples; each block keeps the largest weight of each word, so a bound
-on every block's cosines is known beforehand and blocks that cannot hold one of
-the nearest are never opened: the result is exact. The votes of the nearest,
+Texts are vectors over the terms, words and beginnings of words, whose use tells
+the two labels apart in the labelled sample. The examples stand in an inverted
+index whose lists are cut into blocks of examples; each block keeps the largest
+weight of each term, so a bound on every block's cosines is known beforehand and
+blocks that cannot hold one of the nearest are never opened: the result is exact. The votes of the nearest,
 weighted by likeness, with a little of the base rate, are the score; the nearest
 examples' ids are its evidence.
 """
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelark.llm.storage import cut
-from cuelark.llm.textbatch import NOT_WORD, hashed_words
+from cuelark.llm.textbatch import LOWER, NOT_WORD, U64, flat, pieces, part_hashes, word_hashes, words
 
-#: Labelled examples at most, and words at most; both bound what is broadcast.
-EXAMPLES, WORDS_MOST = 20_000, 2_000
-#: A word is used if in so many examples, with so large a chi-squared of word and label.
+#: Labelled examples at most, and terms at most; both bound what is broadcast.
+EXAMPLES, TERMS_MOST = 10_000, 2_000
+#: A term is used if in so many examples, with so large a chi-squared of term and label.
 LEAST_DOCS, LEAST_CHI2 = 8, 25.0
+#: Bytes of the beginnings that are terms, of words that are longer.
+BEGINNINGS = (5, 6, 7, 8)
 NEAREST, EVIDENCE, BLOCK = 50, 3, 128
 #: Weight of the base rate among the votes, and power of the likeness.
 PRIOR, POWER = 1.0, 4
@@ -34,26 +36,46 @@ PRIOR, POWER = 1.0, 4
 REMEMBERED = 200_000
 
 
+def terms(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first text, term hashes, the text of each, texts) for runs of texts."""
+    data, begins = flat(column)
+    for i, j in pieces(begins):
+        part, at = LOWER[data[begins[i] : begins[j]]], begins[i : j + 1] - begins[i]
+        starts, ends, first = words(part, at, NOT_WORD)
+        owner = np.repeat(np.arange(j - i), np.diff(first))
+        hashes, owners = [word_hashes(part, starts, ends)], [owner]
+        for n in BEGINNINGS:
+            longer = ends - starts > n
+            hashes.append(part_hashes(part, starts[longer], starts[longer] + n) ^ U64(n))
+            owners.append(owner[longer])
+        yield i, np.concatenate(hashes), np.concatenate(owners), j - i
+
+
 def term_counts(column, vocabulary: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in the sorted vocabulary, times) of each text, from all its words."""
-    for _, h, first in hashed_words(column, NOT_WORD):
-        at = np.searchsorted(vocabulary, h)
-        hit = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == h) if len(vocabulary) else np.empty(0, np.int64)
-        cuts = np.searchsorted(hit, first)
+    """(places in the sorted vocabulary, times) of each text, from all its terms."""
+    table = np.zeros(1 << 16, bool)
+    table[(vocabulary >> U64(48)).astype(np.int64)] = True
+    for _, h, owner, n in terms(column):
+        maybe = np.flatnonzero(table[(h >> U64(48)).astype(np.int64)])
+        at = np.searchsorted(vocabulary, h[maybe])
+        real = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h[maybe] if len(vocabulary) else np.zeros(len(maybe), bool)
+        at, who = at[real], owner[maybe[real]]
+        order = np.argsort(who, kind="stable")
+        at, cuts = at[order], np.searchsorted(who[order], np.arange(n + 1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield np.unique(at[hit[a:b]], return_counts=True)
+            yield np.unique(at[a:b], return_counts=True)
 
 
 @dataclass
 class Index:
     """Examples in an inverted index with block maxima; scores new texts."""
 
-    vocabulary: np.ndarray  # sorted word hashes
+    vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray
     ids: np.ndarray  # of the examples
     votes: np.ndarray  # their labels
-    lists: list[tuple[np.ndarray, np.ndarray]]  # a word's examples and weights
-    base: float  # rate of label 1 among examples without any of the words
+    lists: list[tuple[np.ndarray, np.ndarray]]  # a term's examples and weights
+    base: float  # rate of label 1 among examples without any of the terms
     seen: dict[bytes, tuple[float, list[int]]] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -109,16 +131,18 @@ class Index:
         self.__post_init__()
 
 
-def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By parts, in how many examples of label 1 and 0 each word is."""
+def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By parts, in how many examples of label 1 and 0 each term is."""
     for batch in batches:
         labels = batch.column("label").to_numpy()
-        for i, h, first in hashed_words(batch.column("text"), NOT_WORD):
-            sets = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            own = np.repeat(labels[i : i + len(sets)], [len(s) for s in sets])
-            word, where = np.unique(np.concatenate(sets), return_inverse=True)
-            pos, every = np.bincount(where, own, len(word)).astype(np.int64), np.bincount(where, minlength=len(word))
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(pos), pa.array(every - pos)], ["word", "pos", "neg"])
+        for i, h, owner, _ in terms(batch.column("text")):
+            order = np.lexsort((owner, h))
+            h, owner = h[order], owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            term, where = np.unique(h[new], return_inverse=True)
+            pos, every = np.bincount(where, labels[i + owner[new]], len(term)).astype(np.int64), np.bincount(where, minlength=len(term))
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(pos), pa.array(every - pos)], ["term", "pos", "neg"])
 
 
 def _examples(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
@@ -130,7 +154,7 @@ def _examples(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Reco
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """One row a task: its texts, and in how many of them each word is."""
+    """One row a task: its texts, and in how many of them each term is."""
     total, n = np.zeros(len(vocabulary.value), np.int64), 0
     for batch in batches:
         n += batch.num_rows
@@ -142,9 +166,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES) -> Index:
     """The index of at most ``most`` labelled examples that are not held out, of ``labels(doc_id, <label>)``.
 
-    Word statistics of the labels come from the examples; document frequencies
-    for the IDF come from all of ``docs(doc_id, text)``. The driver gets the words
-    (WORDS_MOST) and the examples' vectors over them. Repeated labels of a document
+    Statistics of terms and labels come from the examples; document frequencies
+    for the IDF come from all of ``docs(doc_id, text)``. The driver gets the terms
+    (TERMS_MOST) and the examples' vectors over them. Repeated labels of a document
     count once, as the largest; null labels and ids do not count.
     """
     sc = docs.sparkSession.sparkContext
@@ -154,14 +178,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(few), "id").select(F.col("id").cast("long").alias("id"), "ticket", "label", "text")
 
-    each = cut(sample.mapInArrow(_word_labels, "word long, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DOCS))
+    each = cut(sample.mapInArrow(_term_labels, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DOCS))
     counts = {r.label: r["count"] for r in few.groupBy("label").count().collect()}
     p, n = float(counts.get(1, 0)), float(counts.get(0, 0))
     cross = F.col("pos") * (n - F.col("neg")) - F.col("neg") * (p - F.col("pos"))
     margins = (F.col("pos") + F.col("neg")) * (p + n - F.col("pos") - F.col("neg")) * p * n
     chi2 = F.when(margins > 0, cross * cross * (p + n) / margins).otherwise(0.0)
-    kept = each.select("word", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(WORDS_MOST).toArrow()
-    vocabulary = np.sort(kept["word"].to_numpy().view(np.uint64))
+    kept = each.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS_MOST).toArrow()
+    vocabulary = np.sort(kept["term"].to_numpy().view(np.uint64))
 
     shared = sc.broadcast(vocabulary)
     parts = texts.select("text").mapInArrow(partial(_document_counts, vocabulary=shared), "n long, df array<long>")
@@ -173,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     got = sample.mapInArrow(partial(_examples, vocabulary=shared), "id long, ticket long, label int, terms array<long>, times array<long>").toArrow()
     order = sorted(range(got.num_rows), key=lambda i, t=got["ticket"].to_pylist(), d=got["id"].to_pylist(): (t[i], d[i]))
-    got = got.take(order)
+    got = got.take(pa.array(order, pa.int64()))
     ids, votes = got["id"].to_numpy(), got["label"].to_numpy().astype(np.float64)
     index = Index(vocabulary, idf, ids, votes, [], 0.0)
     lists: list[tuple[list[int], list[float]]] = [([], []) for _ in vocabulary]
@@ -202,7 +226,7 @@ def classify(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for each row of ``docs(doc_id, text)``.
 
     ``predicted`` is 1 from a score of 0.5 up; ``evidence`` lists the nearest
-    examples' ids. A text without any of the words (also a null or empty one) has
+    examples' ids. A text without any of the terms (also a null or empty one) has
     the rate of such examples and no evidence. Whole texts count, however long;
     repeated rows are rows of their own; a null doc_id is not held out; an empty
     table gives an empty one; other columns are never read.
