@@ -27,7 +27,7 @@ STRIDE, TAPS, DEPTH, FILTERS, HIDDEN = 4, 3, 8, 32, 16
 BLOCKS = CHUNK // STRIDE
 PLACES = BLOCKS - TAPS + 1
 #: The classifier is fitted on so many labelled documents at most, and so many chunks of each.
-FIT_DOCS, FIT_CHUNKS = 5_000, 4
+FIT_DOCS, FIT_CHUNKS = 8_000, 4
 EPOCHS, BATCH, RATE, SEED = 5, 64, 3e-3, 5
 #: Chunks scored together: bounds a worker's memory (about 30 KB a chunk).
 TOGETHER = 256
