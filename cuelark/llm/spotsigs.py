@@ -22,8 +22,23 @@ COMMON = (
 ).split()
 CHAIN = 3
 LETTER, BREAK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
-_common = "(?:" + "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w))) + rf")(?!{LETTER})"
-_skip = rf"(?:{_common}{BREAK}++)*+"
+
+
+def _tree(words: set[str]) -> str:
+    """A pattern for any of the words that looks at each character once."""
+    ends = "" in words
+    heads = sorted({w[0] for w in words if w})
+    tails = {c: {w[1:] for w in words if w[:1] == c} for c in heads}
+    single = [c for c in heads if tails[c] == {""}]
+    parts = ([f"[{''.join(single)}]" if len(single) > 1 else single[0]] if single else []) + [c + _tree(tails[c]) for c in heads if c not in single]
+    if not parts:
+        return ""
+    return (parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})") + ("?+" if ends else "")
+
+
+#: Longest first by its possessive steps; a longer word of letters is none of them.
+_common = _tree(set(COMMON)) + f"(?!{LETTER})"
+_skip = rf"(?:{_common}(?:{BREAK}++|\z))*+"
 _word = rf"{LETTER}++"
 #: Group 1 is the stretch from the first to the last content word of the chain, fewer at the text's end.
 ANCHORED = rf"(?:\A{BREAK}*+|(?<!{LETTER}){_common}{BREAK}++)(?={_skip}({_word}(?:{BREAK}++{_skip}{_word}){{0,{CHAIN - 1}}}+))"
@@ -90,18 +105,22 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     however long; an empty table gives an empty one; other columns are not read.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", body.alias("text")).withColumn("n", F.length("text"))
-    near = cut(_neighbours(rows))
-    mine = rows.select("doc_id", "text").join(near, rows["doc_id"] == near["id"], "left")
+    rows = docs.select("doc_id", body.alias("text"))
+    near = cut(_neighbours(rows.withColumn("n", F.length("text"))))
+    # Both joins below read one exchange: the same rows, dealt by doc_id.
+    mine = rows.where("doc_id is not null").withColumn("s", signatures(F.col("text")))
     # What goes to the row before: no more of the text than that row can take.
     head = F.left("text", F.floor(F.col("prev_n") / 2).cast("int"))
-    heads = mine.where("id is not null").select(F.col("prev").alias("to"), F.struct(head.alias("head"), signatures(F.col("text")).alias("sigs")).alias("sent")).groupBy("to").agg(F.max("sent").alias("sent"))
-    met = mine.select("doc_id", "text").join(heads, F.col("doc_id") == F.col("to"), "left")
+    sent = mine.join(near, F.col("doc_id") == F.col("id")).select(F.col("prev").alias("to"), F.struct(head.alias("head"), F.col("s").alias("sigs")).alias("sent"))
+    heads = sent.groupBy("to").agg(F.max("sent").alias("sent"))
+    nameless = rows.where("doc_id is null").withColumn("s", signatures(F.col("text"))).withColumn("sent", F.lit(None).cast("struct<head:string,sigs:array<bigint>>"))
+    met = mine.join(heads, F.col("doc_id") == F.col("to"), "left").drop("to").unionByName(nameless)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.coalesce("sent.head", F.lit("")), half))
     none = F.array().cast("array<bigint>")
-    seen = met.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), signatures(F.col("text")).alias("s"), signatures(edited).alias("e"), F.coalesce("sent.sigs", none).alias("x"))
+    made = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "s", F.coalesce("sent.sigs", none).alias("x"))
+    seen = made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "s", signatures(F.col("edited")).alias("e"), "x")
     return seen.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), jaccard(F.col("s"), F.col("e")).alias("near_edited"), jaccard(F.col("s"), F.col("x")).alias("near_next"))
 
 
