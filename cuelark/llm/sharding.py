@@ -87,12 +87,6 @@ def virtual_slot(key: Column, slots: int = SLOTS, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(slots)).cast("int")
 
 
-def slot_bytes(records: DataFrame, slots: int = SLOTS) -> list[int]:
-    """Bytes of each slot of ``records(virtual_slot, size)``: at most one row a slot comes to the driver."""
-    found = {r[0]: r[1] for r in records.groupBy("virtual_slot").agg(F.sum("size")).collect()}
-    return [found.get(i, 0) for i in range(slots)]
-
-
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, at: SlotMap | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version) a row of ``docs(doc_id, text)``.
 
