@@ -44,8 +44,8 @@ NOISE = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
-#: A branch below this importance goes.
-LEAST = 0.3
+#: A branch below this importance goes. What hangs deeper than DEPTH belongs to the branch above it.
+LEAST, DEPTH = 0.3, 32
 #: Pages of a host from which its tree is believed, rows of all trees that are broadcast, and parts of a host's pages otherwise.
 LEAST_PAGES, BROADCAST_ROWS, SALT = 4, 200_000, 32
 
@@ -76,6 +76,10 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
     """
     html = html or ""
     lower = html.lower() if "<" in html else ""
+
+    def below(path: str, name: str) -> str:
+        return f"{path}>{name}" if path.count(">") < DEPTH else path
+
     lower = lower if len(lower) == len(html) else html
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, in article
     out: list[tuple[str, str, bool, bool]] = []
@@ -115,7 +119,7 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
                 if noise:  # an inline element of noise has its own block
                     close_block()
                     top = stack[-1] if stack else ("", "", False, False)
-                    stack.append((tag, f"{top[1]}>{name}", True, top[3]))
+                    stack.append((tag, below(top[1], name), True, top[3]))
             elif m[1] and stack and stack[-1][0] == tag:
                 close_block()
                 stack.pop()
@@ -143,7 +147,7 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
         top = stack[-1] if stack else ("", "", False, False)
         if tag == "header":
             noise = noise or not top[3]
-        stack.append((tag, f"{top[1]}>{name}", noise or top[2], top[3] or tag in ("article", "main") and not (noise or top[2])))
+        stack.append((tag, below(top[1], name), noise or top[2], top[3] or tag in ("article", "main") and not (noise or top[2])))
     close_block()
     return out
 
@@ -198,6 +202,8 @@ def main_text(html: str | None, weak: frozenset[str]) -> str:
     kept = [(path, text, inside) for path, text, noise, inside in blocks(html) if not noise]
     if any(inside for *_, inside in kept):
         return "\n".join(text for _, text, inside in kept if inside)
+    if not weak:
+        return "\n".join(text for _, text, _ in kept)
     return "\n".join(text for path, text, _ in kept if not weak.intersection(branches(path)))
 
 
