@@ -176,12 +176,8 @@ def merge(intervals: DataFrame, alike: Alike) -> DataFrame:
 
 def nearest_centroid(x: Column, y: Column, centroids: dict[str, tuple[float, float]], farthest: float, otherwise: str) -> Column:
     """Name of the centroid of least squared distance, the first on ties; ``otherwise`` beyond ``farthest``."""
-    best, name = None, F.lit(otherwise)
-    for label, (cx, cy) in centroids.items():
-        d = (x - cx) * (x - cx) + (y - cy) * (y - cy)
-        name = F.lit(label) if best is None else F.when(d < best, F.lit(label)).otherwise(name)
-        best = d if best is None else F.least(best, d)
-    return F.when(best > farthest, F.lit(otherwise)).otherwise(name)
+    near = F.least(*[F.struct(((x - a) * (x - a) + (y - b) * (y - b)).alias("d"), F.lit(i).alias("i"), F.lit(label).alias("label")) for i, (label, (a, b)) in enumerate(centroids.items())])
+    return F.when(near["d"] > farthest, F.lit(otherwise)).otherwise(near["label"])
 
 
 def hue_saturation_point(b: Column, g: Column, r: Column) -> tuple[Column, Column]:
