@@ -31,6 +31,7 @@ class Kind:
     score: float
     words: str
     base: bool = True
+    apart: str = ""  # characters that may not stand beside a span
 
 
 CONTEXT, CONTEXT_BONUS, LEAST = 40, 0.3, 0.5
@@ -40,8 +41,8 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|address|host|server|adresse|dirección"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "", 0.7, r"card|visa|credit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, r"phone|tel|call|mobile|fax|telefon|móvil"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}+){2,7}+(?:\x20?+[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", "", 0.8, r"iban|account|konto|cuenta|compte", base=False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, r"ssn|social security", base=False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", 0.8, r"iban|account|konto|cuenta|compte", base=False, apart="[A-Za-z0-9]"),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.3, r"ssn|social security", base=False, apart="[0-9-]"),
 )
 
 
@@ -102,7 +103,15 @@ def spans(text: Column, kind: Kind, order: int) -> Column:
         return F.struct((begin + F.length(p["match"])).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), p["match"].alias("match")))).alias("out"))
 
     placed = F.aggregate(pair, start, place, lambda acc: acc["out"])
-    right = F.filter(placed, lambda s: confirmed(kind, s["match"]))
+
+    def stands(s: Column) -> Column:
+        right = confirmed(kind, s["match"])
+        if kind.apart:
+            beside = F.concat(F.substr(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substr(text, s["start"] + F.length(s["match"]) + 1, F.lit(1)))
+            right = right & ~beside.rlike(kind.apart)
+        return right
+
+    right = F.filter(placed, stands)
 
     def scored(s: Column) -> Column:
         before = F.lower(F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
