@@ -43,20 +43,18 @@ _word = rf"{LETTER}++"
 #: Group 1 is the stretch from the first to the last content word of the chain, fewer at the text's end.
 ANCHORED = rf"(?:\A{BREAK}*+|(?<!{LETTER}){_common}{BREAK}++)(?={_skip}({_word}(?:{BREAK}++{_skip}{_word}){{0,{CHAIN - 1}}}+))"
 COMMON_INSIDE = rf"{BREAK}++(?:{_common}(?:{BREAK}++|$))*+"
-#: Buckets of set lengths for joins: a set meets only those whose length may reach the threshold.
-SEED = 42
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct signatures of a text; none for null and for texts without letters or digits."""
+    """Sorted distinct signatures of a text, 8 hexadecimal digits each; none for null and for texts without letters or digits."""
     stretches = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ANCHORED), F.lit(1))
-    hashed = F.transform(stretches, lambda s: F.xxhash64(F.lit(SEED), F.regexp_replace(s, COMMON_INSIDE, " ")).bitwiseAND(0xFFFFFFFF))
+    hashed = F.transform(stretches, lambda s: F.left(F.md5(F.regexp_replace(s, COMMON_INSIDE, " ").cast("binary")), F.lit(8)))
     return F.array_sort(F.array_distinct(hashed))
 
 
 def fingerprint(found: Column) -> Column:
-    """The signatures as a string: 8 hexadecimal digits each."""
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), " ")
+    """The signatures as one string."""
+    return F.array_join(found, " ")
 
 
 def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -113,12 +111,12 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     head = F.left("text", F.floor(F.col("prev_n") / 2).cast("int"))
     sent = mine.join(near, F.col("doc_id") == F.col("id")).select(F.col("prev").alias("to"), F.struct(head.alias("head"), F.col("s").alias("sigs")).alias("sent"))
     heads = sent.groupBy("to").agg(F.max("sent").alias("sent"))
-    nameless = rows.where("doc_id is null").withColumn("s", signatures(F.col("text"))).withColumn("sent", F.lit(None).cast("struct<head:string,sigs:array<bigint>>"))
+    nameless = rows.where("doc_id is null").withColumn("s", signatures(F.col("text"))).withColumn("sent", F.lit(None).cast("struct<head:string,sigs:array<string>>"))
     met = mine.join(heads, F.col("doc_id") == F.col("to"), "left").drop("to").unionByName(nameless)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.coalesce("sent.head", F.lit("")), half))
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<string>")
     made = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "s", F.coalesce("sent.sigs", none).alias("x"))
     seen = made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "s", signatures(F.col("edited")).alias("e"), "x")
     return seen.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), jaccard(F.col("s"), F.col("e")).alias("near_edited"), jaccard(F.col("s"), F.col("x")).alias("near_next"))
