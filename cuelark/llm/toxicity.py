@@ -79,12 +79,18 @@ class Index:
     seen: dict[bytes, tuple[float, list[int]]] = field(default_factory=dict)
 
     def __post_init__(self):
+        """Lays the lists out by block: a block's own terms, its last row 0 for all others."""
         n = -(-len(self.ids) // BLOCK)
-        edges = np.arange(n + 1) * BLOCK
-        self.cuts = np.array([np.searchsorted(e, edges) for e, _ in self.lists], np.int64).reshape(len(self.lists), n + 1)
         self.most = np.zeros((len(self.lists), n), np.float32)
         for t, (e, w) in enumerate(self.lists):
             np.maximum.at(self.most[t], e // BLOCK, w)
+        own = self.most > 0
+        self.place = np.where(own, np.cumsum(own, 0) - 1, own.sum(0)).astype(np.int32)
+        self.blocks = [np.zeros((k + 1, BLOCK), np.float32) for k in own.sum(0)]
+        for t, (e, w) in enumerate(self.lists):
+            for b in np.flatnonzero(own[t]):
+                x, z = np.searchsorted(e, [b * BLOCK, (b + 1) * BLOCK])
+                self.blocks[b][self.place[t, b], e[x:z] - b * BLOCK] = w[x:z]
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[terms]
@@ -93,23 +99,21 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, exactly; ties go by bound and place of their block."""
         bound = weights @ self.most[terms]
-        found, cosines, worst = [], [], 0.0
+        found, cosines, worst = np.empty(0, np.int64), np.empty(0, np.float32), 0.0
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= worst + 1e-6 and len(found) >= k or bound[b] <= 0:
                 break
-            held = np.zeros(BLOCK, np.float32)
-            for t, w in zip(terms, weights, strict=True):
-                a, z = self.cuts[t, b], self.cuts[t, b + 1]
-                held[self.lists[t][0][a:z] - b * BLOCK] += w * self.lists[t][1][a:z]
+            held = weights @ self.blocks[b][self.place[terms, b]]
             some = np.flatnonzero(held > 0)
-            found.extend(some + b * BLOCK)
-            cosines.extend(held[some])
-            if len(found) > k:
-                order = np.argsort(-np.array(cosines), kind="stable")[:k]
-                found, cosines = [found[i] for i in order], [cosines[i] for i in order]
-            worst = min(cosines) if len(found) >= k else 0.0
-        order = np.argsort(-np.array(cosines), kind="stable")
-        return np.array(found, np.int64)[order], np.array(cosines)[order]
+            if worst:
+                some = some[held[some] > worst]
+            found, cosines = np.concatenate([found, some + b * BLOCK]), np.concatenate([cosines, held[some]])
+            if len(found) >= k:
+                order = np.argsort(-cosines, kind="stable")[:k]
+                found, cosines = found[order], cosines[order]
+                worst = float(cosines[-1])
+        order = np.argsort(-cosines, kind="stable")
+        return found[order], cosines[order]
 
     def score(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
         if not len(terms):
@@ -124,7 +128,7 @@ class Index:
         return self.seen[key]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "cuts", "most")} | {"seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "most", "place", "blocks")} | {"seen": {}}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
