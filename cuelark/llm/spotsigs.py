@@ -105,19 +105,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", body.alias("text"))
     near = cut(_neighbours(rows.withColumn("n", F.length("text"))))
-    # Both joins below read one exchange: the same rows, dealt by doc_id.
-    mine = rows.where("doc_id is not null").withColumn("s", signatures(F.col("text")))
+    # Both joins below read one exchange: the same rows, dealt by doc_id. Signatures are
+    # made again on either side of it: they would add half of the text's bytes to it.
+    mine = rows.where("doc_id is not null")
     # What goes to the row before: no more of the text than that row can take.
     head = F.left("text", F.floor(F.col("prev_n") / 2).cast("int"))
-    sent = mine.join(near, F.col("doc_id") == F.col("id")).select(F.col("prev").alias("to"), F.struct(head.alias("head"), F.col("s").alias("sigs")).alias("sent"))
+    sent = mine.join(near, F.col("doc_id") == F.col("id")).select(F.col("prev").alias("to"), F.struct(head.alias("head"), F.unhex(F.array_join(signatures(F.col("text")), "")).alias("sigs")).alias("sent"))
     heads = sent.groupBy("to").agg(F.max("sent").alias("sent"))
-    nameless = rows.where("doc_id is null").withColumn("s", signatures(F.col("text"))).withColumn("sent", F.lit(None).cast("struct<head:string,sigs:array<string>>"))
+    nameless = rows.where("doc_id is null").withColumn("sent", F.lit(None).cast("struct<head:string,sigs:binary>"))
     met = mine.join(heads, F.col("doc_id") == F.col("to"), "left").drop("to").unionByName(nameless)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.coalesce("sent.head", F.lit("")), half))
-    none = F.array().cast("array<string>")
-    made = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "s", F.coalesce("sent.sigs", none).alias("x"))
+    next_sigs = F.regexp_extract_all(F.lower(F.hex(F.coalesce("sent.sigs", F.lit(b"")))), F.lit(".{8}"), F.lit(0))
+    made = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("s"), next_sigs.alias("x"))
     seen = made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "s", signatures(F.col("edited")).alias("e"), "x")
     return seen.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), jaccard(F.col("s"), F.col("e")).alias("near_edited"), jaccard(F.col("s"), F.col("x")).alias("near_next"))
 
