@@ -128,6 +128,8 @@ def speculative_intervals(frames: DataFrame, flag: str, feature: str, threshold:
             pdf["pts"].to_numpy(np.int64), pdf["is_key"].fillna(False).to_numpy(bool), pdf["main"].fillna(False).to_numpy(bool), np.stack([np.asarray(x, float) for x in pdf["feature"]]), threshold, reach
         )
         rows = [(g, i) for i, g in enumerate(video.run()) if g.first_main]
+        if not rows:
+            return pd.DataFrame(columns=[c.split()[0] for c in GROWN.split(", ")], dtype=object)
         return pd.DataFrame({
             "video_id": pdf["video_id"].iloc[0], "main_flag": flag, "begin": [g.begin for g, _ in rows], "end": [g.end for g, _ in rows], "style": "Default", "n_points": [g.looks for g, _ in rows],
             "feat_sum": [g.total.tolist() for g, _ in rows], "first_main": True, "ocr_pts": [g.first_pts for g, _ in rows], "seq": list(range(len(rows))), "n_frames": len(pdf), "n_analysed": video.analysed,

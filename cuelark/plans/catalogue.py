@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from cuelark.operators import frames as fr
 from cuelark.operators import intervals as it
 from cuelark.operators import recognise, speculative, vision
 from cuelark.plans.presets import PRESETS
-from cuelark.plans.strategies import KEYS, classify_speaker, framewise, plan
+from cuelark.plans.strategies import KEYS, SPEAKERS, classify_speaker, framewise, plan
 from cuelark.plans.strategies import speculative as speculative_plan
 from cuelark.sinks import subtitles
 from cuelark.sources.tables import drawn_frames, embedding_frames, event_frames, table
@@ -486,18 +487,18 @@ def _plan_sql(key: str) -> str | None:
     if key in ("lcb", "pkm"):
         text, last = noise("f0", [("Dialog", True, 10)])
         most, meet = (1000, 0.0) if key == "lcb" else (300, 0.5)
-        return f"{head}, f0 AS (SELECT *, value > 20 AS Dialog FROM fp), {text}, {islands(last, {'Dialog': 'Dialog'})}, {resorted('iv', 's')}, {gap_sql('s', 'g', 'Dialog', TICKS[most], meet)} {IV} g"
+        return f"{head}, f0 AS (SELECT * EXCLUDE (dialog), value > 20 AS Dialog FROM fp), {text}, {islands(last, {'Dialog': 'Dialog'})}, {resorted('iv', 's')}, {gap_sql('s', 'g', 'Dialog', TICKS[most], meet)} {IV} g"
     if key == "bdr":
-        return f"{head}, f0 AS (SELECT *, value > 20 AS Dialog, value / 10 AS val FROM fp), {jump_sql('f0', 'j', 'val', 'jump', 'abs(f - mean)', 2.0, 3)}, {islands('j', {'Dialog': 'Dialog AND NOT jump'})}, {resorted('iv', 's')}, {gap_sql('s', 'g', 'Dialog', TICKS[500], 0.5)} {IV} g"
+        return f"{head}, f0 AS (SELECT * EXCLUDE (dialog), value > 20 AS Dialog, value / 10 AS val FROM fp), {jump_sql('f0', 'j', 'val', 'jump', 'abs(f - mean)', 2.0, 3)}, {islands('j', {'Dialog': 'Dialog AND NOT jump'})}, {resorted('iv', 's')}, {gap_sql('s', 'g', 'Dialog', TICKS[500], 0.5)} {IV} g"
     if key == "mr":
         flags = {"Dialog": 300, "Blackscreen": 1200, "Whitescreen": 1200, "CgSub": 1200}
         text, last = noise("f0", [(f, v, n) for f, k in zip(flags, (2, 3, 3, 2), strict=True) for v, n in ((False, k), (True, 10))])
         steps, end = _chain("s", [(lambda s, n, f=f, m=m: gap_sql(s, n, f, TICKS[m], 0.5)) for f, m in flags.items()], "g")
-        f0 = "f0 AS (SELECT *, value > 40 AS Dialog, event_type = 'click' AS Blackscreen, value < 15 AS Whitescreen, event_type IN ('view', 'signup') AS CgSub FROM fp)"
+        f0 = "f0 AS (SELECT * EXCLUDE (dialog), value > 40 AS Dialog, event_type = 'click' AS Blackscreen, value < 15 AS Whitescreen, event_type IN ('view', 'signup') AS CgSub FROM fp)"
         return f"{head}, {f0}, {text}, {islands(last, {f: f for f in flags})}, {resorted('iv', 's')}, {steps} {IV} {end}"
     if key == "md":
         text, last = noise("f0", [("HomeDialog", True, 10), ("Dialog", True, 10)])
-        f0 = "f0 AS (SELECT *, event_type = 'view' AS HomeDialog, value > 30 AS Dialog, value < 15 AS Whitescreen, event_type = 'click' AS Blackscreen, value > 60 AS LeftBubble, event_type = 'signup' AS RightBubble FROM fp)"
+        f0 = "f0 AS (SELECT * EXCLUDE (dialog), event_type = 'view' AS HomeDialog, value > 30 AS Dialog, value < 15 AS Whitescreen, event_type = 'click' AS Blackscreen, value > 60 AS LeftBubble, event_type = 'signup' AS RightBubble FROM fp)"
         flags = {"HomeDialog": "HomeDialog", "Dialog": "Dialog AND NOT HomeDialog", **{f: f for f in ("Whitescreen", "Blackscreen", "LeftBubble", "RightBubble")}}
         steps = []
         for names, most, meet, front, back in ((("HomeDialog", "Dialog"), 300, 0.0, 300, 0), (("Whitescreen", "Blackscreen"), 2000, 0.5, 400, 400), (("LeftBubble", "RightBubble"), 300, 0.0, 200, 0)):
@@ -506,6 +507,26 @@ def _plan_sql(key: str) -> str | None:
                 steps.append(lambda s, n, a=(f, TICKS.get(front, 0), TICKS.get(back, 0)): extend_sql(s, n, *a))
         chain, end = _chain("s", steps, "g")
         return f"{head}, {f0}, {text}, {islands(last, flags)}, {resorted('iv', 's')}, {chain} {IV} {end}"
+    if key == "mr-s0":
+        f0 = "f0 AS (SELECT * EXCLUDE (dialog), event_type = 'error' AS Blackscreen, value > 30 AS Dialog, value / 10 AS cval, value % 5 AS nval, event_type <> 'view' AS Balloon, value / 5 AS bval, value AS c1, value % 50 + 50 AS c2, value % 90 + 10 AS c3 FROM fp)"
+        broken = lambda flag, jumps: lambda s, n: f"{n} AS (SELECT * REPLACE ({flag} AND NOT ({jumps}) AS {flag}) FROM {s})"
+        jump = lambda *a: lambda s, n: jump_sql(s, n, *a)
+        quiet = lambda *a: lambda s, n: noise_sql(s, n, *a)
+        text, last = _chain("f0", [
+            quiet("Blackscreen", False, 3), quiet("Blackscreen", True, 10),
+            jump("cval", "jd", "f - mean", 2.0, 3), jump("cval", "ju", "mean - f", 2.0, 5), jump("ju", "juu", "mean - f", 0.5, 3), jump("nval", "nj", "abs(f - mean)", 1.0, 3),
+            broken("Dialog", "jd OR juu OR nj"), quiet("Dialog", False, 2), quiet("Dialog", True, 10),
+            jump("bval", "bj", "f - mean", 3.0, 3), broken("Balloon", "bj"), quiet("Balloon", False, 2), quiet("Balloon", True, 10),
+        ])
+        sums = ", s1, s2, s3"
+        gaps, end = _chain("s", [(lambda s, n, a=a: gap_sql(s, n, *a, sums)) for a in (("Blackscreen", TICKS[1200], 0.5), ("Dialog", TICKS[500], 1.0), ("Balloon", TICKS[500], 1.0))], "g")
+        built = islands(last, {f: f for f in ("Blackscreen", "Dialog", "Balloon")}, "iv", ", sum(c1) AS s1, sum(c2) AS s2, sum(c3) AS s3", sums)
+        colour = f"""k AS (SELECT *, s1 / n_points AS b_, s2 / n_points AS g_, s3 / n_points AS r_ FROM {end}),
+l AS (SELECT *, greatest(b_, g_, r_) AS top, greatest(b_, g_, r_) - least(b_, g_, r_) AS spread FROM k),
+h AS (SELECT *, CASE WHEN spread = 0 THEN 0 WHEN top = r_ THEN 60 * (g_ - b_) / spread WHEN top = g_ THEN 120 + 60 * (b_ - r_) / spread ELSE 240 + 60 * (r_ - g_) / spread END AS hue FROM l),
+xy AS (SELECT *, spread / top * cos(radians(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END)) AS x, spread / top * sin(radians(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END)) AS y FROM h),
+st AS (SELECT *, list_min([{", ".join(f"{{'d': (x - {a}) * (x - {a}) + (y - {b}) * (y - {b}), 'i': {i}, 'n': '{n}'}}" for i, (n, (a, b)) in enumerate(SPEAKERS.items()))}]) AS c FROM xy)"""
+        return f"{head}, {f0}, {text}, {built}, {resorted('iv', 's', sums)}, {gaps}, {colour} SELECT video_id, main_flag, b AS \"begin\", e AS \"end\", n_points, seq, CASE WHEN main_flag = 'Blackscreen' THEN 'Default' WHEN c.d > 0.2 THEN 'Shiranai' ELSE c.n END AS style FROM st"
     return None
 
 
@@ -524,7 +545,7 @@ for _key in KEYS:
     def run_plan(spark, sf_dir, key=_key):
         vectors = key in ("prk", "otl", "bcs", "lcb-mech")
         params = next(iter(PRESETS[key].values()))
-        own = plan(key, params | ({"featureJumpThreshold": 0.9} if key in ("otl", "bcs") else {}))
+        own = plan(key, params | ({"featureJumpThreshold": 1.1} if key in ("otl", "bcs") else {}))
         out = framewise(flagged(spark, sf_dir, key), own, MEDIUM if vectors else HOURS)
         return out.select(*IV_COLUMNS, *(["style"] if key == "mr-s0" else []))
 
@@ -539,7 +560,7 @@ for _key in ("prk", "otl", "bcs"):
 
     @query(f"speculative_{_key}")
     def run_sparse(spark, sf_dir, key=_key):
-        own = plan(key, next(iter(PRESETS[key].values())) | {"featureJumpThreshold": 0.9})
+        own = replace(plan(key, next(iter(PRESETS[key].values())) | {"featureJumpThreshold": 1.3}), merge_below=1.3)
         return speculative_plan(flagged(spark, sf_dir, key), own, 1000, MEDIUM).select(*IV_COLUMNS)
 
 

@@ -87,7 +87,7 @@ def captions(video, count=260):
         img = np.full((60, 96, 3), 40, np.uint8)
         if 40 <= i < 130 or 150 <= i < 240:
             img[49:58, 6:90] = 250
-            img[52:54, 10 : (50 if i < 140 else 70)] = 10
+            img[52:53, 10 : (50 if i < 140 else 70)] = 10
         rows.append((video, 40 * i, i, i % 25 == 0, 60, 96, bytearray(img.tobytes())))
     return rows
 
@@ -133,3 +133,38 @@ def test_sparse_plan_over_features(spark):
 
 def test_joined_lines():
     assert recognise.joined_lines([["a", "b"], ["c"], []]) == "ab\nc"
+
+
+def test_a_whole_run(spark, tmp_path):
+    from cuelark import runner
+    from cuelark.functions.timebase import TimeBase
+
+    home = tmp_path / "in"
+    home.mkdir()
+    for video in (1, 2):
+        rows = captions(video)
+        np.savez(home / f"{video}.npz", pts=[r[1] for r in rows], key=[r[3] for r in rows], img=np.stack([np.frombuffer(bytes(r[6]), np.uint8).reshape(60, 96, 3) for r in rows]))
+    run = config.parse(f"{{source: [{home}], destination: [{tmp_path / 'out'}], strategy: bdr, preset: default, engine: framewise, framewise: {{sampleInterval: 2}}}}")
+    assert len(runner.execute(spark, run, TimeBase(1, 1000))) == 1
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "out" / "subtitles" / "video_id=2")).collect()]
+    assert sum(x.startswith("Dialogue") for x in lines) == 2
+    sparse = config.parse(f"{{source: [{home}], destination: [x], strategy: prk, preset: default, engine: speculative}}")
+    frames = spark.read.format("raw_frames").load(str(home))
+    work = runner.work_of(frames, sparse, TimeBase(1, 1000)).first()
+    assert work.n_frames in (260, 520) and work.n_analysed < work.n_frames
+    assert runner.intervals_of(frames, sparse, TimeBase(1, 1000)).count() >= 2
+
+
+def test_projection_models(spark, tmp_path):
+    from cuelark.functions import pixel
+    from cuelark.sources import models
+
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(300, 6)) * [9, 5, 3, 2, 0.1, 0.1]
+    df = spark.createDataFrame([(1, i, i, data[i].tolist()) for i in range(300)], "video_id long, pts long, frame_idx long, f array<double>")
+    mean, vectors = models.train_projection(df, "f", every=3)
+    want, other = pixel.principal_components(data[::3], 4)
+    assert np.allclose(mean, want) and np.allclose(np.abs((vectors * other).sum(1)), 1)
+    models.save_projection(str(tmp_path / "m.npz"), mean, vectors)
+    again = models.load_projection(str(tmp_path / "m.npz"))
+    assert np.allclose(again[0], mean) and np.allclose(again[1], vectors)
