@@ -26,20 +26,22 @@ def share(where: np.ndarray) -> float:
 
 
 def grey(bgr: np.ndarray) -> np.ndarray:
-    b, g, r = (bgr[..., i].astype(np.float64) for i in range(3))
-    return saturated(0.114 * b + 0.587 * g + 0.299 * r)
+    """0.114 B + 0.587 G + 0.299 R, rounded, in 14-bit fixed point."""
+    x = bgr.astype(np.int32)
+    return ((x[..., 0] * 1868 + x[..., 1] * 9617 + x[..., 2] * 4899 + 8192) >> 14).astype(np.uint8)
 
 
 def hsv(bgr: np.ndarray) -> np.ndarray:
     """Hue in half degrees (0 to 179), saturation and value 0 to 255."""
-    b, g, r = (bgr[..., i].astype(np.float64) for i in range(3))
-    top, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
-    spread = top - low
-    safe = np.where(spread == 0, 1, spread)
-    hue = np.where(top == r, 60 * (g - b) / safe, np.where(top == g, 120 + 60 * (b - r) / safe, 240 + 60 * (r - g) / safe))
-    hue = np.where(spread == 0, 0, np.where(hue < 0, hue + 360, hue)) / 2
-    saturation = np.where(top == 0, 0, 255 * spread / np.where(top == 0, 1, top))
-    return np.stack([np.rint(hue) % 180, np.rint(saturation), top], -1).astype(np.uint8)
+    b, g, r = (bgr[..., i].astype(np.int16) for i in range(3))
+    top = np.maximum(np.maximum(b, g), r)
+    spread = top - np.minimum(np.minimum(b, g), r)
+    by = np.float32(30) / np.maximum(spread, 1).astype(np.float32)
+    hue = np.where(top == r, (g - b) * by, np.where(top == g, 60 + (b - r) * by, 120 + (r - g) * by))
+    hue = np.rint(np.where(hue < 0, hue + 180, hue))
+    hue[(spread == 0) | (hue >= 180)] = 0
+    saturation = np.rint(spread * (np.float32(255) / np.maximum(top, 1).astype(np.float32)))
+    return np.stack([hue, saturation, top], -1).astype(np.uint8)
 
 
 def within(image: np.ndarray, low, high) -> np.ndarray:
