@@ -39,7 +39,7 @@ def test_classifiers_return_what_is_fixed(spark, sql):
 
 def test_pages_and_shards(spark, sql):
     pages = QUERIES["op8_html"](spark, DATA).collect()
-    assert len(pages) == sql.sql("SELECT count(*) FROM pages").fetchone()[0] and all(r.n_chars == len(r.text) > 0 and "<" not in r.text for r in pages)
+    assert len(pages) == sql.sql("SELECT count(*) FROM pages").fetchall()[0][0] and all(r.n_chars == len(r.text) > 0 and "<" not in r.text for r in pages)
     rows = QUERIES["op10_sharding"](spark, DATA).collect()
     texts = dict(sql.sql("SELECT doc_id, text FROM documents").fetchall())
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
