@@ -151,7 +151,7 @@ def bubble(image: np.ndarray, box: Rect, from_right: bool) -> dict[str, bool]:
     return {"Bg": 1 < 255 - px.share(px.within(inner, *BUBBLE)) < 70, "Text": 1 < px.share(px.grey(inner) <= 150) < 30}
 
 
-def exedra(image: np.ndarray, rect: Callable[[str], Rect]) -> Flags:
+def home_story(image: np.ndarray, rect: Callable[[str], Rect]) -> Flags:
     under = px.grey(rect("underHomeDialogRect").cut(image))
     flags = named("HomeDialog", **strip(px.grey(rect("homeDialogRect").cut(image))), Under=bright(under, 20) < 1 and float(under.std()) < 0.01)
     flags |= named("Dialog", **strip(px.grey(rect("dialogRect").cut(image))))
@@ -332,7 +332,7 @@ STRATEGIES: dict[str, tuple[Callable, T.StructType, dict[str, tuple[str, tuple[f
         _flags(**_booleans("Blackscreen", "BlackscreenBg", "BlackscreenText", "Dialog"), DialogNameVal=D, DialogContentVal=D, Balloon=B, BalloonVal=D, MeanTextColour=V),
         {"dialogNameRect": ("dialogRect", (0, 0.5, 0, 0.33)), "dialogContentRect": ("dialogRect", (0, 1, 0.34, 1)), "balloonRect": ("", (0.15, 0.85, 0.05, 0.75))},
     ),
-    "md": (exedra, _flags(**_booleans(*[a + b for a, parts in (("HomeDialog", ("", "Bg", "Text", "Under")), *[(x, ("", "Bg", "Text")) for x in ("Dialog", "Whitescreen", "Blackscreen", "LeftBubble", "RightBubble")]) for b in parts])), {}),
+    "md": (home_story, _flags(**_booleans(*[a + b for a, parts in (("HomeDialog", ("", "Bg", "Text", "Under")), *[(x, ("", "Bg", "Text")) for x in ("Dialog", "Whitescreen", "Blackscreen", "LeftBubble", "RightBubble")]) for b in parts])), {}),
     "lcb": (company, _flags(Dialog=B, DialogText=B, DialogTextVal=D, DialogBg=B, DialogBgVal=D), {}),
     "lcb-mech": (mechanics, _flags(DialogBgColour=B, DialogTextMin=B, DialogTextFeat=V), {}),
     "pkm": (handheld, _flags(Dialog=B, DialogBg=D, DialogText=D), {}),

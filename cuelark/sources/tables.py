@@ -16,7 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_frames(spark: SparkSession, sf_dir: str, threshold: float = 40.0) -> DataFrame:
     """Events as frames: a user is a video, microseconds are ticks, a value over the threshold is dialog."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("pts"))
+    # The clock time's microseconds, whatever the session's time zone.
+    clock = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(clock).alias("pts"))
     order = Window.partitionBy("user_id").orderBy("pts", "event_id")
     return e.select(
         F.col("user_id").alias("video_id"),
