@@ -402,7 +402,21 @@ def merge_adjacent(spark, sf_dir):
     return it.merge(it.resort(built), lambda a, b: F.abs(mean(a) - mean(b)) < 8).select("video_id", "seq", "begin", "end", "n_points")
 
 
-@query("merge_by_feature")
+_VECTOR_SUM = ", list_transform(range(1, 65), lambda i: list_sum(list_transform(fs, lambda v: v[i]))) AS s"
+_VECTOR_FOLD = """list_reduce(list_prepend({'v': []::STRUCT(b BIGINT, e BIGINT, n BIGINT, s DOUBLE[])[]}, list_transform(xs, lambda x: {'v': [x]})), lambda acc, x:
+  CASE WHEN len(acc.v) = 0 THEN x
+    WHEN list_distance(list_transform(acc.v[-1].s, lambda c: c / acc.v[-1].n), list_transform(x.v[1].s, lambda c: c / x.v[1].n)) < 1.0 THEN {'v': list_append(acc.v[:-2],
+      {'b': least(acc.v[-1].b, x.v[1].b), 'e': greatest(acc.v[-1].e, x.v[1].e), 'n': acc.v[-1].n + x.v[1].n, 's': list_transform(range(1, 65), lambda i: acc.v[-1].s[i] + x.v[1].s[i])})}
+    ELSE {'v': list_append(acc.v, x.v[1])} END).v"""
+
+
+@query(
+    "merge_by_feature",
+    f"""WITH {VP}, {islands("vf", {"dialog": "dialog"}, "iv", ", list(feat::DOUBLE[] ORDER BY nth) AS fs", _VECTOR_SUM)},
+g AS (SELECT video_id, list({{'b': b, 'e': e, 'n': n_points, 's': s}} ORDER BY b, seq) AS xs FROM iv GROUP BY video_id),
+f AS (SELECT video_id, {_VECTOR_FOLD} AS ys FROM g)
+SELECT video_id, unnest(range(len(ys))) AS seq, unnest(list_transform(ys, lambda y: y.b)) AS "begin", unnest(list_transform(ys, lambda y: y.e)) AS "end", unnest(list_transform(ys, lambda y: y.n)) AS n_points FROM f""",
+)
 def merge_by_feature(spark, sf_dir):
     built = fr.build_intervals(embedding_frames(spark, sf_dir), ["dialog"], "feat", 64)
     return it.merge(it.resort(built), it.alike_features(1.0)).select("video_id", "seq", "begin", "end", "n_points")
@@ -480,6 +494,15 @@ def flagged(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 MEDIUM = TimeBase(1, 1_000_000)
 
 
+def _speaker_sql(source: str) -> str:
+    """SQL for the speaker nearest to the mean colour of s1, s2, s3 over n_points."""
+    return f"""k AS (SELECT *, s1 / n_points AS b_, s2 / n_points AS g_, s3 / n_points AS r_ FROM {source}),
+l AS (SELECT *, greatest(b_, g_, r_) AS top, greatest(b_, g_, r_) - least(b_, g_, r_) AS spread FROM k),
+h AS (SELECT *, CASE WHEN spread = 0 THEN 0 WHEN top = r_ THEN 60 * (g_ - b_) / spread WHEN top = g_ THEN 120 + 60 * (b_ - r_) / spread ELSE 240 + 60 * (r_ - g_) / spread END AS hue FROM l),
+xy AS (SELECT *, spread / top * cos(radians(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END)) AS x, spread / top * sin(radians(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END)) AS y FROM h),
+st AS (SELECT *, list_min([{", ".join(f"{{'d': (x - {a}) * (x - {a}) + (y - {b}) * (y - {b}), 'i': {i}, 'n': '{n}'}}" for i, (n, (a, b)) in enumerate(SPEAKERS.items()))}]) AS c FROM xy)"""
+
+
 def _plan_sql(key: str) -> str | None:
     """SQL for plans of scalar flags, step by step as listed."""
     head = f"WITH {FP}"
@@ -507,6 +530,21 @@ def _plan_sql(key: str) -> str | None:
                 steps.append(lambda s, n, a=(f, TICKS.get(front, 0), TICKS.get(back, 0)): extend_sql(s, n, *a))
         chain, end = _chain("s", steps, "g")
         return f"{head}, {f0}, {text}, {islands(last, flags)}, {resorted('iv', 's')}, {chain} {IV} {end}"
+    if key in ("prk", "otl", "bcs", "lcb-mech"):
+        # The lists ahead, turned to one list a component and filled up with the default.
+        size, window, default = (4, 3, 1.0) if key == "lcb-mech" else (64, 5, 0.0)
+        own = "feat[1:4]::DOUBLE[]" if key == "lcb-mech" else "feat::DOUBLE[]"
+        ahead = f"h AS (SELECT *, {own} AS f, coalesce(list({own}) OVER ({ORDER} ROWS BETWEEN 1 FOLLOWING AND {window} FOLLOWING), []) AS a FROM vf)"
+        turned = f"m AS (SELECT *, list_transform(range(1, {size + 1}), lambda i: list_concat(list_transform(a, lambda v: v[i]), list_transform(range({window} - len(a)), lambda k: {default}::DOUBLE))) AS cs FROM h)"
+        means = "q AS (SELECT *, list_transform(cs, lambda c: list_avg(c)) AS mean, list_avg(list_transform(cs, lambda c: list_stddev_pop(c))) AS spread FROM m)"
+        if key == "lcb-mech":
+            on = "0.5 - list_cosine_similarity(f, mean) / 2 < 0.01 AND feat[5] > -0.1::FLOAT AND feat[6] > -0.1::FLOAT"
+            most, least = 500_000, 0
+        else:
+            on = f"dialog AND NOT (spread <= 0.005 AND list_distance(f, mean) >= {1.1 if key == 'otl' else 0.1})"
+            most, least = 300_000, {"prk": 0, "otl": 100_000, "bcs": 300_000}[key]
+        kept = f"WHERE e - b >= {least}" if least else ""
+        return f"WITH {VP}, {ahead}, {turned}, {means}, z AS (SELECT video_id, pts, frame_idx, {on} AS is_text FROM q), {islands('z', {'Dialog': 'is_text'})}, {resorted('iv', 's')}, {gap_sql('s', 'g', 'Dialog', most, 1.0)} {IV} g {kept}"
     if key == "mr-s0":
         f0 = "f0 AS (SELECT * EXCLUDE (dialog), event_type = 'error' AS Blackscreen, value > 30 AS Dialog, value / 10 AS cval, value % 5 AS nval, event_type <> 'view' AS Balloon, value / 5 AS bval, value AS c1, value % 50 + 50 AS c2, value % 90 + 10 AS c3 FROM fp)"
         broken = lambda flag, jumps: lambda s, n: f"{n} AS (SELECT * REPLACE ({flag} AND NOT ({jumps}) AS {flag}) FROM {s})"
@@ -521,11 +559,7 @@ def _plan_sql(key: str) -> str | None:
         sums = ", s1, s2, s3"
         gaps, end = _chain("s", [(lambda s, n, a=a: gap_sql(s, n, *a, sums)) for a in (("Blackscreen", TICKS[1200], 0.5), ("Dialog", TICKS[500], 1.0), ("Balloon", TICKS[500], 1.0))], "g")
         built = islands(last, {f: f for f in ("Blackscreen", "Dialog", "Balloon")}, "iv", ", sum(c1) AS s1, sum(c2) AS s2, sum(c3) AS s3", sums)
-        colour = f"""k AS (SELECT *, s1 / n_points AS b_, s2 / n_points AS g_, s3 / n_points AS r_ FROM {end}),
-l AS (SELECT *, greatest(b_, g_, r_) AS top, greatest(b_, g_, r_) - least(b_, g_, r_) AS spread FROM k),
-h AS (SELECT *, CASE WHEN spread = 0 THEN 0 WHEN top = r_ THEN 60 * (g_ - b_) / spread WHEN top = g_ THEN 120 + 60 * (b_ - r_) / spread ELSE 240 + 60 * (r_ - g_) / spread END AS hue FROM l),
-xy AS (SELECT *, spread / top * cos(radians(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END)) AS x, spread / top * sin(radians(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END)) AS y FROM h),
-st AS (SELECT *, list_min([{", ".join(f"{{'d': (x - {a}) * (x - {a}) + (y - {b}) * (y - {b}), 'i': {i}, 'n': '{n}'}}" for i, (n, (a, b)) in enumerate(SPEAKERS.items()))}]) AS c FROM xy)"""
+        colour = _speaker_sql(end)
         return f"{head}, {f0}, {text}, {built}, {resorted('iv', 's', sums)}, {gaps}, {colour} SELECT video_id, main_flag, b AS \"begin\", e AS \"end\", n_points, seq, CASE WHEN main_flag = 'Blackscreen' THEN 'Default' WHEN c.d > 0.2 THEN 'Shiranai' ELSE c.n END AS style FROM st"
     return None
 
@@ -569,7 +603,11 @@ def speculative_work(spark, sf_dir):
     return speculative.looked_at(speculative_intervals(spark, sf_dir))
 
 
-@query("speaker_classes", None)
+@query(
+    "speaker_classes",
+    f"""WITH {FP}, f0 AS (SELECT * EXCLUDE (dialog), value > 30 AS Dialog, value AS c1, value % 50 + 50 AS c2, value % 90 + 10 AS c3 FROM fp),
+{islands("f0", {"Dialog": "Dialog"}, "iv", ", sum(c1) AS s1, sum(c2) AS s2, sum(c3) AS s3", ", s1, s2, s3")}, {_speaker_sql("iv")} SELECT video_id, seq, CASE WHEN c.d > 0.2 THEN 'Shiranai' ELSE c.n END AS style FROM st""",
+)
 def speaker_classes(spark, sf_dir):
     rows = flagged(spark, sf_dir, "mr-s0")
     colour = F.array(*[F.sum(F.element_at("MeanTextColour", i)) for i in (1, 2, 3)])
