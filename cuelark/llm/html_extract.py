@@ -7,7 +7,9 @@ that return on every page carry nothing, texts of one page carry all. Its
 presentation importance says what its markup means: navigation, adverts, forms or
 comments by tag, class or role are 0. A page's blocks in branches of low
 importance are removed. The article (or main) element of a page, where it has one,
-bounds its content; pages without it rest on the tree.
+bounds its content, and branches below it are measured by its own importance: what
+repeats where the article does not is removed, and an article that itself repeats
+(copies of a page) stays. Pages without it rest on the tree alone.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelark.llm.storage import cut
@@ -46,6 +48,8 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 #: A branch below this importance goes. What hangs deeper than DEPTH belongs to the branch above it.
 LEAST, DEPTH = 0.3, 32
+#: The first article or main of a path that goes on below it, in Python and in Spark.
+ARTICLE = r"^(.*?>(?:article|main)(?:\.[^>]*)?)>"
 #: Pages of a host from which its tree is believed, rows of all trees that are broadcast, and parts of a host's pages otherwise.
 LEAST_PAGES, BROADCAST_ROWS, SALT = 4, 200_000, 32
 
@@ -164,6 +168,12 @@ def branches(path: str) -> list[str]:
     return [">".join(steps[:i]) for i in range(2, len(steps) + 1)]
 
 
+def below_article(path: str) -> list[str]:
+    """The branches of a path below its first article or main; none if it does not go on below one."""
+    m = re.match(ARTICLE, path)
+    return [b for b in branches(path) if len(b) > len(m[1])] if m else []
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By parts, on how many pages of a host each text of each style path stands."""
     for batch in batches:
@@ -181,7 +191,9 @@ def site_trees(pages: DataFrame) -> DataFrame:
 
     The entropy of a text that stands on k of a host's m pages is log k / log m; a
     branch's content importance is 1 less the mean over all places of texts below
-    it. Hosts of fewer than LEAST_PAGES pages have no weak branch.
+    it. A branch is weak below LEAST, or, inside an article, below that share
+    of the article's importance. Hosts of fewer than LEAST_PAGES pages have no weak
+    branch.
     """
     parts = pages.mapInArrow(_features, "host string, path string, feature long, pages long")
     each = parts.groupBy("host", "path", "feature").agg(F.sum("pages").alias("k"))
@@ -193,7 +205,11 @@ def site_trees(pages: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ">"))
     below = leaves.where("path <> ''").select("host", "places", "logs", F.explode(above).alias("branch"))
     tree = below.groupBy("host", "branch").agg(F.sum("places").alias("places"), F.sum("logs").alias("logs")).join(sizes, "host")
-    weak = tree.where((F.col("places") >= LEAST_PAGES) & (1 - F.col("logs") / F.col("places") / F.log(F.col("m").cast("double")) < LEAST))
+    importance = 1 - F.col("logs") / F.col("places") / F.log(F.col("m").cast("double"))
+    article = F.regexp_extract(F.concat("branch", F.lit(">")), ARTICLE, 1)
+    valued = tree.where(F.col("places") >= LEAST_PAGES).select("host", "branch", importance.alias("importance"), article.alias("article"))
+    whole = F.max(F.when(F.col("branch") == F.col("article"), F.col("importance"))).over(Window.partitionBy("host", "article"))
+    weak = valued.withColumn("whole", whole).where(F.col("importance") < LEAST * F.when(F.col("branch") != F.col("article"), F.coalesce("whole", F.lit(1.0))).otherwise(1.0))
     return weak.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("weak"))
 
 
@@ -201,7 +217,10 @@ def main_text(html: str | None, weak: frozenset[str]) -> str:
     """The page's blocks that remain, a line each."""
     kept = [(path, text, inside) for path, text, noise, inside in blocks(html) if not noise]
     if any(inside for *_, inside in kept):
-        return "\n".join(text for _, text, inside in kept if inside)
+        own = [(path, text) for path, text, inside in kept if inside]
+        if not weak:
+            return "\n".join(text for _, text in own)
+        return "\n".join(text for path, text in own if not weak.intersection(below_article(path)))
     if not weak:
         return "\n".join(text for _, text, _ in kept)
     return "\n".join(text for path, text, _ in kept if not weak.intersection(branches(path)))

@@ -37,6 +37,17 @@ def test_branches_that_repeat_over_a_site_go(spark):
     assert got[100] == "Home News Shop\nown"
 
 
+def test_branches_that_repeat_inside_articles_go_too(spark):
+    page = '<body><div>Shop</div><article><h1>Title {0}</h1><div class="xa"><p>Read more on our site.</p></div><p>Text number {0} of its own.</p></article></body>'
+    own = [(i, f"http://h.example/{i}", page.format(i)) for i in range(40)]
+    copies = [(100 + i, f"http://c.example/{i}", page.format(7)) for i in range(8)]
+    mains = [(200 + i, f"http://m.example/{i}", page.format(i).replace("article", "main")) for i in range(40)]
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame([*own, *copies, *mains], "page_id long, url string, html string")).collect()}
+    assert got[3] == got[203] == "Title 3\nText number 3 of its own."
+    # Where the article itself returns on every page, nothing tells its branches apart.
+    assert got[100] == "Title 7\nRead more on our site.\nText number 7 of its own."
+
+
 def test_many_sites_meet_by_host(spark, monkeypatch):
     pages = spark.createDataFrame(site(40), "page_id long, url string, html string, text int")
     want = sorted(map(tuple, hx.extract(pages).collect()))
