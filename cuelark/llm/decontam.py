@@ -3,8 +3,9 @@
 A mask looks at some positions of a run of words and ignores the others, so that
 substitutions at those do not matter. The hashes of all masked runs of the
 benchmark are joined with those of every text; around each hit the two texts are
-compared word by word along the same offset, and the best-scoring stretch (1 for
-an equal word, PENALTY for another) is an overlap if it is long and alike enough.
+compared word by word along the same offset. The best-scoring stretch (1 for an
+equal word, PENALTY for another) is an overlap if it is long and alike enough;
+where it is not, any other stretch that is makes one.
 
 The benchmark side of the join is an array in blocks of BLOCK_SEEDS hashes; a
 benchmark of any size takes one pass over the texts a block, so what is
@@ -31,6 +32,8 @@ LEAST_WORDS, LEAST_SHARE = 12, 0.8
 #: Items of fewer words are too short to tell.
 SHORTEST_ITEM = 5
 PENALTY = 2
+#: With 1 for an equal word and this for another, stretches of LEAST_SHARE and more are those of 0 and more.
+SHARE_PENALTY = 4
 #: Seeds of one pass: 16 bytes each, and as many words at most.
 BLOCK_SEEDS = 1_000_000
 TABLE_BITS = 22
@@ -88,11 +91,30 @@ def seed_blocks(ids: list[int], texts: list[str | None], most: int = BLOCK_SEEDS
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """[a, b) of the highest-scoring stretch, the first of the longest among equals."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
+    """[a, b) of the highest-scoring stretch, the first of the longest among equals.
+
+    If that one is too short or not alike enough: of all stretches of LEAST_WORDS
+    (or of all words, if fewer) and LEAST_SHARE the one of most equal words, on a
+    tie the longest, then the first; [0, 0) if there is none.
+    """
+    least = min(LEAST_WORDS, len(equal))
+    same = np.concatenate([[0], np.cumsum(equal)])
+    at = np.arange(len(same))
+    total = same - PENALTY * (at - same)
     low = np.minimum.accumulate(total)
     b = int(np.argmax(total - low))
-    return int(np.flatnonzero(total[: b + 1] == low[b])[0]), b
+    a = int(np.flatnonzero(total[: b + 1] == low[b])[0])
+    if b - a >= least and same[b] - same[a] >= LEAST_SHARE * (b - a):
+        return a, b
+    total = same - SHARE_PENALTY * (at - same)
+    # The first beginning that an end allows gives it the most equal words.
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)
+    ends = np.flatnonzero(at - begin >= least)
+    if not len(ends):
+        return 0, 0
+    order = np.lexsort((ends, begin[ends] - ends, same[begin[ends]] - same[ends]))
+    b = int(ends[order[0]])
+    return int(begin[b]), b
 
 
 def overlaps(doc: np.ndarray, hits: Iterator[tuple[int, int]], seeds: Seeds) -> Iterator[tuple[int, int, int, int, int]]:
@@ -165,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for a row of docs and an item that overlap, the best stretch of each
     (most equal words; on a tie the longest, then the first): where it begins in
-    either, its words, and how many are equal. A stretch counts with LEAST_WORDS
+    either, its words, and how many are equal (see ``best_stretch`` for the one
+    of each offset). A stretch counts with LEAST_WORDS
     words, or an item's all if it has fewer, and LEAST_SHARE of them equal. Items
     of fewer than SHORTEST_ITEM words, null texts, empty texts and empty tables
     give nothing. Texts are whole, however long; repeated rows come back each;

@@ -48,6 +48,30 @@ def test_overlaps_are_those_of_all_offsets(spark):
     assert exact <= set(got)
 
 
+def test_any_stretch_that_meets_the_rule_counts():
+    runs = np.array(([True] * 14 + [False] * 6) * 2 + [True] * 14)
+    assert decontam.best_stretch(runs) == (0, 35)
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        equal = rng.random(rng.integers(1, 60)) > rng.choice([0.1, 0.2, 0.25, 0.4])
+        least = min(decontam.LEAST_WORDS, len(equal))
+        want = [(int(equal[a:b].sum()), b - a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)]
+        a, b = decontam.best_stretch(equal)
+        got = (int(equal[a:b].sum()), b - a)
+        assert got in want if want else (a, b) == (0, 0)
+
+
+def test_runs_apart_are_an_overlap(spark):
+    item = [f"a{j}" for j in range(59)]
+    apart = [w if j % 20 < 14 else f"x{j}" for j, w in enumerate(item[:54])]
+    every_4th = [w if j % 4 else f"y{j}" for j, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(apart)), (2, " ".join(every_4th)), (3, " ".join(w if j % 3 else "z" for j, w in enumerate(item)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_equal) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {1: (35, 28), 2: (15, 12)}
+    assert [r.doc_id for r in decontam.decontaminated(docs, items).collect()] == [3]
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(20))) for i in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(i, "x y " + " ".join(f"a{i}b{j}" for j in range(20))) for i in range(8)], "doc_id long, text string")
