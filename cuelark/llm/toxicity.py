@@ -1,18 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max index.
 
-Texts are vectors over the terms, words and beginnings of words, whose use tells
-the two labels apart in the labelled sample. The examples stand in an inverted
-index whose lists are cut into blocks of examples; each block keeps the largest
-weight of each term, so a bound on every block's cosines is known beforehand and
-blocks that cannot hold one of the nearest are never opened: the result is exact. The votes of the nearest,
-weighted by likeness, with a little of the base rate, are the score; the nearest
-examples' ids are its evidence.
+Texts are vectors over all words of the labelled examples, and over those
+beginnings of words whose use tells the two labels apart; what tells them apart
+weighs more, by its chi-squared. The examples stand in an inverted index cut into
+blocks of examples. Lists of rare terms are added up as they are; of the long ones
+each block keeps the largest weight, so a bound on every block's cosines is known
+beforehand and blocks that cannot hold one of the nearest are never opened: the
+result is exact. The votes of the nearest, weighted by likeness, with a little of
+the base rate, are the score; the nearest examples' ids are its evidence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -21,19 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelark.llm.storage import cut
-from cuelark.llm.textbatch import LOWER, NOT_WORD, U64, flat, pieces, part_hashes, word_hashes, words
+from cuelark.llm.textbatch import LOWER, NOT_WORD, U64, flat, hashed_words, pieces, part_hashes, word_hashes, words
 
-#: Labelled examples at most, and terms at most; both bound what is broadcast.
+#: Labelled examples at most, and terms at most that weigh more than their IDF.
 EXAMPLES, TERMS_MOST = 10_000, 2_000
-#: A term is used if in so many examples, with so large a chi-squared of term and label.
+#: A term weighs more if in so many examples, with so large a chi-squared of term and label.
 LEAST_DOCS, LEAST_CHI2 = 8, 25.0
 #: Bytes of the beginnings that are terms, of words that are longer.
 BEGINNINGS = (5, 6, 7, 8)
 NEAREST, EVIDENCE, BLOCK = 50, 3, 128
 #: Weight of the base rate among the votes, and power of the likeness.
 PRIOR, POWER = 1.0, 4
-#: Different vectors whose scores a worker remembers.
-REMEMBERED = 200_000
+#: Terms of more examples have dense lists. Texts that are scored together, and steps of a cosine that count as different.
+LONG, TOGETHER, STEPS = 300, 128, 1_000_000
+TABLE_BITS = 22
 
 
 def terms(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -53,10 +55,10 @@ def terms(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
 
 def term_counts(column, vocabulary: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places in the sorted vocabulary, times) of each text, from all its terms."""
-    table = np.zeros(1 << 16, bool)
-    table[(vocabulary >> U64(48)).astype(np.int64)] = True
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[(vocabulary >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
     for _, h, owner, n in terms(column):
-        maybe = np.flatnonzero(table[(h >> U64(48)).astype(np.int64)])
+        maybe = np.flatnonzero(table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)])
         at = np.searchsorted(vocabulary, h[maybe])
         real = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h[maybe] if len(vocabulary) else np.zeros(len(maybe), bool)
         at, who = at[real], owner[maybe[real]]
@@ -71,64 +73,76 @@ class Index:
     """Examples in an inverted index with block maxima; scores new texts."""
 
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
+    idf: np.ndarray  # with what a term weighs more for telling labels apart
     ids: np.ndarray  # of the examples
     votes: np.ndarray  # their labels
-    lists: list[tuple[np.ndarray, np.ndarray]]  # a term's examples and weights
-    base: float  # rate of label 1 among examples without any of the terms
-    seen: dict[bytes, tuple[float, list[int]]] = field(default_factory=dict)
+    lists: tuple[np.ndarray, np.ndarray, np.ndarray] | list[tuple[np.ndarray, np.ndarray]]  # a term's examples and weights: begins of all, examples, weights; or a pair each
+    base: float  # rate of label 1 among examples without telling terms
 
     def __post_init__(self):
-        """Lays the lists out by block: a block's own terms, its last row 0 for all others."""
-        n = -(-len(self.ids) // BLOCK)
-        self.most = np.zeros((len(self.lists), n), np.float32)
-        for t, (e, w) in enumerate(self.lists):
-            np.maximum.at(self.most[t], e // BLOCK, w)
-        own = self.most > 0
-        self.place = np.where(own, np.cumsum(own, 0) - 1, own.sum(0)).astype(np.int32)
-        self.blocks = [np.zeros((k + 1, BLOCK), np.float32) for k in own.sum(0)]
-        for t, (e, w) in enumerate(self.lists):
-            for b in np.flatnonzero(own[t]):
-                x, z = np.searchsorted(e, [b * BLOCK, (b + 1) * BLOCK])
-                self.blocks[b][self.place[t, b], e[x:z] - b * BLOCK] = w[x:z]
+        """Lays the long lists out densely, by block."""
+        if isinstance(self.lists, list):
+            begins = np.concatenate([[0], np.cumsum([len(e) for e, _ in self.lists])]).astype(np.int64)
+            self.lists = begins, np.concatenate([np.empty(0, np.int32), *(e for e, _ in self.lists)]).astype(np.int32), np.concatenate([np.empty(0, np.float32), *(w for _, w in self.lists)]).astype(np.float32)
+        begins, examples, weights = self.lists
+        n = max(1, -(-len(self.ids) // BLOCK))
+        long = np.flatnonzero(np.diff(begins) > LONG)
+        self.row = np.full(len(begins) - 1, -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        self.dense = np.zeros((n, len(long), BLOCK), np.float32)
+        for i, t in enumerate(long):
+            e = examples[begins[t] : begins[t + 1]]
+            self.dense[e // BLOCK, i, e % BLOCK] = weights[begins[t] : begins[t + 1]]
+        self.most = self.dense.max(2).T.copy()
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[terms]
         return (w / np.sqrt((w * w).sum())).astype(np.float32)
 
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of (terms, weights) the k examples of largest cosine above 0, exactly to 1 / STEPS; ties go by place."""
+        begins, examples, weights = self.lists
+        n = len(self.dense)
+        size = n * BLOCK
+        long = np.zeros((len(queries), len(self.most)), np.float32)
+        rare = np.zeros((len(queries), size), np.float32)
+        for i, (terms, w) in enumerate(queries):
+            row = self.row[terms]
+            long[i, row[row >= 0]] = w[row >= 0]
+            t, w = terms[row < 0], w[row < 0]
+            times = begins[t + 1] - begins[t]
+            at = np.repeat(begins[t] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            rare[i] = np.bincount(examples[at], np.repeat(w, times) * weights[at], size)
+        bound = long @ self.most + rare.reshape(-1, n, BLOCK).max(2)
+        # Whole steps of the cosine and the place in one number.
+        best, worst = np.zeros((len(queries), k), np.int64), np.zeros(len(queries))
+        for b in np.argsort(-bound.max(0), kind="stable"):
+            open_to = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] + 1e-5 > worst))
+            if not len(open_to):
+                continue
+            held = rare[open_to, b * BLOCK : (b + 1) * BLOCK] + long[open_to] @ self.dense[b]
+            keys = np.rint(held.astype(np.float64) * STEPS).astype(np.int64) * size + (size - 1 - b * BLOCK - np.arange(BLOCK))
+            best[open_to] = np.partition(np.concatenate([best[open_to], keys], 1), -k, 1)[:, -k:]
+            worst[open_to] = best[open_to, 0] // size / STEPS
+        best = -np.sort(-best, 1)
+        return [(size - 1 - x % size, (x // size / STEPS).astype(np.float32)) for x in (y[y >= size] for y in best)]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, exactly; ties go by bound and place of their block."""
-        bound = weights @ self.most[terms]
-        found, cosines, worst = np.empty(0, np.int64), np.empty(0, np.float32), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= worst + 1e-6 and len(found) >= k or bound[b] <= 0:
-                break
-            held = weights @ self.blocks[b][self.place[terms, b]]
-            some = np.flatnonzero(held > 0)
-            if worst:
-                some = some[held[some] > worst]
-            found, cosines = np.concatenate([found, some + b * BLOCK]), np.concatenate([cosines, held[some]])
-            if len(found) >= k:
-                order = np.argsort(-cosines, kind="stable")[:k]
-                found, cosines = found[order], cosines[order]
-                worst = float(cosines[-1])
-        order = np.argsort(-cosines, kind="stable")
-        return found[order], cosines[order]
-
-    def score(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
-        if not len(terms):
-            return self.base, []
-        key = terms.tobytes() + times.tobytes()
-        if key not in self.seen:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            near, cosine = self.nearest(terms, self.vector(terms, times))
-            w = np.minimum(cosine, 1.0) ** POWER
-            self.seen[key] = float(((w * self.votes[near]).sum() + PRIOR * self.base) / (w.sum() + PRIOR)), self.ids[near[:EVIDENCE]].tolist()
-        return self.seen[key]
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """(score, evidence) of each text of (terms, times)."""
+        out: list[tuple[float, list[int]]] = [(self.base, [])] * len(counted)
+        some = [i for i, (terms, _) in enumerate(counted) if len(terms)]
+        for a in range(0, len(some), TOGETHER):
+            now = some[a : a + TOGETHER]
+            for i, (near, cosine) in zip(now, self.nearest_of([(counted[i][0], self.vector(*counted[i])) for i in now]), strict=True):
+                w = np.minimum(cosine, 1.0).astype(np.float64) ** POWER
+                out[i] = float(((w * self.votes[near]).sum() + PRIOR * self.base) / (w.sum() + PRIOR)), self.ids[near[:EVIDENCE]].tolist()
+        return out
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "most", "place", "blocks")} | {"seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "dense", "most")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -149,6 +163,13 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(pos), pa.array(every - pos)], ["term", "pos", "neg"])
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By parts, the hashes of all words."""
+    for batch in batches:
+        for _, h, _ in hashed_words(batch.column("text"), NOT_WORD):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], ["term"])
+
+
 def _examples(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = list(term_counts(batch.column("text"), vocabulary.value))
@@ -158,21 +179,22 @@ def _examples(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Reco
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """One row a task: its texts, and in how many of them each term is."""
+    """A task's texts, as the count of term -1, and in how many of them each term is."""
     total, n = np.zeros(len(vocabulary.value), np.int64), 0
     for batch in batches:
         n += batch.num_rows
         for terms, _ in term_counts(batch.column("text"), vocabulary.value):
             total[terms] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.int64()))], ["n", "df"])
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n], total[some]]))], ["term", "k"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES) -> Index:
     """The index of at most ``most`` labelled examples that are not held out, of ``labels(doc_id, <label>)``.
 
     Statistics of terms and labels come from the examples; document frequencies
-    for the IDF come from all of ``docs(doc_id, text)``. The driver gets the terms
-    (TERMS_MOST) and the examples' vectors over them. Repeated labels of a document
+    for the IDF come from all of ``docs(doc_id, text)``. The driver gets the words
+    of the examples, TERMS_MOST terms and the examples' vectors over them. Repeated labels of a document
     count once, as the largest; null labels and ids do not count.
     """
     sc = docs.sparkSession.sparkContext
@@ -180,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     one = usable.groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("label")).withColumn("ticket", F.xxhash64("id"))
     few = one.orderBy("ticket").limit(most)
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(few), "id").select(F.col("id").cast("long").alias("id"), "ticket", "label", "text")
+    sample = cut(texts.join(F.broadcast(few), "id").select(F.col("id").cast("long").alias("id"), "ticket", "label", "text"))
 
     each = cut(sample.mapInArrow(_term_labels, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DOCS))
     counts = {r.label: r["count"] for r in few.groupBy("label").count().collect()}
@@ -189,37 +211,37 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     margins = (F.col("pos") + F.col("neg")) * (p + n - F.col("pos") - F.col("neg")) * p * n
     chi2 = F.when(margins > 0, cross * cross * (p + n) / margins).otherwise(0.0)
     kept = each.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS_MOST).toArrow()
-    vocabulary = np.sort(kept["term"].to_numpy().view(np.uint64))
+    telling = kept["term"].to_numpy().view(np.uint64)
+    every = sample.mapInArrow(_words, "term long").distinct().toArrow()["term"].to_numpy().view(np.uint64)
+    vocabulary = np.union1d(every, telling)
+    more = np.zeros(len(vocabulary))
+    more[np.searchsorted(vocabulary, telling)] = kept["chi2"].to_numpy()
 
     shared = sc.broadcast(vocabulary)
-    parts = texts.select("text").mapInArrow(partial(_document_counts, vocabulary=shared), "n long, df array<long>")
-    df = np.zeros(len(vocabulary), np.int64)
-    total = parts.select(F.sum("n")).first()[0] or 0
-    for r in parts.select(F.posexplode("df").alias("term", "k")).groupBy("term").agg(F.sum("k").alias("k")).collect() if len(vocabulary) else ():
-        df[r.term] = r.k
-    idf = np.log(1 + total / np.maximum(df, 1))
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    counted = texts.select("text").mapInArrow(partial(_document_counts, vocabulary=shared), "term long, k long").groupBy("term").agg(F.sum("k").alias("k")).toArrow()
+    df[counted["term"].to_numpy()] = counted["k"].to_numpy()
+    idf = np.log(1 + df[-1] / np.maximum(df[:-1], 1)) * (1 + more)
 
     got = sample.mapInArrow(partial(_examples, vocabulary=shared), "id long, ticket long, label int, terms array<long>, times array<long>").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i, t=got["ticket"].to_pylist(), d=got["id"].to_pylist(): (t[i], d[i]))
-    got = got.take(pa.array(order, pa.int64()))
+    got = got.take(pa.array(np.lexsort((got["id"].to_numpy(), got["ticket"].to_numpy())), pa.int64())).combine_chunks()
     ids, votes = got["id"].to_numpy(), got["label"].to_numpy().astype(np.float64)
-    index = Index(vocabulary, idf, ids, votes, [], 0.0)
-    lists: list[tuple[list[int], list[float]]] = [([], []) for _ in vocabulary]
-    none = np.ones(len(ids), bool)
-    for i, (terms, times) in enumerate(zip(got["terms"].to_pylist(), got["times"].to_pylist(), strict=True)):
-        if terms:
-            none[i] = False
-            for t, w in zip(terms, index.vector(np.array(terms), np.array(times)), strict=True):
-                lists[t][0].append(i)
-                lists[t][1].append(w)
+    flattened = lambda c: np.concatenate([np.empty(0, np.int64), *(x.flatten().to_numpy() for x in got[c].chunks)])
+    terms, times = flattened("terms"), flattened("times")
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([np.empty(0, np.int64), *(x.value_lengths().to_numpy() for x in got["terms"].chunks)]))
+    w = (1 + np.log(times)) * idf[terms]
+    w = (w / np.sqrt(np.bincount(owner, w * w, len(ids)))[owner]).astype(np.float32)
+    order = np.argsort(terms, kind="stable")
+    lists = np.searchsorted(terms[order], np.arange(len(vocabulary) + 1)), owner[order], w[order]
+    none = np.bincount(owner, more[terms] > 0, len(ids)) == 0
     rate = float(votes.mean()) if len(votes) else 0.0
     base = float((votes[none].sum() + rate) / (none.sum() + 1))
-    return Index(vocabulary, idf, ids, votes, [(np.array(e, np.int64), np.array(w, np.float32)) for e, w in lists], base)
+    return Index(vocabulary, idf, ids, votes, lists, base)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [index.value.score(*x) for x in term_counts(batch.column("text"), index.value.vocabulary)]
+        got = index.value.scores(list(term_counts(batch.column("text"), index.value.vocabulary)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))],
             ["doc_id", "held_out", "score", "predicted", "evidence"],
@@ -230,8 +252,8 @@ def classify(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for each row of ``docs(doc_id, text)``.
 
     ``predicted`` is 1 from a score of 0.5 up; ``evidence`` lists the nearest
-    examples' ids. A text without any of the terms (also a null or empty one) has
-    the rate of such examples and no evidence. Whole texts count, however long;
+    examples' ids. A text without any word of the examples (also a null or empty
+    one) has the rate of examples without telling terms and no evidence. Whole texts count, however long;
     repeated rows are rows of their own; a null doc_id is not held out; an empty
     table gives an empty one; other columns are never read.
     """

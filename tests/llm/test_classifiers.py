@@ -102,6 +102,16 @@ def test_toxicity_edges(spark):
     assert toxicity.classify(odd.limit(0), index).count() == 0
 
 
+def test_copies_of_examples_without_telling_terms_find_them(spark):
+    docs, labels = frames(spark)
+    word = lambda i, j: f"own{chr(97 + i)}{chr(97 + j)}"
+    rare = spark.createDataFrame([(1000 + i, " ".join(word(i, j) for j in range(12))) for i in range(20)], "doc_id long, text string")
+    index = toxicity.learn(docs.unionByName(rare), labels.unionByName(spark.createDataFrame([(1000 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")))
+    rows = toxicity.classify(rare, index).collect()
+    known = {r.doc_id for r in rows if not r.held_out}
+    assert known and all(r.evidence[0] == r.doc_id and r.score > index.base for r in rows if r.doc_id in known)
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
     n, terms = 1500, 30
