@@ -10,12 +10,17 @@ The shape of the job, each step linear in what it reads:
    most central class (the one whose buckets are fullest) against all others.
 3. Pairs whose minima agree too rarely are dropped, the rest are confirmed on
    the full sets, and confirmed links are merged into components.
-4. Classes that stars hold together are a family; it is done if it now lies in one
-   component. In the others every class outside the largest component that shares
-   enough shingles with the family to have a link at all is compared with the
-   family on full sets, in blocks of bounded size, so no link between different
-   sets is lost and no group is ever gathered whole. A block gives a spanning
-   forest of its links, not all of them.
+4. Classes that stars hold together are a group; it is done if it now lies in one
+   component. In the others every set gives its rarest shingles, as many as any
+   link must share one of; shingles that classes of two components give make
+   families, mostly far smaller than the groups. In a family the classes outside
+   the largest component are compared with all on full sets, in blocks of bounded
+   size, so no link between different sets is lost and no family is ever gathered
+   whole. A block gives a spanning forest of its links, not all of them.
+
+A class is named after its smallest doc_id. Where a doc_id repeats with different
+texts, one name may stand for several sets: it is then linked with whatever one of
+them is linked with, as a document is.
 """
 
 from __future__ import annotations
@@ -25,10 +30,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelark.llm.components import connected_components
+from cuelark.llm.joins import spread_join
 from cuelark.llm.storage import cut, staged
 from cuelark.llm.textbatch import U64, mixed, shingle_sets
 
@@ -39,8 +45,12 @@ MINIMA = BANDS * ROWS
 SMALL = 16
 #: Classes and shingles of a block at most (about), and columns of its matrix at a time.
 BLOCK, BLOCK_ITEMS, COLUMNS = 2048, 1_000_000, 1024
+#: A family is cut into so many blocks at least, unless they are smaller than that.
+LEAST_BLOCKS, LEAST_BLOCK = 16, 128
 #: Ids of which the text join may be broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Cells of the table of how often shingles occur.
+CELLS = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(4711))
 FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * U64(2) + U64(1)
@@ -85,7 +95,8 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         sets = list(shingle_sets(batch.column("text"), k))
         asked = batch.column("d1").to_numpy().view(np.uint64)
         found = [i for i, s in enumerate(sets) if len(s) and np.bitwise_xor.reduce(mixed(s)) == asked[i]]
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(found, pa.int64())), pa.array([sets[i].tobytes() for i in found], pa.binary())], ["id", "items"])
+        at = pa.array(found, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("d1").take(at), pa.array([sets[i].tobytes() for i in found], pa.binary())], ["id", "d1", "items"])
 
 
 def agreement(num: int, den: int) -> int:
@@ -163,14 +174,39 @@ def _linked(table: pa.Table, same: bool, num: int, den: int) -> pa.Table:
     return pa.table({"a": np.minimum(left, right).astype(np.int64), "b": np.maximum(left, right).astype(np.int64)})
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a set."""
+def _cells(items: np.ndarray) -> np.ndarray:
+    return (items >> U64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall into each cell."""
+    total = np.zeros(CELLS, np.int64)
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
-        ids, family = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in sets]) for c in ("id", "family"))
+        for x in batch.column("items"):
+            np.add.at(total, _cells(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "times"])
+
+
+def rarest(items: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a set, as many as every linked set shares one of.
+
+    A link has at least ``num/den`` of either set in common, so two linked sets
+    cannot be apart in the first ``n - ceil(n * num / den) + 1`` of any one order.
+    """
+    first = len(items) - -(-len(items) * num // den) + 1
+    return items[np.lexsort((items, often[_cells(items)]))[:first]]
+
+
+def _keys(batches: Iterator[pa.RecordBatch], often, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """A row for each of a set's rarest shingles."""
+    for batch in batches:
+        sets = [rarest(np.frombuffer(x.as_buffer(), np.uint64), often.value, num, den) for x in batch.column("items")]
+        ids, comp = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in sets]) for c in ("id", "component"))
+        items = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
         for a in range(0, len(ids), 1 << 16):
             part = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(family[part]), pa.array(np.concatenate(sets)[part])], ["id", "family", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(comp[part]), pa.array(items[part])], ["id", "component", "item"])
 
 
 class _Links:
@@ -180,61 +216,77 @@ class _Links:
         self.docs, self.classes, self.k, self.num, self.den = docs, classes, k, num, den
         self.sets: DataFrame | None = None
 
+    def _both(self, pairs: DataFrame, sides: DataFrame) -> DataFrame:
+        """Pairs with the columns of either class; a class of many pairs is dealt over several tasks."""
+        rows, met = pairs.count(), pairs
+        for side in ("a", "b"):
+            own = sides.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in sides.columns])
+            met = spread_join(met, own, [side], counts=pairs.groupBy(side).agg(F.count("*").alias("_c")), rows=rows)
+        return met
+
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the link and whose minima agree often enough."""
-        c = self.classes
-        a = c.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("minima").alias("minima_a"))
-        b = c.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("minima").alias("minima_b"))
         fits = F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num
-        return pairs.join(a, "a").join(b, "b").where(fits).mapInArrow(partial(_alike, least=agreement(self.num, self.den)), "a long, b long")
+        return self._both(pairs, self.classes.select("id", "n", "minima")).where(fits).mapInArrow(partial(_alike, least=agreement(self.num, self.den)), "a long, b long")
 
     def gather(self, ids: DataFrame) -> None:
         """Makes the full sets of these classes, from one more read of the texts."""
         near = cut(ids.distinct().join(self.classes.select("id", "d1"), "id"))
+        asked = near.count()
         texts = self.docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-        near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-        self.sets = staged(texts.join(near, "id").mapInArrow(partial(_sets, k=self.k), "id long, items binary"), "sets")
+        near = F.broadcast(near) if asked <= BROADCAST_IDS else near
+        self.sets = staged(texts.join(near, "id").mapInArrow(partial(_sets, k=self.k), "id long, d1 long, items binary"), "sets")
+        if self.sets.count() > asked:  # repeated rows
+            self.sets = staged(self.sets.dropDuplicates(["id", "d1"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        a = self.sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-        b = self.sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(partial(_confirmed, num=self.num, den=self.den), "a long, b long")
+        return self._both(pairs, self.sets.select("id", "items")).mapInArrow(partial(_confirmed, num=self.num, den=self.den), "a long, b long")
 
 
 def _stars(big: DataFrame) -> DataFrame:
     """Pairs (a, b) of each bucket's most central class, the hub, with every other class in it."""
     hub = big.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
-    met = big.join(hub, "key").where("id <> hub")
+    met = spread_join(big, hub, ["key"]).where("id <> hub")
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _settled(stars: DataFrame, comps: DataFrame, links: _Links) -> DataFrame | None:
-    """Edges for the links that stars have missed in families of more than one component; None if there are no such.
+def _families(held: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, family): classes that may have a link to one of another component.
 
-    A class with fewer than ``tau * n`` shingles that occur elsewhere in the family
-    has no link. Nor has one whose shared shingles allow only smaller partners than
-    the family has: a link needs ``tau / (1 + tau) * (n_a + n_b)`` in common.
+    They give a rare shingle that a class of another component gives as well.
     """
+    spark = held.sparkSession
+    often = np.zeros(CELLS, np.int64)
+    seen = held.select("items").mapInArrow(_often, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    often[seen["cell"].to_numpy()] = seen["times"].to_numpy()
+    keys = staged(held.select("id", "component", "items").mapInArrow(partial(_keys, often=spark.sparkContext.broadcast(often), num=num, den=den), "id long, component long, item long"), "keys")
+    shared = cut(keys.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("hub"), F.count("*").alias("_c")).where("lo <> hi"))
+    met = spread_join(keys.select("id", "item"), shared.select("item", "hub"), ["item"], counts=shared, rows=keys.count())
+    return connected_components(met.select(F.col("id").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("family"))
+
+
+def _settled(stars: DataFrame, comps: DataFrame, links: _Links) -> DataFrame | None:
+    """Edges for the links that stars have missed in groups of more than one component; None if there are no such."""
     num, den = links.num, links.den
-    families = connected_components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "family")
-    named = families.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
-    mixed_ones = named.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
-    rest = cut(named.join(mixed_ones, "family"))
+    groups = connected_components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "group")
+    named = cut(groups.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "group", F.coalesce("component", "id").alias("component")))
+    mixed_ones = named.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group")
+    rest = cut(spread_join(named, mixed_ones, ["group"]).select("id", "component"))
     if rest.isEmpty():
         return None
-    held = cut(rest.join(links.sets, "id"))
-    alone = held.mapInArrow(_items, "id long, family long, item long").groupBy("family", "item").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
-    own = alone.groupBy("id").agg(F.count("*").alias("own"))
-    n = F.octet_length("items") / 8
-    sized = held.join(own, "id", "left").withColumn("n", n.cast("long")).withColumn("live", F.col("n") - F.coalesce("own", F.lit(0)))
-    largest = sized.groupBy("family", "component").agg(F.count("*").alias("c"), F.min("n").alias("least")).groupBy("family").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.min("least").alias("least"))
-    most = F.col("live") * (num + den) / F.lit(float(num)) - F.col("n")
-    able = (F.col("live") * den >= F.col("n") * num) & (most + 1e-9 >= F.col("least"))
-    sized = cut(sized.join(largest, "family").where(able).select("id", "family", "component", "items", "n", (F.col("component") == F.col("main")).cast("int").alias("inside")))
-    blocks = sized.groupBy("family").agg(*[
-        F.ceil(F.greatest(F.sum(F.when(F.col("inside") == k, 1).otherwise(0)) / BLOCK, F.sum(F.when(F.col("inside") == k, F.col("n")).otherwise(0)) / BLOCK_ITEMS)).cast("long").alias(f"blocks_{k}") for k in (0, 1)
+    held = staged(rest.join(links.sets.select("id", "items"), "id"), "held")
+    near = cut(_families(held, num, den))
+    if near.isEmpty():
+        return None
+    sized = staged(held.join(near, "id").withColumn("n", (F.octet_length("items") / 8).cast("long")), "sized")
+    inside = (F.col("component") == F.col("main")).cast("int")
+    largest = sized.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"))
+    marked = spread_join(sized.select("id", "family", "component", "n"), largest, ["family"]).withColumn("inside", inside)
+    size = F.greatest(F.lit(min(LEAST_BLOCK, BLOCK)), F.least(F.lit(BLOCK), F.ceil(F.count("*") / LEAST_BLOCKS)))
+    blocks = marked.groupBy("family").agg(F.max("main").alias("main"), *[
+        F.ceil(F.greatest(F.sum(F.when(F.col("inside") == k, 1).otherwise(0)) / size, F.sum(F.when(F.col("inside") == k, F.col("n")).otherwise(0)) / BLOCK_ITEMS)).cast("long").alias(f"blocks_{k}") for k in (0, 1)
     ])
-    dealt = sized.join(blocks, "family").where("blocks_0 > 0")
+    dealt = spread_join(sized, cut(blocks), ["family"]).withColumn("inside", inside).where("blocks_0 > 0")
     mine = dealt.withColumn("mine", F.when(F.col("inside") == 1, F.col("blocks_0") + F.pmod(F.xxhash64("id"), F.col("blocks_1"))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks_0"))))
     # Blocks outside the largest component meet all blocks, those inside it only the ones outside.
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("inside") == 1, F.col("blocks_0")).otherwise(F.col("blocks_0") + F.col("blocks_1")) - 1)
@@ -254,21 +306,21 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = WOR
     its smallest doc_id, and ``kept`` marks that one. A text of fewer than ``k``
     words is one shingle; one that is null, empty or blank has none and is linked
     with nothing. A very long text is taken whole. Rows that repeat a doc_id
-    belong to one document: its component is one, each row has its own set size;
-    if their texts differ, near links are looked for from one of them.
-    Rows without doc_id come back with a null component, not kept. Ties need no
-    rule. An empty table gives an empty one; other columns are never read.
+    belong to one document: its component is one, the links of each of its texts
+    are its own, and each row has its own set size. Rows without doc_id come back
+    with a null component, not kept. Ties need no rule. An empty table gives an
+    empty one; other columns are never read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = staged(texts.mapInArrow(partial(_fingerprints, k=k), FINGERPRINT), "fingerprints")
     known = prints.where("n > 0 and doc_id is not null")
-    first = cut(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")))
-    own = known.withColumnRenamed("doc_id", "id").join(first, ["id", "n", "d1", "d2"])
-    classes = staged(own.select("id", "n", "d1", "bands", "minima").dropDuplicates(["id"]), "classes")
+    first = cut(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("_c")))
+    own = known.withColumnRenamed("doc_id", "id").join(first.drop("_c"), ["id", "n", "d1", "d2"])
+    classes = staged(own.select("id", "n", "d1", "d2", "bands", "minima").dropDuplicates(["id", "n", "d1", "d2"]), "classes")
 
     rows = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = cut(rows.join(shared, "key"))
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1"))
+    buckets = cut(spread_join(rows, shared, ["key"], counts=shared, rows=classes.count() * BANDS).withColumnRenamed("_c", "c"))
     few = buckets.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pairs = few.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
     central = buckets.where(F.col("c") > SMALL).groupBy("id").agg(F.sum("c").alias("central"))
@@ -279,36 +331,50 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = WOR
     if wide:
         stars = cut(_stars(big))
         pairs = pairs.unionByName(stars).distinct()
-    pairs = cut(links.alike(pairs))
+    pairs = cut(links.alike(cut(pairs)))
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     links.gather(asked.unionByName(big.select("id")) if wide else asked)
-    same = known.join(first, ["n", "d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    comps = connected_components(cut(links.confirmed(pairs)))
+    edges = links.confirmed(pairs)
+    # A document of several texts holds their classes together.
+    several = cut(prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("doc_id"))
+    repeated = not several.isEmpty()
+    if repeated:
+        texts_of = known.select("doc_id", "n", "d1", "d2").join(several, "doc_id").join(first.drop("_c"), ["n", "d1", "d2"]).select("doc_id", "id")
+        edges = edges.unionByName(texts_of.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
+    comps = connected_components(edges)
     more = _settled(stars, comps, links) if wide else None
     if more is not None:
-        comps = connected_components(cut(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    # Copies join the component of their class.
-    hung = same.join(comps.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
-    named = hung.select(F.col("a").alias("doc_id"), F.col("b").alias("component")).unionByName(comps.withColumnRenamed("node", "doc_id"))
-    label = named.groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = prints.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+    # Every row has the component of its class.
+    label = first.join(comps.withColumnRenamed("node", "id"), "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
+    slim = prints.select("doc_id", "n", "d1", "d2")
+    met = spread_join(slim.where("n > 0 and doc_id is not null"), label, ["n", "d1", "d2"], counts=first, rows=prints.count())
+    none = slim.where("n = 0 or doc_id is null").withColumn("component", F.col("doc_id"))
+    out = met.unionByName(none)
+    if repeated:
+        one = several.join(out, "doc_id").groupBy("doc_id").agg(F.min("component").alias("_one"))
+        out = out.join(cut(one), "doc_id", "left").withColumn("component", F.coalesce("_one", "component"))
+    kept = F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, num: int = 80, den: int = 100, k: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without near copies, with their columns as they were.
 
     The document of the smallest doc_id stays of each component of
-    ``near_duplicates``; one row of it, if several repeat its doc_id. Rows without
-    doc_id stay.
+    ``near_duplicates``. Of rows that repeat its doc_id and text one stays, the one
+    whose columns have the smallest hash; rows of its doc_id and another text stay.
+    Rows without doc_id stay.
     """
     found = near_duplicates(docs, num, den, k)
     gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
     if repeated.isEmpty():
         return left
-    named, nameless = left.where("doc_id is not null"), left.where("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless)
+    again = F.col("doc_id") == F.col("_again")
+    one = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    single = left.join(repeated, again, "left_semi").withColumn("_turn", F.row_number().over(one)).where("_turn = 1").drop("_turn")
+    return left.join(repeated, again, "left_anti").unionByName(single)

@@ -1,7 +1,8 @@
 """Where intermediate tables live: the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names it. Only where that setting is absent (tests,
-a laptop) is a folder of our own made.
+``spark.checkpoint.dir`` names it. Only where that setting is absent and Spark
+runs on this machine alone (tests, a laptop) is a folder of our own made. What was
+written there goes when the program ends.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; also makes sure that ``checkpoint()`` has one."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not named and held.isEmpty() and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError(f"{SETTING} must name a folder that all executors share")
     if not named:
         named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="cuelark-")
     if held.isEmpty():
         spark.sparkContext.setCheckpointDir(named)
+        atexit.register(_forget, spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return named
 
 
@@ -32,8 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what was cut off.
+
+    Spark does so once the driver's garbage collector has found them unused. In a
+    loop of small jobs the driver's heap hardly grows, so it would not look for long.
+    """
+    spark._jvm.System.gc()
+
+
 def _forget(spark: SparkSession, path: str) -> None:
-    """Deletes a staged table when the program ends, if Spark still runs."""
+    """Deletes a staged table, or this program's checkpoints, when the program ends, if Spark still runs."""
     if spark.sparkContext._jsc is None:
         return
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

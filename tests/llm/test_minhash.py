@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from cuelark.llm import minhash
+from cuelark.llm import joins, minhash
 from cuelark.llm.components import connected_components
 from tests.llm.test_textbatch import words_of
 
@@ -105,3 +106,46 @@ def test_components_of_random_graphs(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == name and len(got) == len(name)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_doc_id_of_several_texts_keeps_all_their_links(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b, other = " ".join(words[:100]), " ".join(words[100:200]), " ".join(words[200:])
+    changed = " ".join([*words[100:150], "x", *words[151:200]])
+    rows = [(5, a), (5, b), (9, b), (7, changed), (3, a), (8, other), (8, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (9, 3), (7, 3), (3, 3), (8, 8)} and len(got) == len(rows)
+    left = minhash.deduplicated(spark.createDataFrame([(5, a), (5, b), (5, b), (9, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(5, a), (5, b)])
+
+
+def test_rarest_shingles_meet_wherever_a_link_is():
+    rng = random.Random(11)
+    often = np.array([rng.randrange(9) for _ in range(minhash.CELLS)])
+    for _ in range(300):
+        s = {rng.getrandbits(64) for _ in range(rng.randrange(1, 40))}
+        t = {x for x in s if rng.random() < 0.95} | {rng.getrandbits(64) for _ in range(rng.randrange(3))}
+        if t and 100 * len(s & t) >= 85 * len(s | t):
+            first = [set(minhash.rarest(np.array(sorted(x), np.uint64), often, 85, 100).tolist()) for x in (s, t)]
+            assert first[0] & first[1]
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """A third of all rows on one key: small limits, so that the rows take several salts."""
+    monkeypatch.setattr(joins, "HOT_LEAST", 5)
+    left = spark.createDataFrame([(i, 7 if i % 3 == 0 else i, None if i == 50 else i % 4) for i in range(300)], "x long, k long, j long")
+    right = spark.createDataFrame([(7, "hot"), (4, "four"), (None, "none")], "k long, v string")
+    for how in ("inner", "left"):
+        got = sorted(joins.spread_join(left, right, ["k"], how).select("x", "k", "v").collect(), key=repr)
+        assert got == sorted(left.join(right, ["k"], how).select("x", "k", "v").collect(), key=repr)
+    star = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(399, 400)], "a long, b long")
+    assert {(r.node, r.component) for r in connected_components(star).collect()} == {(i, 0) for i in range(401)}
+
+
+def test_a_very_long_text(spark):
+    """5 MB, and a copy with one word changed."""
+    words = [f"w{i}" for i in range(700_000)]
+    changed = [*words[:350_000], "x", *words[350_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, "a b c")]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 699_996), 2: (1, 699_996), 3: (3, 1)}
