@@ -1,15 +1,23 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged: their elements fall together where their style
-paths (tags and classes from the root) are the same. A branch's content
-importance is 1 less the mean entropy of its texts over the host's pages: texts
-that return on every page carry nothing, texts of one page carry all. Its
-presentation importance says what its markup means: navigation, adverts, forms or
-comments by tag, class or role are 0. A page's blocks in branches of low
-importance are removed. The article (or main) element of a page, where it has one,
-bounds its content, and branches below it are measured by its own importance: what
-repeats where the article does not is removed, and an article that itself repeats
-(copies of a page) stays. Pages without it rest on the tree alone.
+paths (tags and classes from the root) are the same. A branch has two importances.
+Its presentation importance is the entropy of the ways in which its own elements
+follow each other on the pages that have it: 0 where they always do alike. Its
+content importance is 1 less the mean entropy of the texts below it over those
+pages: texts that return on every page carry nothing, texts of one page carry all.
+The more ways a branch is laid out in, the more the first counts; together they are
+believed the more, the more pages there are. Branches of low importance are removed
+from every page.
+
+Markup is a prior: what names a branch navigation, advert, form or comments by tag,
+class or role multiplies its importance by MARKUP, which leaves it below LEAST
+whatever its texts are, since comments and adverts differ from page to page as an
+article does. Such branches therefore never enter the tree. The article (or main)
+element of a page, where it has one, bounds its content, and branches below it are
+measured by its own importance: what repeats where the article does not is removed,
+and an article that itself repeats (copies of a page) stays. Pages without it rest
+on the tree alone.
 """
 
 from __future__ import annotations
@@ -46,12 +54,16 @@ NOISE = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
-#: A branch below this importance goes. What hangs deeper than DEPTH belongs to the branch above it.
-LEAST, DEPTH = 0.3, 32
+#: A branch below LEAST goes; MARKUP is the prior of one that its markup names as no content.
+LEAST, MARKUP = 0.3, 0.25
+#: A branch of n layouts has content for WEIGHT ** n of its importance.
+WEIGHT = 0.9
+#: What hangs deeper belongs to the branch above it, so that the paths of a page have a bound.
+DEPTH = 32
 #: The first article or main of a path that goes on below it, in Python and in Spark.
 ARTICLE = r"^(.*?>(?:article|main)(?:\.[^>]*)?)>"
-#: Pages of a host from which its tree is believed, rows of all trees that are broadcast, and parts of a host's pages otherwise.
-LEAST_PAGES, BROADCAST_ROWS, SALT = 4, 200_000, 32
+#: Rows of all trees that are broadcast, and parts of a host's pages otherwise.
+BROADCAST_ROWS, SALT = 200_000, 32
 
 
 def style(tag: str, attributes: str) -> tuple[str, bool]:
@@ -71,9 +83,12 @@ def style(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(names)]), noise
 
 
-def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
+def blocks(html: str | None, layouts: dict[str, list[str]] | None = None) -> list[tuple[str, str, bool, bool]]:
     """(style path, text, markup says noise, inside article or main) of all blocks in page order.
 
+    ``layouts`` takes the names of the elements below each style path, in page
+    order, but for what markup says is noise.
+
     Forgiving like a browser: unclosed and stray tags, truncated pages and
     attributes with markup in them are all read. Character references are decoded,
     white space is one space, empty blocks are none.
@@ -151,6 +166,9 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
         top = stack[-1] if stack else ("", "", False, False)
         if tag == "header":
             noise = noise or not top[3]
+        if layouts is not None and not (noise or top[2]):
+            layouts.setdefault(top[1], []).append(name)
+            layouts.setdefault(below(top[1], name), [])
         stack.append((tag, below(top[1], name), noise or top[2], top[3] or tag in ("article", "main") and not (noise or top[2])))
     close_block()
     return out
@@ -174,40 +192,56 @@ def below_article(path: str) -> list[str]:
     return [b for b in branches(path) if len(b) > len(m[1])] if m else []
 
 
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By parts, on how many pages of a host each text of each style path stands."""
+    """By parts, on how many pages of a host each text, and each layout, of each style path stands."""
     for batch in batches:
-        seen: dict[tuple[str, str, int], int] = {}
+        seen: dict[tuple[str, str, bool, int], int] = {}
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = {(p, xxhash.xxh3_64_intdigest(t) - (1 << 63)) for p, t, noise, _ in blocks(html) if not noise}
-            for p, t in own | {("", 0)}:
-                seen[host(url), p, t] = seen.get((host(url), p, t), 0) + 1
+            layouts: dict[str, list[str]] = {}
+            own = {(p, True, _hash(t)) for p, t, noise, _ in blocks(html, layouts) if not noise}
+            own |= {(p, False, _hash(">".join(names)) if names else 0) for p, names in layouts.items() if p}
+            name = host(url)
+            for key in own:
+                seen[name, *key] = seen.get((name, *key), 0) + 1
         keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["host", "path", "feature", "pages"])
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([seen[k] for k in keys], pa.int64())], ["host", "path", "is_text", "feature", "pages"])
 
 
 def site_trees(pages: DataFrame) -> DataFrame:
     """(host, weak): per host the branches of low importance, of the pages' merged style trees.
 
-    The entropy of a text that stands on k of a host's m pages is log k / log m; a
-    branch's content importance is 1 less the mean over all places of texts below
-    it. A branch is weak below LEAST, or, inside an article, below that share
-    of the article's importance. Hosts of fewer than LEAST_PAGES pages have no weak
-    branch.
+    Of a branch on m pages, the entropy of a text on k of them is log k / log m and
+    its content importance 1 less the mean over all places of texts below it; its
+    presentation importance is the entropy, to base m, of the share of pages that
+    have each layout. What they lack together of 1 counts by (m - 1) / (m + 1),
+    so a branch of one page has importance 1 and one that repeats on six pages none
+    of any use. A branch is weak below LEAST, or, inside an article, below that
+    share of the article's importance.
     """
-    parts = pages.mapInArrow(_features, "host string, path string, feature long, pages long")
-    each = parts.groupBy("host", "path", "feature").agg(F.sum("pages").alias("k"))
-    m = F.max(F.when((F.col("path") == "") & (F.col("feature") == 0), F.col("k")))
-    leaves = each.groupBy("host", "path").agg(F.sum("k").alias("places"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("logs"), m.alias("m"))
-    leaves = cut(leaves)
-    sizes = leaves.where("path = ''").select("host", "m").where(F.col("m") >= LEAST_PAGES)
+    parts = pages.mapInArrow(_features, "host string, path string, is_text boolean, feature long, pages long")
+    each = parts.groupBy("host", "path", "is_text", "feature").agg(F.sum("pages").alias("k"))
+    k_log_k = F.sum(F.col("k") * F.log(F.col("k").cast("double")))
+    # The feature 0 of a layout is that of no element below.
+    laid_out = F.count_if(~F.col("is_text") & (F.col("feature") != 0))
+    nodes = cut(each.groupBy("host", "path", "is_text").agg(F.sum("k").alias("places"), k_log_k.alias("logs"), laid_out.alias("layouts")))
     steps = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ">"))
-    below = leaves.where("path <> ''").select("host", "places", "logs", F.explode(above).alias("branch"))
-    tree = below.groupBy("host", "branch").agg(F.sum("places").alias("places"), F.sum("logs").alias("logs")).join(sizes, "host")
-    importance = 1 - F.col("logs") / F.col("places") / F.log(F.col("m").cast("double"))
+    texts = nodes.where(F.col("is_text") & (F.col("path") != "")).select("host", F.explode(above).alias("branch"), "places", "logs")
+    content = texts.groupBy("host", "branch").agg(F.sum("places").alias("places"), F.sum("logs").alias("text_logs"))
+    layouts = nodes.where(~F.col("is_text")).select("host", F.col("path").alias("branch"), F.col("places").alias("m"), F.col("logs").alias("layout_logs"), "layouts")
+    log_m = F.log(F.col("m").cast("double"))
+    shown = F.when(F.col("m") > 1, (log_m - F.col("layout_logs") / F.col("m")) / log_m).otherwise(1.0)
+    held = F.when(F.col("m") > 1, 1 - F.col("text_logs") / F.col("places") / log_m).otherwise(1.0)
+    by_text = F.pow(F.lit(WEIGHT), F.col("layouts"))
+    believed = (F.col("m") - 1) / (F.col("m") + 1)
+    importance = 1 - (1 - (1 - by_text) * shown - by_text * held) * believed
     article = F.regexp_extract(F.concat("branch", F.lit(">")), ARTICLE, 1)
-    valued = tree.where(F.col("places") >= LEAST_PAGES).select("host", "branch", importance.alias("importance"), article.alias("article"))
+    valued = content.join(layouts, ["host", "branch"]).select("host", "branch", importance.alias("importance"), article.alias("article"))
     whole = F.max(F.when(F.col("branch") == F.col("article"), F.col("importance"))).over(Window.partitionBy("host", "article"))
     weak = valued.withColumn("whole", whole).where(F.col("importance") < LEAST * F.when(F.col("branch") != F.col("article"), F.coalesce("whole", F.lit(1.0))).otherwise(1.0))
     return weak.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("weak"))

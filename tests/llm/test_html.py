@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 from cuelark.llm import html_extract as hx
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body class="home">
@@ -59,3 +64,66 @@ def test_nulls_repeats_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, None, None, "h"), (1, None, None, "h"), (None, "x", "<p>a</p>", "h")], "page_id long, url string, html string, host string")
     got = sorted(((r.page_id, r.text, r.n_chars) for r in hx.extract(pages).collect()), key=str)
     assert got == [(1, "", 0), (1, "", 0), (None, "a", 1)] and hx.extract(pages.limit(0)).count() == 0
+
+
+def tree_by_hand(pages):
+    """Weak branches of a host's pages, each branch looked at by itself."""
+    seen = []
+    for html in pages:
+        layouts = {}
+        seen.append(([(p, t) for p, t, noise, _ in hx.blocks(html, layouts) if not noise], layouts))
+    importance = {}
+    for branch in {b for own, _ in seen for p, _ in own for b in hx.branches(p)}:
+        on = [(own, layouts[branch]) for own, layouts in seen if branch in layouts]
+        m = len(on)
+        if m == 1:
+            importance[branch] = 1.0
+            continue
+        entropies = []
+        for path in {p for own, _ in on for p, _ in own if p == branch or p.startswith(branch + ">")}:
+            pages_of = Counter(t for own, _ in on for t in {t for p, t in own if p == path})
+            entropies += [math.log(k, m) for k in pages_of.values() for _ in range(k)]
+        ways = Counter(tuple(x) for _, x in on)
+        shown = -sum(k / m * math.log(k / m, m) for k in ways.values())
+        by_text = hx.WEIGHT ** len([w for w in ways if w])
+        both = (1 - by_text) * shown + by_text * (1 - sum(entropies) / len(entropies))
+        importance[branch] = 1 - (1 - both) * (m - 1) / (m + 1)
+    weak = set()
+    for branch, x in importance.items():
+        m = re.match(hx.ARTICLE, branch + ">")
+        bound = importance.get(m[1], 1.0) if m and m[1] != branch else 1.0
+        if x < hx.LEAST * bound - 1e-12:
+            weak.add(branch)
+    return weak
+
+
+def test_trees_are_those_made_by_hand(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(12)]
+
+    def page():
+        line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+        parts = [f"<div class='a{rng.randrange(2)}x'>" + "".join(f"<p>{line()}</p>" for _ in range(rng.randrange(4))) + "</div>" for _ in range(rng.randrange(1, 5))]
+        box = rng.choice(["article", "section"])
+        return f"<body><div class='top'>same</div><{box}><h1>{line()}</h1>{''.join(parts)}<div class='end'><p>more here</p></div></{box}></body>"
+
+    hosts = {f"h{n}.example": [page() for _ in range(n)] for n in (1, 2, 5, 9, 30)}
+    rows = [(f"http://{h}/{i}", html) for h, pages in hosts.items() for i, html in enumerate(pages)]
+    got = {r.host: set(r.weak) for r in hx.site_trees(spark.createDataFrame(rows, "url string, html string")).collect()}
+    want = {h: tree_by_hand(pages) for h, pages in hosts.items()}
+    assert got == {h: w for h, w in want.items() if w} and "h30.example" in got and "h1.example" not in got
+
+
+def test_varied_layouts_hold_a_branch_up(spark):
+    """Texts of few words return on many pages; how they follow each other does not."""
+    rng = random.Random(8)
+    same = "<body><div class='xa'><p>one</p><p>two</p></div>"
+    pages = [same + "<div class='free'>" + "".join(rng.choice(["<p>one</p>", "<h2>two</h2>", "<ul><li>one</ul>"]) for _ in range(9)) + "</div></body>" for _ in range(60)]
+    weak = hx.site_trees(spark.createDataFrame([(f"http://h.example/{i}", x) for i, x in enumerate(pages)], "url string, html string")).first().weak
+    assert ">body>div.xa" in weak and ">body>div.free" not in weak
+
+
+def test_a_very_long_page(spark):
+    html = "<article>" + "".join(f"<p>line {i} é</p>" for i in range(300_000)) + "</article>"
+    r = hx.extract(spark.createDataFrame([(1, "http://h.example/", html)], "page_id long, url string, html string")).first()
+    assert r.n_chars == len(r.text) and r.text.count("\n") == 299_999
