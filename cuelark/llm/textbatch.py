@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Bytes of text looked at together; a longer text makes a piece of its own.
 PIECE_BYTES = 1 << 19
+#: Powers that a worker keeps from piece to piece.
+HELD_POWERS = 1 << 20
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -31,11 +33,13 @@ LOWER[65:91] += 32
 
 
 def _powers(base: np.uint64, held: list[np.ndarray], n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; what is held grows by doubling."""
-    while len(held[0]) < n:
-        p = held[0]
-        held[0] = np.concatenate([p, p * U64(pow(int(base), len(p), 1 << 64))])
-    return held[0][:n]
+    """base**0 .. base**(n-1) modulo 2**64; what is held grows by doubling, and a longer text's powers are not kept."""
+    p = held[0]
+    while len(p) < n:
+        p = np.concatenate([p, p * U64(pow(int(base), len(p), 1 << 64))])
+    if len(p) <= HELD_POWERS:
+        held[0] = p
+    return p[:n]
 
 
 _up, _down = [np.ones(1, np.uint64)], [np.ones(1, np.uint64)]
@@ -85,20 +89,27 @@ def words(data: np.ndarray, begins: np.ndarray, between: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, begins)
 
 
-def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes, from one running sum over all of them."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    value = BYTE_VALUE[data]
-    value *= _powers(BASE, _up, len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(value, out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(BASE_INVERSE, _down, len(data))[starts]
-    return mixed(h + (ends - starts).astype(np.uint64))
+class Stretches:
+    """Hashes of stretches of bytes, all from one running sum."""
 
+    def __init__(self, data: np.ndarray):
+        value = BYTE_VALUE[data]
+        value *= _powers(BASE, _up, len(data))
+        self.total = np.empty(len(data) + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(value, out=self.total[1:])
+        self.down = _powers(BASE_INVERSE, _down, len(data))
 
-word_hashes = part_hashes
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each stretch."""
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        h = (self.total[ends] - self.total[starts]) * self.down[starts]
+        return mixed(h + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Stretches(data).hashes(starts, ends)
 
 
 def hashed_words(column, between: np.ndarray = BLANKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

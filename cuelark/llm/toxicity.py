@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max index.
 
 Texts are vectors over all words of the labelled examples, and over those
-beginnings of words whose use tells the two labels apart; what tells them apart
-weighs more, by its chi-squared. The examples stand in an inverted index cut into
-blocks of examples. Lists of rare terms are added up as they are; of the long ones
-each block keeps the largest weight, so a bound on every block's cosines is known
-beforehand and blocks that cannot hold one of the nearest are never opened: the
-result is exact. The votes of the nearest, weighted by likeness, with a little of
-the base rate, are the score; the nearest examples' ids are its evidence.
+beginnings of words whose use tells the two labels apart. A term weighs its IDF,
+and more by how far beyond chance (SIGMAS deviations) its use tells the labels
+apart. The examples stand in an inverted index cut into blocks of examples. Lists
+of rare terms are added up as they are; of the long ones each block keeps the
+largest weight, so a bound on every block's cosines is known beforehand and blocks
+that cannot hold one of the nearest are never opened: the result is exact. The
+nearest vote, weighted by likeness, with a little of the base rate; the vote is
+calibrated by a logistic curve fitted on the examples, each scored without itself.
+The nearest examples' ids are the evidence.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelark.llm.storage import cut
-from cuelark.llm.textbatch import LOWER, NOT_WORD, U64, flat, hashed_words, pieces, part_hashes, word_hashes, words
+from cuelark.llm.textbatch import LOWER, NOT_WORD, U64, Stretches, flat, hashed_words, pieces, words
 
-#: Labelled examples at most, and terms at most that weigh more than their IDF.
-EXAMPLES, TERMS_MOST = 10_000, 2_000
-#: A term weighs more if in so many examples, with so large a chi-squared of term and label.
-LEAST_DOCS, LEAST_CHI2 = 8, 25.0
+#: Labelled examples at most.
+EXAMPLES = 10_000
+#: Deviations that a term's use must differ between the labels before it weighs more: its IDF by 1 + (chi - SIGMAS) squared.
+SIGMAS = 3.0
 #: Bytes of the beginnings that are terms, of words that are longer.
 BEGINNINGS = (5, 6, 7, 8)
 NEAREST, EVIDENCE, BLOCK = 50, 3, 128
 #: Weight of the base rate among the votes, and power of the likeness.
 PRIOR, POWER = 1.0, 4
+#: Of the calibration, towards votes as they are.
+RIDGE = 4.0
 #: Terms of more examples have dense lists. Texts that are scored together, and steps of a cosine that count as different.
 LONG, TOGETHER, STEPS = 300, 128, 1_000_000
 TABLE_BITS = 22
@@ -45,10 +49,11 @@ def terms(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         part, at = LOWER[data[begins[i] : begins[j]]], begins[i : j + 1] - begins[i]
         starts, ends, first = words(part, at, NOT_WORD)
         owner = np.repeat(np.arange(j - i), np.diff(first))
-        hashes, owners = [word_hashes(part, starts, ends)], [owner]
+        of = Stretches(part)
+        hashes, owners = [of.hashes(starts, ends)], [owner]
         for n in BEGINNINGS:
             longer = ends - starts > n
-            hashes.append(part_hashes(part, starts[longer], starts[longer] + n) ^ U64(n))
+            hashes.append(of.hashes(starts[longer], starts[longer] + n) ^ U64(n))
             owners.append(owner[longer])
         yield i, np.concatenate(hashes), np.concatenate(owners), j - i
 
@@ -61,11 +66,46 @@ def term_counts(column, vocabulary: np.ndarray) -> Iterator[tuple[np.ndarray, np
         maybe = np.flatnonzero(table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)])
         at = np.searchsorted(vocabulary, h[maybe])
         real = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h[maybe] if len(vocabulary) else np.zeros(len(maybe), bool)
-        at, who = at[real], owner[maybe[real]]
-        order = np.argsort(who, kind="stable")
-        at, cuts = at[order], np.searchsorted(who[order], np.arange(n + 1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield np.unique(at[a:b], return_counts=True)
+        # Text and place in one number: one sort for all texts of a run.
+        wide = max(len(vocabulary), 1)
+        both, times = np.unique(owner[maybe[real]] * wide + at[real], return_counts=True)
+        cuts = np.searchsorted(both, np.arange(n + 1) * wide)
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            yield both[a:b] - i * wide, times[a:b]
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * z))
+
+
+def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope (above 0) and shift that make votes probabilities.
+
+    The logistic loss with a ridge towards votes as they are, by Newton steps that
+    are halved until they help.
+    """
+    x, as_is = np.stack([logit(votes), np.ones(len(votes))], 1), np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - labels @ z + RIDGE / 2 * ((w - as_is) ** 2).sum())
+
+    w = as_is
+    for _ in range(100):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2), x.T @ (p - labels) + RIDGE * (w - as_is))
+        size = 1.0
+        while size > 1e-9 and (w[0] - size * step[0] <= 0 or loss(w - size * step) > loss(w)):
+            size /= 2
+        if size <= 1e-9 or abs(step).max() < 1e-9:
+            break
+        w = w - size * step
+    return float(w[0]), float(w[1])
 
 
 @dataclass
@@ -78,6 +118,7 @@ class Index:
     votes: np.ndarray  # their labels
     lists: tuple[np.ndarray, np.ndarray, np.ndarray] | list[tuple[np.ndarray, np.ndarray]]  # a term's examples and weights: begins of all, examples, weights; or a pair each
     base: float  # rate of label 1 among examples without telling terms
+    curve: tuple[float, float] = (1.0, 0.0)  # slope and shift of a vote's logit
 
     def __post_init__(self):
         """Lays the long lists out densely, by block."""
@@ -130,17 +171,27 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of([(terms, weights)], k)[0]
 
-    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
-        """(score, evidence) of each text of (terms, times)."""
+    def votes_on(self, counted: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[float, list[int]]]:
+        """(vote, evidence) of each text of (terms, times); ``but`` names an example a text that has no vote on it."""
         out: list[tuple[float, list[int]]] = [(self.base, [])] * len(counted)
         some = [i for i, (terms, _) in enumerate(counted) if len(terms)]
         for a in range(0, len(some), TOGETHER):
             now = some[a : a + TOGETHER]
-            for i, (near, cosine) in zip(now, self.nearest_of([(counted[i][0], self.vector(*counted[i])) for i in now]), strict=True):
+            for i, (near, cosine) in zip(now, self.nearest_of([(counted[i][0], self.vector(*counted[i])) for i in now], NEAREST + (but is not None)), strict=True):
+                if but is not None:
+                    other = self.ids[near] != but[i]
+                    near, cosine = near[other][:NEAREST], cosine[other][:NEAREST]
                 w = np.minimum(cosine, 1.0).astype(np.float64) ** POWER
                 out[i] = float(((w * self.votes[near]).sum() + PRIOR * self.base) / (w.sum() + PRIOR)), self.ids[near[:EVIDENCE]].tolist()
         return out
 
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """(score, evidence) of each text of (terms, times)."""
+        found = self.votes_on(counted)
+        slope, shift = self.curve
+        calibrated = sigmoid(slope * logit(np.array([v for v, _ in found])) + shift)
+        return [(float(x), e) for x, (_, e) in zip(calibrated, found, strict=True)]
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("row", "dense", "most")}
 
@@ -178,6 +229,14 @@ def _examples(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Reco
         )
 
 
+def _left_out(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+    """What the other examples vote on each."""
+    for batch in batches:
+        arrays = [[x.values.to_numpy() for x in batch.column(c)] for c in ("terms", "times")]
+        got = index.value.votes_on(list(zip(*arrays, strict=True)), batch.column("id").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([v for v, _ in got], pa.float64())], ["label", "vote"])
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     """A task's texts, as the count of term -1, and in how many of them each term is."""
     total, n = np.zeros(len(vocabulary.value), np.int64), 0
@@ -194,8 +253,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     Statistics of terms and labels come from the examples; document frequencies
     for the IDF come from all of ``docs(doc_id, text)``. The driver gets the words
-    of the examples, TERMS_MOST terms and the examples' vectors over them. Repeated labels of a document
-    count once, as the largest; null labels and ids do not count.
+    of the examples, their vectors and the votes on them. Repeated labels of a
+    document count once, as the largest; null labels and ids do not count.
     """
     sc = docs.sparkSession.sparkContext
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -204,18 +263,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = cut(texts.join(F.broadcast(few), "id").select(F.col("id").cast("long").alias("id"), "ticket", "label", "text"))
 
-    each = cut(sample.mapInArrow(_term_labels, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DOCS))
+    each = cut(sample.mapInArrow(_term_labels, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     counts = {r.label: r["count"] for r in few.groupBy("label").count().collect()}
     p, n = float(counts.get(1, 0)), float(counts.get(0, 0))
     cross = F.col("pos") * (n - F.col("neg")) - F.col("neg") * (p - F.col("pos"))
     margins = (F.col("pos") + F.col("neg")) * (p + n - F.col("pos") - F.col("neg")) * p * n
     chi2 = F.when(margins > 0, cross * cross * (p + n) / margins).otherwise(0.0)
-    kept = each.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS_MOST).toArrow()
+    weight = F.pow(F.greatest(F.sqrt(chi2) - SIGMAS, F.lit(0.0)), F.lit(2.0))
+    kept = each.select("term", weight.alias("weight")).where("weight > 0").orderBy("term").toArrow()
     telling = kept["term"].to_numpy().view(np.uint64)
     every = sample.mapInArrow(_words, "term long").distinct().toArrow()["term"].to_numpy().view(np.uint64)
     vocabulary = np.union1d(every, telling)
     more = np.zeros(len(vocabulary))
-    more[np.searchsorted(vocabulary, telling)] = kept["chi2"].to_numpy()
+    more[np.searchsorted(vocabulary, telling)] = kept["weight"].to_numpy()
 
     shared = sc.broadcast(vocabulary)
     df = np.zeros(len(vocabulary) + 1, np.int64)
@@ -223,7 +283,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     df[counted["term"].to_numpy()] = counted["k"].to_numpy()
     idf = np.log(1 + df[-1] / np.maximum(df[:-1], 1)) * (1 + more)
 
-    got = sample.mapInArrow(partial(_examples, vocabulary=shared), "id long, ticket long, label int, terms array<long>, times array<long>").toArrow()
+    examples = cut(sample.mapInArrow(partial(_examples, vocabulary=shared), "id long, ticket long, label int, terms array<long>, times array<long>"))
+    got = examples.toArrow()
     got = got.take(pa.array(np.lexsort((got["id"].to_numpy(), got["ticket"].to_numpy())), pa.int64())).combine_chunks()
     ids, votes = got["id"].to_numpy(), got["label"].to_numpy().astype(np.float64)
     flattened = lambda c: np.concatenate([np.empty(0, np.int64), *(x.flatten().to_numpy() for x in got[c].chunks)])
@@ -236,7 +297,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     none = np.bincount(owner, more[terms] > 0, len(ids)) == 0
     rate = float(votes.mean()) if len(votes) else 0.0
     base = float((votes[none].sum() + rate) / (none.sum() + 1))
-    return Index(vocabulary, idf, ids, votes, lists, base)
+    index = Index(vocabulary, idf, ids, votes, lists, base)
+    left = examples.mapInArrow(partial(_left_out, index=sc.broadcast(index)), "label int, vote double").toArrow()
+    index.curve = fitted_curve(left["vote"].to_numpy(), left["label"].to_numpy().astype(np.float64))
+    return index
 
 
 def _scored(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:

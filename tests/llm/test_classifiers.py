@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -96,9 +99,9 @@ def test_toxicity_edges(spark):
     index = toxicity.learn(docs, labels)
     odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "vile " * 100_000, 1), (3, "vile " * 100_000, 1), (None, "foul", 1)], "doc_id long, text string, label int")
     got = {r.doc_id: (r.score, r.evidence) for r in toxicity.classify(odd, index).collect()}
-    assert got[1] == got[2] == (index.base, []) and got[3][0] > 0.5 and len(got[3][1]) == toxicity.EVIDENCE
+    assert got[1] == got[2] == index.scores([([], [])])[0] and not got[1][1] and got[3][0] > 0.5 and len(got[3][1]) == toxicity.EVIDENCE
     nothing = toxicity.learn(docs.limit(0), labels.limit(0))
-    assert {r.score for r in toxicity.classify(odd, nothing).collect()} == {0.0}
+    assert {round(r.score, 5) for r in toxicity.classify(odd, nothing).collect()} == {0.0}
     assert toxicity.classify(odd.limit(0), index).count() == 0
 
 
@@ -133,3 +136,64 @@ def test_term_counts_cover_words_and_beginnings():
     every = [h for _, h, _, _ in toxicity.terms(column)][0]
     counts = list(toxicity.term_counts(column, np.unique(every)))
     assert [int(c.sum()) for _, c in counts] == [5, 0, 1]
+
+
+def plain_words(text):
+    """Lower-cased words, and the beginnings of the longer ones."""
+    own = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    return own, [(n, w[:n]) for w in own for n in toxicity.BEGINNINGS if len(w) > n]
+
+
+def scores_by_hand(docs, examples):
+    """Terms, weights, cosines, votes and the curve in plain loops."""
+    seen = {i: Counter([*plain_words(t)[0], *plain_words(t)[1]]) for i, t in docs}
+    p, n = sum(examples.values()), sum(1 - y for y in examples.values())
+    weight = {}
+    for term in {t for i in examples for t in seen[i]}:
+        a, b = (sum(y == k for i, y in examples.items() if term in seen[i]) for k in (1, 0))
+        rest = (a + b) * (p + n - a - b) * p * n
+        chi2 = (a * (n - b) - b * (p - a)) ** 2 * (p + n) / rest if rest else 0
+        more = max(0, math.sqrt(chi2) - toxicity.SIGMAS) ** 2
+        if isinstance(term, bytes) or more > 0:
+            df = sum(term in c for c in seen.values())
+            weight[term] = math.log(1 + len(docs) / df) * (1 + more), more
+    vectors = {}
+    for i, c in seen.items():
+        v = {t: (1 + math.log(k)) * weight[t][0] for t, k in c.items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / size for t, x in v.items()}
+    plain = [y for i, y in examples.items() if not any(weight[t][1] > 0 for t in seen[i] if t in weight)]
+    base = (sum(plain) + p / (p + n)) / (len(plain) + 1)
+
+    def vote(i, but=None):
+        near = sorted(((sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), j) for j in examples if j != but), reverse=True)[: toxicity.NEAREST]
+        w = [(max(c, 0) ** toxicity.POWER, examples[j]) for c, j in near]
+        return (sum(x * y for x, y in w) + toxicity.PRIOR * base) / (sum(x for x, _ in w) + toxicity.PRIOR)
+
+    ids = list(examples)
+    slope, shift = toxicity.fitted_curve(np.array([vote(i, i) for i in ids]), np.array([float(examples[i]) for i in ids]))
+    return {i: 1 / (1 + math.exp(-(slope * math.log(vote(i) / (1 - vote(i))) + shift))) for i in seen}
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    docs, labels = corpus(150, seed=9)
+    docs = [*docs, (998, None), (999, "words never seen before")]
+    examples = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5}
+    index = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.classify(spark.createDataFrame(docs, "doc_id long, text string"), index).collect()}
+    want = scores_by_hand(docs, examples)
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-3
+
+
+def test_calibration_makes_votes_rates():
+    rng = np.random.default_rng(6)
+    true = rng.random(20_000)
+    labels = (rng.random(20_000) < true).astype(float)
+    votes = toxicity.sigmoid(0.5 * toxicity.logit(true) - 1)  # too flat and too low
+    slope, shift = toxicity.fitted_curve(votes, labels)
+    score = toxicity.sigmoid(slope * toxicity.logit(votes) + shift)
+    for low in np.arange(0, 1, 0.1):
+        own = (score >= low) & (score < low + 0.1)
+        assert abs(score[own].mean() - labels[own].mean()) < 0.05
+    apart = toxicity.fitted_curve(np.array([0.1, 0.2, 0.9]), np.array([0.0, 0.0, 1.0]))
+    assert 0 < apart[0] < 50 and toxicity.fitted_curve(np.empty(0), np.empty(0)) == (1.0, 0.0)
