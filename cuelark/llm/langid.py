@@ -24,14 +24,12 @@ from cuelark.llm.textbatch import U64, mixed
 
 #: Lengths of the n-grams, in characters; a word's edges count as blanks.
 LENGTHS = (2, 3, 4)  # 2 at least
-#: Positions of a filter (8 languages a byte), positions of an n-gram, n-grams of a language at most.
-POSITIONS, PROBES, MOST_GRAMS = 1 << 20, 3, 100_000
-#: Documents that a language is learnt from at most (about; dealt by a hash of the text).
+#: Positions of a filter at least (8 languages a byte), for each n-gram of the largest language, and looked at for an n-gram.
+POSITIONS, ROOM, PROBES = 1 << 20, 8, 3
+#: Different texts that a language is learnt from at most (about; dealt by a hash of the text).
 SAMPLE_DOCS = 2_000
-#: An n-gram belongs to a language if this share of the most frequent language's rate is reached, in so many documents.
-LEAST_SHARE, LEAST_DOCS = 0.2, 3
-#: Languages at most: bounds the filter that is broadcast, POSITIONS * MOST_LANGS / 8 bytes.
-MOST_LANGS = 256
+#: An n-gram belongs to a language if this share of the most frequent language's rate is reached, and this share of its texts.
+LEAST_SHARE, LEAST_RATE = 0.2, 0.0015
 PIECE_CHARS = 1 << 17
 UNKNOWN = "und"
 
@@ -102,16 +100,20 @@ class Filters:
     slices: np.ndarray  # (positions, bytes of a mask)
 
     @staticmethod
-    def places(h: np.ndarray) -> Iterator[np.ndarray]:
+    def places(h: np.ndarray, positions: int) -> Iterator[np.ndarray]:
+        """Where an n-gram's bits are, by double hashing; ``positions`` is a power of two."""
+        step = (h >> U64(32)) | U64(1)
         for probe in range(PROBES):
-            yield ((h >> U64(20 * probe)) & U64(POSITIONS - 1)).astype(np.int64)
+            yield ((h + U64(probe) * step) & U64(positions - 1)).astype(np.int64)
 
     @classmethod
     def of(cls, langs: list[str], members: list[np.ndarray]) -> Filters:
-        slices = np.zeros((POSITIONS, (len(langs) + 7) // 8), np.uint8)
+        """Filters sized by the language of most n-grams."""
+        positions = max(POSITIONS, 1 << (ROOM * max((len(h) for h in members), default=0)).bit_length())
+        slices = np.zeros((positions, (len(langs) + 7) // 8), np.uint8)
         rate = np.zeros(len(langs))
         for i, h in enumerate(members):
-            for at in cls.places(h):
+            for at in cls.places(h, positions):
                 slices[at, i // 8] |= np.uint8(128 >> i % 8)
             rate[i] = np.mean((slices[:, i // 8] >> np.uint8(7 - i % 8)) & 1) ** PROBES
         return cls(langs, rate, slices)
@@ -119,7 +121,7 @@ class Filters:
     def masks(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram the bitmask of all languages that contain it."""
         found = None
-        for at in self.places(h):
+        for at in self.places(h, len(self.slices)):
             found = self.slices[at] if found is None else found & self.slices[at]
         return found
 
@@ -179,38 +181,29 @@ def held_out(doc_id) -> F.Column:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     """Filters from the text and non-null lang of ``docs(lang, text)``.
 
-    A language is learnt from about ``sample_docs`` documents, chosen by a hash of
-    the text. The driver gets the chosen n-grams, MOST_GRAMS a language at most.
+    A language is learnt from about ``sample_docs`` of its different texts, chosen
+    by a hash of the text, or from all where it has fewer; a text that stands in
+    many rows counts once. The driver gets the n-grams that belong to a language,
+    which the sample bounds.
     """
-    rows = docs.where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"{len(sizes)} languages; the filters hold {MOST_LANGS}")
+    rows = docs.where("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("ticket"))
+    sizes = {r.lang: r["count"] for r in rows.select("lang", "ticket").distinct().groupBy("lang").count().collect()}
     if not sizes:
         return Filters.of([], [])
-    langs = sorted(sizes)
-    part = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample_docs / sizes[lang]))])
-    chosen = rows.where((F.xxhash64("text").bitwiseAND(0xFFFFFF) / 0x1000000) < part[F.col("lang")]).select("lang", "text")
-    table = cut(chosen.mapInArrow(_counted, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS))
-    of = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(max(1, min(sample_docs, sizes[lang]))))])
-    rated = table.withColumn("rate", F.col("docs") / of[F.col("lang")])
+    part = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample_docs / n))])
+    chosen = cut(rows.where((F.col("ticket").bitwiseAND(0xFFFFFF) / 0x1000000) < part[F.col("lang")]).dropDuplicates(["lang", "ticket"]).select("lang", "text"))
+    taken = {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    langs = sorted(taken)
+    if not langs:
+        return Filters.of([], [])
+    of = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(taken[lang]))])
+    counted = chosen.mapInArrow(_counted, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    rated = cut(counted.select("lang", "gram", (F.col("docs") / of[F.col("lang")]).alias("rate")).where(F.col("rate") >= LEAST_RATE))
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
-    own = cut(rated.join(top, "gram").where(F.col("rate") >= LEAST_SHARE * F.col("top")).select("lang", "gram", "docs"))
-    least = {}
-    for r in own.groupBy("lang", "docs").count().orderBy("lang", F.desc("docs")).collect():
-        room, _ = least.get(r.lang, (MOST_GRAMS, None))
-        if room >= r["count"]:
-            least[r.lang] = (room - r["count"], r.docs)
-        elif room > 0:
-            least[r.lang] = (0, least[r.lang][1] if r.lang in least else r.docs + 1)
-    langs = [x for x in langs if least.get(x, (0, None))[1] is not None]
-    floor = F.create_map(*[F.lit(x) for lang in langs for x in (lang, least[lang][1])]) if langs else None
-    members: dict[str, list[int]] = {x: [] for x in langs}
-    if langs:
-        got = own.where(F.col("docs") >= floor[F.col("lang")]).select("lang", "gram").toArrow()
-        names, values = np.array(got["lang"].to_pylist(), object), got["gram"].to_numpy().view(np.uint64)
-        members = {x: values[names == x] for x in langs}
-    return Filters.of(langs, [np.asarray(members[x], np.uint64) for x in langs])
+    got = rated.join(top, "gram").where(F.col("rate") >= LEAST_SHARE * F.col("top")).select("lang", "gram").toArrow()
+    place = {lang: i for i, lang in enumerate(langs)}
+    at, values = np.array([place[x] for x in got["lang"].to_pylist()], np.int64), got["gram"].to_numpy().view(np.uint64)
+    return Filters.of(langs, [values[at == i] for i in range(len(langs))])
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
