@@ -14,7 +14,7 @@ broadcast has a bound and nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -37,6 +37,8 @@ SHARE_PENALTY = 4
 #: Seeds of one pass: 16 bytes each, and as many words at most.
 BLOCK_SEEDS = 1_000_000
 TABLE_BITS = 22
+#: Meetings of a text's seeds with the block's that are laid out at a time.
+HITS_TOGETHER = 1 << 20
 
 
 @dataclass
@@ -76,12 +78,13 @@ def masked(h: np.ndarray, mask: int) -> np.ndarray:
 def seed_blocks(ids: list[int], texts: list[str | None], most: int = BLOCK_SEEDS) -> Iterator[Seeds]:
     """The benchmark in blocks of at most about ``most`` seeds (a single item always fits one)."""
     words = [h[a:b] for _, h, first in hashed_words(pa.array(texts, pa.string()), NOT_WORD) for a, b in zip(first[:-1], first[1:], strict=True)]
-    todo = [i for i, w in enumerate(words) if len(w) >= SHORTEST_ITEM]
-    while todo:
+    todo, next_one = [i for i, w in enumerate(words) if len(w) >= SHORTEST_ITEM], 0
+    while next_one < len(todo):
         now, n = [], 0
-        while todo and (not now or n + len(words[todo[0]]) * len(MASKS) <= most):
-            n += len(words[todo[0]]) * len(MASKS)
-            now.append(todo.pop(0))
+        while next_one < len(todo) and (not now or n + len(words[todo[next_one]]) * len(MASKS) <= most):
+            n += len(words[todo[next_one]]) * len(MASKS)
+            now.append(todo[next_one])
+            next_one += 1
         parts = [(masked(words[i], k), at) for at, i in enumerate(now) for k in range(len(MASKS))]
         h = np.concatenate([p for p, _ in parts])
         item = np.concatenate([np.full(len(p), at, np.int32) for p, at in parts])
@@ -117,9 +120,9 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(begin[b]), b
 
 
-def overlaps(doc: np.ndarray, hits: Iterator[tuple[int, int]], seeds: Seeds) -> Iterator[tuple[int, int, int, int, int]]:
+def overlaps(doc: np.ndarray, hits: Iterable[tuple[int, int]], seeds: Seeds) -> Iterator[tuple[int, int, int, int, int]]:
     """(item, first word in the text, first in the item, words, equal words) around hits of (item, offset)."""
-    for item, offset in sorted(set(hits)):
+    for item, offset in sorted(hits):
         own = seeds.words[item]
         a, b = max(0, offset), min(len(doc), offset + len(own))
         equal = doc[a:b] == own[a - offset : b - offset]
@@ -142,16 +145,26 @@ def matches(column, seeds: Seeds) -> Iterator[list[tuple[int, int, int, int, int
             sought.append(m[near[real]])
         spot, wanted = np.concatenate(spots), np.concatenate(sought)
         low, high = np.searchsorted(seeds.hashes, wanted), np.searchsorted(seeds.hashes, wanted, "right")
-        times = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(times) else np.empty(0, np.int64)
-        text = np.searchsorted(first, np.repeat(spot, times), "right") - 1
-        item, offset = seeds.item[at], np.repeat(spot, times) - first[text] - seeds.place[at]
-        # A run over the border of two texts gives an offset too; comparing words settles it.
-        order = np.argsort(text, kind="stable")
-        cuts = np.searchsorted(text[order], np.arange(len(first)))
-        for i in range(len(first) - 1):
-            mine = order[cuts[i] : cuts[i + 1]]
-            yield list(overlaps(h[first[i] : first[i + 1]], zip(item[mine].tolist(), offset[mine].tolist(), strict=True), seeds)) if len(mine) else []
+        hits: list[set[tuple[int, int]]] = [set() for _ in range(len(first) - 1)]
+        for part in _portions(high - low):
+            times = (high - low)[part]
+            at = np.repeat(low[part] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            place = np.repeat(spot[part], times)
+            text = np.searchsorted(first, place, "right") - 1
+            # A run over the border of two texts gives an offset too; comparing words settles it.
+            for i, item, offset in np.unique(np.stack([text, seeds.item[at], place - first[text] - seeds.place[at]], 1), axis=0).tolist():
+                hits[i].add((item, offset))
+        for i, own in enumerate(hits):
+            yield list(overlaps(h[first[i] : first[i + 1]], own, seeds)) if own else []
+
+
+def _portions(times: np.ndarray) -> Iterator[slice]:
+    """Runs of places that meet HITS_TOGETHER seeds at most, or one place alone: a common phrase meets many."""
+    total, a = np.cumsum(times), 0
+    while a < len(times):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS_TOGETHER, "right")))
+        yield slice(a, b)
+        a = b
 
 
 HITS = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long"

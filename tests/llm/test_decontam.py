@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from cuelark.llm import decontam
 
@@ -91,3 +92,25 @@ def test_nulls_empties_repeats_and_clashing_columns(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3]
     assert decontam.contaminated(docs, items.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), items).count() == 0
     assert decontam.decontaminated(docs, items.limit(0)).count() == 5
+
+
+def test_common_phrases_meet_in_portions(spark, monkeypatch):
+    """A phrase of every item, many times in one text: the same overlaps, a few meetings at a time."""
+    phrase = " ".join(f"p{i}" for i in range(9))
+    items = [(i, f"{phrase} item{i} of its own with some words more {i}") for i in range(40)]
+    docs = [(1, " ".join([phrase] * 50) + " " + items[3][1]), (2, phrase), (3, items[7][1] * 2)]
+    run = lambda: sorted(map(tuple, decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    want = run()
+    assert {(r[0], r[1]) for r in want} >= {(1, 3), (3, 7)} and all(r[0] != 2 for r in want)
+    seeds = next(decontam.seed_blocks(*zip(*items, strict=True)))
+    column = pa.array([t for _, t in docs], pa.string())
+    whole = list(decontam.matches(column, seeds))
+    monkeypatch.setattr(decontam, "HITS_TOGETHER", 7)
+    assert list(decontam.matches(column, seeds)) == whole
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(1, " ".join(f"w{i % 9999}" for i in range(600_000)) + " " + item + " end")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(4, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.doc_word, r.n_words) for r in got] == [(1, 4, 600_000, 20)]
