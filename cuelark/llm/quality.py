@@ -26,8 +26,8 @@ STEP = CHUNK - OVERLAP
 STRIDE, TAPS, DEPTH, FILTERS, HIDDEN = 4, 3, 8, 32, 16
 BLOCKS = CHUNK // STRIDE
 PLACES = BLOCKS - TAPS + 1
-#: The classifier is fitted on so many labelled documents at most, and so many chunks of each.
-FIT_DOCS, FIT_CHUNKS = 8_000, 4
+#: The classifier is fitted on so many labelled documents at most, all chunks of each.
+FIT_DOCS = 6_000
 EPOCHS, BATCH, RATE, SEED = 5, 64, 3e-3, 5
 #: Chunks scored together: bounds a worker's memory (about 30 KB a chunk).
 TOGETHER = 256
@@ -130,13 +130,12 @@ class Network:
 
 
 def _fit_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FIT_CHUNKS chunks of each labelled text, spread over all of it."""
+    """All chunks of each labelled text."""
     for batch in batches:
         data, begins = flat(batch.column("text"))
         ids, labels, parts = [], [], []
         for i, label in enumerate(batch.column("label").to_pylist()):
-            starts = chunk_starts(begins[i + 1] - begins[i])
-            for s in starts[np.unique(np.linspace(0, len(starts) - 1, FIT_CHUNKS).round().astype(int))]:
+            for s in chunk_starts(begins[i + 1] - begins[i]):
                 ids.append(batch.column("ticket")[i].as_py())
                 labels.append(label)
                 parts.append(data[begins[i] + s : min(begins[i] + s + CHUNK, begins[i + 1])].tobytes())
@@ -204,7 +203,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
-    """A network fitted on FIT_DOCS labelled documents at most: FIT_DOCS * FIT_CHUNKS * CHUNK bytes come to the driver."""
+    """A network fitted on FIT_DOCS labelled documents at most, whose whole texts come to the driver; each document weighs 1, however long."""
     got = labelled(docs, labels, label, FIT_DOCS).mapInArrow(_fit_chunks, "ticket long, label int, part binary").toArrow()
     ids, y, parts = got["ticket"].to_numpy(), got["label"].to_numpy(), got["part"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], parts[i]))

@@ -197,3 +197,32 @@ def test_calibration_makes_votes_rates():
         assert abs(score[own].mean() - labels[own].mean()) < 0.05
     apart = toxicity.fitted_curve(np.array([0.1, 0.2, 0.9]), np.array([0.0, 0.0, 1.0]))
     assert 0 < apart[0] < 50 and toxicity.fitted_curve(np.empty(0), np.empty(0)) == (1.0, 0.0)
+
+
+def logits_by_hand(net, text):
+    """The network's layers in plain loops, chunk by chunk."""
+    p, out = net.p, []
+    step = quality.CHUNK - quality.OVERLAP
+    for a in range(0, max(1, len(text) - quality.OVERLAP), step):
+        own = text[a : a + quality.CHUNK]
+        data = own.ljust(quality.CHUNK, b"\0")
+        blocks = [np.concatenate([p["vectors"][b] for b in data[i : i + quality.STRIDE]]) for i in range(0, quality.CHUNK, quality.STRIDE)]
+        places = min(max(-(-len(own) // quality.STRIDE), 1), quality.PLACES)
+        shown = [np.maximum(sum(blocks[i + t] @ p["filters"][t] for t in range(quality.TAPS)) + p["shift"], 0) for i in range(places)]
+        pooled = np.concatenate([np.max(shown, 0), np.sum(shown, 0) / places, [len(own) / quality.CHUNK]])
+        out.append(np.maximum(pooled @ p["hidden"] + p["hidden_shift"], 0) @ p["out"] + p["out_shift"][0])
+    return np.array(out)
+
+
+def test_scores_of_the_network_are_those_of_plain_loops():
+    rng = np.random.default_rng(2)
+    net = quality.Network.fresh(rng)
+    net.p["combine"] = np.array([0.7, 0.2, 0.4, -0.1], np.float32)
+    column = ["", "short é", "x" * 1024, "word $$$ " * 330, None, "".join(chr(rng.integers(32, 900)) for _ in range(2500))]
+    got = net.score(pa.array(column, pa.string()))
+    for t, s in zip(column, got, strict=True):
+        z = logits_by_hand(net, (t or "").encode())
+        want = 1 / (1 + math.exp(-float(np.dot([z.mean(), z.max(), z.min(), 1], net.p["combine"]))))
+        assert abs(s - want) < 1e-5
+    chunks = list(quality._fit_chunks([pa.record_batch({"ticket": [1], "label": [1], "text": ["a" * 10_000]})]))[0]
+    assert chunks.num_rows == len(quality.chunk_starts(10_000)) == 12
