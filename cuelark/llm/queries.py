@@ -52,7 +52,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents"), home=sharding.map_home(spark, f"op10 {sf_dir}"))
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_minhash, op3_decontamination, op4_pii, op5_spotsigs, op6_toxicity, op7_quality, op8_html, op9_mixing, op10_sharding)}

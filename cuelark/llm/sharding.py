@@ -2,8 +2,9 @@
 
 A record's hash names one of a few thousand virtual slots, for good. Which shard
 a slot lies in is said by a map with a version: rebalancing and growing edit the
-map, moving few slots, and never rehash records. Only the per-slot sums (as many
-rows as slots) come to the driver.
+map, moving few slots, and never rehash records. Each version is stored; the next
+run edits the latest. Only the per-slot sums (as many rows as slots) come to the
+driver.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelark.llm.storage import cut
+from cuelark.llm.storage import cut, shared_dir
 
 SLOTS, SHARDS, SEED = 4096, 16, 7
 
@@ -72,7 +74,7 @@ class SlotMap:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes this version as one JSON line beside the earlier ones."""
-        spark.createDataFrame([(json.dumps(self.__dict__),)], "value string").coalesce(1).write.text(f"{path}/version={self.version}")
+        spark.createDataFrame([(json.dumps(self.__dict__),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -82,34 +84,53 @@ class SlotMap:
         return cls(held["version"], held["shards"], tuple(held["shard_of"]))
 
 
-def virtual_slot(key: Column, slots: int = SLOTS, seed: int = SEED) -> Column:
-    """The slot of a record's key; a null key has one too."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(slots)).cast("int")
+    @classmethod
+    def latest(cls, spark: SparkSession, path: str, shards: int = SHARDS, slots: int = SLOTS) -> SlotMap:
+        """The latest version stored, or the first map where there is none."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        return cls.load(spark, path) if known else cls.first(shards, slots)
+
+
+def map_home(spark: SparkSession, name: str) -> str:
+    """The folder of a table's slot maps, in the shared folder."""
+    return f"{shared_dir(spark)}/cuelark-slot-maps/{xxhash.xxh3_64_hexdigest(name)}"
+
+
+def virtual_slot(*key: Column, slots: int = SLOTS, seed: int = SEED) -> Column:
+    """The slot of a record's key; null parts count too."""
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(slots)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, at: SlotMap | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, at: SlotMap | None = None, home: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version) a row of ``docs(doc_id, text)``.
 
     ``size`` is the text's UTF-8 bytes plus 1 (null text: 1) and ``text_crc32``
     the unsigned CRC-32 of those bytes (null: 0). The law is ``bytes``: the map
-    ``at`` (the first one if none is given) is rebalanced by the slots' bytes
-    until no move of a slot helps. ``slot`` is the row's place in its shard,
+    ``at`` (or the latest stored in the folder ``home``, or the first one) is
+    rebalanced by the slots' bytes until no move of a slot helps, and stored there
+    if that has made a version. ``slot`` is the row's place in its shard,
     gapless from 0 in the order of virtual slot, doc_id, size and checksum; equal
-    rows take neighbouring places. Rows that repeat a doc_id, and rows without
-    one, share a virtual slot. An empty table gives an empty one; a very long
+    rows take neighbouring places. The virtual slot is that of doc_id and checksum:
+    rows that repeat a doc_id, or have none, are spread by their texts, and rows
+    equal in both share one. An empty table gives an empty one; a very long
     text counts whole; other columns are never read.
     """
+    spark = docs.sparkSession
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"), virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"))
-    rows = cut(rows)
+    rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"))
+    rows = cut(rows.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots=slots)))
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     held = {r.virtual_slot: (r.bytes, r.n) for r in sums.collect()}
-    plan = (at or SlotMap.first(shards, slots)).rebalanced([held.get(i, (0, 0))[0] for i in range(slots)])
+    old = at or (SlotMap.latest(spark, home, shards, slots) if home else SlotMap.first(shards, slots))
+    plan = old.rebalanced([held.get(i, (0, 0))[0] for i in range(slots)])
+    if home and plan.version != old.version:
+        plan.save(spark, home)
     begin, entries = [0] * plan.shards, []
     for slot, number in enumerate(plan.shard_of):
         entries.append((slot, number, begin[number]))
         begin[number] += held.get(slot, (0, 0))[1]
-    places = rows.sparkSession.createDataFrame(entries, "virtual_slot int, shard int, first long")
+    places = spark.createDataFrame(entries, "virtual_slot int, shard int, first long")
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     numbered = rows.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(places), "virtual_slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(plan.version).alias("map_version"))

@@ -118,3 +118,62 @@ def test_slot_maps_are_edited_in_versions(spark, tmp_path):
     for m in (first, even, grown):
         m.save(spark, str(tmp_path / "map"))
     assert SlotMap.load(spark, str(tmp_path / "map")) == grown and SlotMap.load(spark, str(tmp_path / "map"), 2) == even
+
+
+def test_shards_are_those_of_plain_loops(spark):
+    """Slots' bytes, the moves between shards and every row's place, from the virtual slots alone."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, i]), rng.choice([None, "", "é" * rng.randrange(400), "same"])) for i in range(900)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 5, 64).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in got) == sorted((i is None, i or 0, len((t or "").encode()) + 1) for i, t in rows)
+    held, lies = Counter(), {s: s % 5 for s in range(64)}
+    for r in got:
+        held[r.virtual_slot] += r.size
+    while True:
+        load = {k: sum(held[s] for s in lies if lies[s] == k) for k in range(5)}
+        high, low = max(load, key=lambda k: (load[k], -k)), min(load, key=lambda k: (load[k], k))
+        able = [s for s in lies if lies[s] == high and 0 < held[s] < load[high] - load[low]]
+        if not able:
+            break
+        lies[min(able, key=lambda s: (abs(load[high] - load[low] - 2 * held[s]), s))] = low
+    assert all(r.shard == lies[r.virtual_slot] for r in got)
+    order = sorted(got, key=lambda r: (r.virtual_slot, r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32))
+    places = Counter()
+    for r in order:
+        same = [x.slot for x in got if x[:3] == r[:3] and x.virtual_slot == r.virtual_slot]
+        assert places[r.shard] in same
+        places[r.shard] += 1
+
+
+def test_each_run_edits_the_stored_map(spark, tmp_path):
+    home = str(tmp_path / "maps")
+    df = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(600)], "doc_id long, text string")
+    first = shard(df, 4, 128, home=home).collect()
+    assert {r.map_version for r in first} == {2} and SlotMap.load(spark, home).version == 2
+    assert sorted(shard(df, 4, 128, home=home).collect()) == sorted(first) and SlotMap.load(spark, home).version == 2
+    more = df.unionByName(df.selectExpr("doc_id + 1000 as doc_id", "repeat('y', 300) as text"))
+    later = {r.doc_id: r for r in shard(more, 4, 128, home=home).collect()}
+    assert {r.map_version for r in later.values()} == {3} and SlotMap.load(spark, home, 2).version == 2
+    assert sum(later[r.doc_id].shard == r.shard for r in first) > len(first) / 3
+
+
+def test_rows_of_one_doc_id_or_none_are_spread(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(1000)] + [(7, f"other {i}") for i in range(1000)], "doc_id long, text string")
+    got = shard(df).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert len(got) == 2000 and len({r.virtual_slot for r in got}) > 1000 and max(load.values()) - min(load.values()) < 30
+
+
+def test_very_long_texts(spark):
+    long = "é word " * 700_000
+    df = spark.createDataFrame([(1, "a", long), (2, "a", "x y"), (3, "b", long)], "doc_id long, source string, text string")
+    assert {r.doc_id: r.size for r in mixing.mix(df).collect()} == {1: 1_400_000, 2: 2, 3: 1_400_000}
+    assert {r.doc_id: r.size for r in shard(df).collect()} == {1: len(long.encode()) + 1, 2: 4, 3: len(long.encode()) + 1}
+
+
+def test_repeated_ids_of_other_texts_are_rows_of_their_own(spark):
+    rows = [(5, "a", "one two three"), (5, "a", "four"), (5, "b", "five six"), (5, "a", "one two three")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert sorted(r.size for r in got) == [1, 2, 3, 3] and all(0 <= r.taken <= 3 * r.size for r in got)
