@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deals documents to shards through virtual slots."""
-    return sharding.shard(docs)
+    return sharding.shard(docs, home=sharding.map_home(spark, f"pipeline {sf_dir}"))
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("sharding", deal_shards)]
