@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelark.llm.storage import cut
+from cuelark.llm.storage import cut, staged
 from cuelark.llm.textbatch import LOWER, NOT_WORD, U64, Stretches, flat, hashed_words, pieces, words
 
 #: Labelled examples at most.
@@ -119,9 +119,12 @@ class Index:
     lists: tuple[np.ndarray, np.ndarray, np.ndarray] | list[tuple[np.ndarray, np.ndarray]]  # a term's examples and weights: begins of all, examples, weights; or a pair each
     base: float  # rate of label 1 among examples without telling terms
     curve: tuple[float, float] = (1.0, 0.0)  # slope and shift of a vote's logit
+    dense = None
 
-    def __post_init__(self):
-        """Lays the long lists out densely, by block."""
+    def lay_out(self) -> None:
+        """Lays the long lists out densely, by block, where texts are scored."""
+        if self.dense is not None:
+            return
         if isinstance(self.lists, list):
             begins = np.concatenate([[0], np.cumsum([len(e) for e, _ in self.lists])]).astype(np.int64)
             self.lists = begins, np.concatenate([np.empty(0, np.int32), *(e for e, _ in self.lists)]).astype(np.int32), np.concatenate([np.empty(0, np.float32), *(w for _, w in self.lists)]).astype(np.float32)
@@ -142,6 +145,7 @@ class Index:
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of (terms, weights) the k examples of largest cosine above 0, exactly to 1 / STEPS; ties go by place."""
+        self.lay_out()
         begins, examples, weights = self.lists
         n = len(self.dense)
         size = n * BLOCK
@@ -185,19 +189,15 @@ class Index:
                 out[i] = float(((w * self.votes[near]).sum() + PRIOR * self.base) / (w.sum() + PRIOR)), self.ids[near[:EVIDENCE]].tolist()
         return out
 
-    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]], curve: tuple[float, float] | None = None) -> list[tuple[float, list[int]]]:
         """(score, evidence) of each text of (terms, times)."""
         found = self.votes_on(counted)
-        slope, shift = self.curve
+        slope, shift = curve or self.curve
         calibrated = sigmoid(slope * logit(np.array([v for v, _ in found])) + shift)
         return [(float(x), e) for x, (_, e) in zip(calibrated, found, strict=True)]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "dense", "most")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "dense", "most", "shared")}
 
 
 def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def _examples(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Reco
     for batch in batches:
         got = list(term_counts(batch.column("text"), vocabulary.value))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("ticket"), batch.column("label"), pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([c for _, c in got], pa.list_(pa.int64()))], ["id", "ticket", "label", "terms", "times"]
+            [batch.column("id"), batch.column("ticket"), batch.column("label"), pa.array([t.astype(np.int32) for t, _ in got], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in got], pa.list_(pa.int32()))], ["id", "ticket", "label", "terms", "times"]
         )
 
 
@@ -283,11 +283,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     df[counted["term"].to_numpy()] = counted["k"].to_numpy()
     idf = np.log(1 + df[-1] / np.maximum(df[:-1], 1)) * (1 + more)
 
-    examples = cut(sample.mapInArrow(partial(_examples, vocabulary=shared), "id long, ticket long, label int, terms array<long>, times array<long>"))
+    examples = staged(sample.mapInArrow(partial(_examples, vocabulary=shared), "id long, ticket long, label int, terms array<int>, times array<int>"), "examples")
     got = examples.toArrow()
     got = got.take(pa.array(np.lexsort((got["id"].to_numpy(), got["ticket"].to_numpy())), pa.int64())).combine_chunks()
     ids, votes = got["id"].to_numpy(), got["label"].to_numpy().astype(np.float64)
-    flattened = lambda c: np.concatenate([np.empty(0, np.int64), *(x.flatten().to_numpy() for x in got[c].chunks)])
+    flattened = lambda c: np.concatenate([np.empty(0, np.int32), *(x.flatten().to_numpy() for x in got[c].chunks)])
     terms, times = flattened("terms"), flattened("times")
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([np.empty(0, np.int64), *(x.value_lengths().to_numpy() for x in got["terms"].chunks)]))
     w = (1 + np.log(times)) * idf[terms]
@@ -298,14 +298,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     rate = float(votes.mean()) if len(votes) else 0.0
     base = float((votes[none].sum() + rate) / (none.sum() + 1))
     index = Index(vocabulary, idf, ids, votes, lists, base)
-    left = examples.mapInArrow(partial(_left_out, index=sc.broadcast(index)), "label int, vote double").toArrow()
+    index.shared = sc.broadcast(index)
+    left = examples.mapInArrow(partial(_left_out, index=index.shared), "label int, vote double").toArrow()
     index.curve = fitted_curve(left["vote"].to_numpy(), left["label"].to_numpy().astype(np.float64))
     return index
 
 
-def _scored(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], index, curve: tuple[float, float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = index.value.scores(list(term_counts(batch.column("text"), index.value.vocabulary)))
+        got = index.value.scores(list(term_counts(batch.column("text"), index.value.vocabulary)), curve)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))],
             ["doc_id", "held_out", "score", "predicted", "evidence"],
@@ -321,8 +322,8 @@ def classify(docs: DataFrame, index: Index) -> DataFrame:
     repeated rows are rows of their own; a null doc_id is not held out; an empty
     table gives an empty one; other columns are never read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = getattr(index, "shared", None) or docs.sparkSession.sparkContext.broadcast(index)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_scored, index=shared), f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<long>")
+    return rows.mapInArrow(partial(_scored, index=shared, curve=index.curve), f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<long>")
