@@ -168,3 +168,19 @@ def with_halo(frames: DataFrame, rows: int, before: int, after: int) -> DataFram
     seen = F.sequence(F.call_function("div", F.greatest(F.col(INDEX) - after, F.lit(0)), F.lit(rows)), F.call_function("div", F.col(INDEX) + before, F.lit(rows)))
     last = frames.groupBy(VIDEO).agg(F.max(home).alias("_last"))
     return frames.withColumns({"_home": home, "segment": F.explode(seen)}).join(last, VIDEO).where("segment <= _last").withColumn("own", F.col("segment") == F.col("_home")).drop("_home", "_last")
+
+
+def remove_noise_in_segments(frames: DataFrame, flag: str, value: bool = True, min_length: int = 10, rows: int = 4096) -> DataFrame:
+    """``remove_noise`` with a long video dealt out in segments of ``rows`` frames.
+
+    Whether a run is shorter than ``min_length`` shows within as many frames on
+    either side, so segments see that far beyond themselves. Needs a dense
+    frame_idx from 0; the video's ends are told by it.
+    """
+    ends = frames.groupBy(VIDEO).agg(F.max(INDEX).alias("_end"))
+    dealt = with_halo(frames, rows, min_length, min_length).join(ends, VIDEO)
+    on = F.coalesce(F.col(flag), F.lit(False))
+    marked = dealt.withColumn("_on", on).withColumn("_run", F.col(INDEX) - F.row_number().over(in_order("segment", "_on")))
+    length = F.count("*").over(Window.partitionBy(VIDEO, "segment", "_on", "_run"))
+    short = (F.col("_on") == F.lit(value)) & (length < min_length) & F.col(INDEX).between(F.lit(min_length), F.col("_end") - min_length)
+    return marked.withColumn(flag, F.when(short, F.lit(not value)).otherwise(F.col("_on"))).where("own").select(*frames.columns)

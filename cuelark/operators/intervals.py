@@ -155,7 +155,6 @@ def merge(intervals: DataFrame, alike: Alike) -> DataFrame:
     first = ["begin", "seq"]
     packed = F.array_sort(F.collect_list(F.struct(*first, *[c for c in names if c not in first])))
     item = intervals.select(F.struct(*first, *[c for c in names if c not in first]).alias("s")).schema["s"].dataType
-    empty = F.array().cast(f"array<{item.simpleString()}>")
 
     def both(a: Column, b: Column) -> Column:
         made = {"begin": F.least(a["begin"], b["begin"]), "end": F.greatest(a["end"], b["end"]), "style": F.lit("Default")}
@@ -165,12 +164,17 @@ def merge(intervals: DataFrame, alike: Alike) -> DataFrame:
             made["feat_sum"] = vector.added(a["feat_sum"], b["feat_sum"])
         return F.struct(*[made.get(f.name, a[f.name]).cast(f.dataType).alias(f.name) for f in item.fields])
 
+    # Only what has gathered last is carried; what it was joins the list when the next one differs.
+    kind = item.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
+
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both(last, x)))
-        return F.when(F.size(acc) == 0, F.array(x)).otherwise(F.when(F.coalesce(alike(last, x), F.lit(False)), joined).otherwise(F.concat(acc, F.array(x))))
+        last = acc["last"]
+        joins = last.isNotNull() & F.coalesce(alike(last, x), F.lit(False))
+        done = F.when(joins | last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(joins, both(last, x)).otherwise(x).alias("last"))
 
-    folded = intervals.groupBy(VIDEO).agg(F.aggregate(packed, empty, step).alias("all"))
+    folded = intervals.groupBy(VIDEO).agg(F.aggregate(packed, start, step, lambda acc: F.concat(acc["done"], F.array(acc["last"]))).alias("all"))
     return resort(folded.select(VIDEO, F.explode("all").alias("s")).select(VIDEO, *[F.col(f"s.{c}").alias(c) for c in names]))
 
 

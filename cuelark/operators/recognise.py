@@ -23,14 +23,30 @@ def one_line(raw: str) -> str:
     return raw[:-1].replace("\n", "")
 
 
-def interval_texts(intervals: DataFrame, frames: DataFrame, recognisers: list[Recogniser], separator: str = "@", text_mask: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def joined(texts: list[str], separator: str) -> str:
+    """What the recognisers read, one after the other; no separator before the first text."""
+    out = ""
+    for text in texts:
+        out = f"{out}{separator}{text}" if out else text
+    return out
+
+
+def interval_texts(
+    intervals: DataFrame,
+    frames: DataFrame,
+    recognisers: list[Recogniser],
+    separator: str = "@",
+    crop: Callable[[np.ndarray], np.ndarray] | None = None,
+    text_mask: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
     """The intervals with ``text``: what each recogniser reads in their frame, joined by ``separator``.
 
-    An interval's frame is at its ``ocr_pts``, or where it has none at its first
-    frame. Only those frames' pixels are shuffled: the keys are joined first. An
-    interval without a frame has an empty text.
+    A recogniser gets the ``crop`` of the frame (the whole frame without one) and
+    the ``text_mask`` of that crop. An interval's frame is at its ``ocr_pts``, or
+    where it has none at its first frame. Only those frames' pixels are shuffled:
+    the keys are joined first. An interval without a frame has an empty text.
     """
-    at = F.coalesce("ocr_pts", "first_pts") if "ocr_pts" in intervals.columns else F.col("first_pts")
+    at = F.coalesce("ocr_pts", "first_pts") if "ocr_pts" in intervals.columns and "first_pts" in intervals.columns else F.col("ocr_pts" if "ocr_pts" in intervals.columns else "first_pts")
     asked = intervals.withColumn("_at", at)
     wanted = asked.select("video_id", F.col("_at").alias("pts")).distinct()
     found = frames.join(wanted, ["video_id", "pts"]).groupBy("video_id", "pts").agg(F.min_by(F.struct("h", "w", "img"), "frame_idx").alias("f")).select("video_id", "pts", "f.h", "f.w", "f.img")
@@ -40,8 +56,9 @@ def interval_texts(intervals: DataFrame, frames: DataFrame, recognisers: list[Re
             texts = []
             for h, w, img in zip(pdf.h, pdf.w, pdf.img, strict=True):
                 image = np.frombuffer(img, np.uint8).reshape(h, w, 3)
+                image = crop(image) if crop else image
                 mask = text_mask(image) if text_mask else None
-                texts.append(separator.join(r(image, mask) for r in recognisers))
+                texts.append(joined([r(image, mask) for r in recognisers], separator))
             yield pd.DataFrame({"video_id": pdf.video_id, "pts": pdf.pts, "text": texts})
 
     texts = found.mapInPandas(read, "video_id long, pts long, text string").withColumnRenamed("pts", "_at")

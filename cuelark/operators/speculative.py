@@ -4,12 +4,13 @@ Grows a video's intervals from sparse looks. Two key frames alike are taken as o
 interval without a look between; where they differ the gap is halved until no
 frame is left in it. A look is compared with the mean of all looks of an interval,
 so the order of looks matters: the state of one video is sequential, and videos are
-parallel. Only feature columns travel to the grower, never pixels.
+parallel. What travels to the grower are feature columns, or only what is needed to
+fetch a frame: a look then reads and analyses that one frame, and no other is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 
 from cuelark.functions.timebase import MICROS, TimeBase
 
-GROWN = "video_id long, main_flag string, begin long, end long, style string, n_points int, feat_sum array<double>, first_main boolean, ocr_pts long, seq long, n_frames long, n_analysed long"
+GROWN = "video_id long, main_flag string, begin long, end long, style string, n_points int, feat_sum array<double>, first_main boolean, ocr_pts long, seq long, n_frames long, n_decoded long, n_analysed long"
+
+#: Whether a frame, by its place, has the main flag, and its feature.
+Look = Callable[[int], tuple[bool, np.ndarray]]
 
 
 @dataclass
@@ -48,28 +52,48 @@ class Video:
 
     pts: np.ndarray
     key: np.ndarray
-    main: np.ndarray
-    feature: np.ndarray
+    fetch: Look
     threshold: float
     empty_reach: int
     grown: list[Grown] = field(default_factory=list)
-    analysed: int = 0
+    seen: dict[int, tuple[bool, np.ndarray]] = field(default_factory=dict)
+
+    def look(self, i: int) -> tuple[bool, np.ndarray]:
+        if i not in self.seen:
+            self.seen[i] = self.fetch(i)
+        return self.seen[i]
+
+    @property
+    def analysed(self) -> int:
+        return len(self.seen)
+
+    @property
+    def decoded(self) -> int:
+        """Frames that a decoder goes through: of each key segment those up to its last look."""
+        last: dict[int, int] = {}
+        for i in self.seen:
+            begin = int(self.begins[i])
+            last[begin] = max(i, last.get(begin, begin))
+        return sum(i - begin + 1 for begin, i in last.items())
+
+    def __post_init__(self):
+        at = np.arange(len(self.pts))
+        self.begins = np.maximum.accumulate(np.where(self.key, at, 0))
 
     def joins(self, interval: Grown, i: int, gated: bool = True) -> bool:
         """Whether frame i belongs to the interval: alike, and if empty, not too far."""
-        f = self.feature[i]
+        _, f = self.look(i)
         alike = float(np.linalg.norm(interval.total / interval.looks - f)) < self.threshold
         return alike and not (gated and not f.any() and interval.away(int(self.pts[i])) > self.empty_reach)
 
     def insert(self, place: int, i: int) -> None:
         t = int(self.pts[i])
-        self.grown.insert(place, Grown(t, t, self.feature[i].astype(float), 1, bool(self.main[i]), t))
+        self.grown.insert(place, Grown(t, t, self.look(i)[1].astype(float), 1, self.look(i)[0], t))
 
     def reach(self, i: int, gated: bool = True) -> None:
         """The next key frame: part of the last interval or a new one."""
-        self.analysed += 1
         if self.grown and self.joins(self.grown[-1], i, gated):
-            self.grown[-1].take(int(self.pts[i]), self.feature[i])
+            self.grown[-1].take(int(self.pts[i]), self.look(i)[1])
         else:
             self.insert(len(self.grown), i)
 
@@ -88,11 +112,10 @@ class Video:
             at = int(np.searchsorted(self.pts[a:b], middle)) + a
             near = [i for i in (at - 1, at) if a <= i < b]
             i = min(near, key=lambda j: (abs(int(self.pts[j]) - middle), j))
-            self.analysed += 1
             if self.joins(left, i):
-                left.take(int(self.pts[i]), self.feature[i])
+                left.take(int(self.pts[i]), self.look(i)[1])
             elif self.joins(right, i):
-                right.take(int(self.pts[i]), self.feature[i])
+                right.take(int(self.pts[i]), self.look(i)[1])
             else:
                 self.insert(k + 1, i)
 
@@ -108,35 +131,60 @@ class Video:
         return self.grown
 
 
-def speculative_intervals(frames: DataFrame, flag: str, feature: str, threshold: float, empty_gap: int = 0, base: TimeBase = MICROS) -> DataFrame:
-    """Intervals grown from ``frames(video_id, pts, frame_idx, is_key, <flag>, <feature>)``.
+def sparse_looks(frames: DataFrame, look_of: Callable[[pd.DataFrame], Look], flag: str, threshold: float, empty_gap: int = 0, base: TimeBase = MICROS) -> DataFrame:
+    """Intervals grown from ``frames(video_id, pts, frame_idx, is_key, ...)`` by looks, and a row of seq -1 a video that tells its work.
 
-    ``feature`` is an array of doubles. Two looks are alike if the distance of a
-    look to an interval's mean is below ``threshold``; a look of all zeros farther
-    than ``empty_gap`` ms from an interval never joins it. Intervals whose first
-    look lacks the flag are dropped. ``n_frames`` and ``n_analysed`` tell how much
-    was looked at. Frames of equal pts are one, the first. A video without key
-    frames has its first and last frame; an empty table gives an empty one. Not
-    equal to the framewise result by design: what lies between alike key frames is
-    never seen.
+    ``look_of`` gets a video's rows in order and gives the function that fetches and
+    analyses one of them by its place; it is called for the frames looked at only.
+    See ``speculative_intervals``.
     """
     reach = base.ticks(empty_gap)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pts", "frame_idx"], kind="stable").drop_duplicates("pts")
-        video = Video(
-            pdf["pts"].to_numpy(np.int64), pdf["is_key"].fillna(False).to_numpy(bool), pdf["main"].fillna(False).to_numpy(bool), np.stack([np.asarray(x, float) for x in pdf["feature"]]), threshold, reach
-        )
-        rows = [(g, i) for i, g in enumerate(video.run()) if g.first_main]
-        if not rows:
-            return pd.DataFrame(columns=[c.split()[0] for c in GROWN.split(", ")], dtype=object)
-        return pd.DataFrame({
-            "video_id": pdf["video_id"].iloc[0], "main_flag": flag, "begin": [g.begin for g, _ in rows], "end": [g.end for g, _ in rows], "style": "Default", "n_points": [g.looks for g, _ in rows],
-            "feat_sum": [g.total.tolist() for g, _ in rows], "first_main": True, "ocr_pts": [g.first_pts for g, _ in rows], "seq": list(range(len(rows))), "n_frames": len(pdf), "n_analysed": video.analysed,
-        })
+        pdf = pdf.sort_values(["pts", "frame_idx"], kind="stable").drop_duplicates("pts").reset_index(drop=True)
+        video = Video(pdf["pts"].to_numpy(np.int64), pdf["is_key"].fillna(False).to_numpy(bool), look_of(pdf), threshold, reach)
+        rows = [(g.begin, g.end, g.looks, g.total.tolist(), True, g.first_pts) for g in video.run() if g.first_main]
+        rows.append((0, 0, 0, [], False, 0))
+        out = pd.DataFrame(rows, columns=["begin", "end", "n_points", "feat_sum", "first_main", "ocr_pts"])
+        return out.assign(video_id=pdf["video_id"].iloc[0], main_flag=flag, style="Default", seq=[*range(len(rows) - 1), -1], n_frames=len(pdf), n_decoded=video.decoded, n_analysed=video.analysed)
+
+    return frames.groupBy("video_id").applyInPandas(grow, GROWN)
+
+
+def by_features(frames: DataFrame, flag: str, feature: str, threshold: float, empty_gap: int = 0, base: TimeBase = MICROS) -> DataFrame:
+    """``sparse_looks`` at frames whose flag and feature are columns."""
+
+    def look_of(pdf: pd.DataFrame) -> Look:
+        main, feature = pdf["main"].fillna(False).to_numpy(bool), pdf["feature"]
+        return lambda i: (bool(main[i]), np.asarray(feature[i], float))
 
     slim = frames.select("video_id", "pts", "frame_idx", "is_key", F.col(flag).alias("main"), F.col(feature).cast("array<double>").alias("feature")).where("feature is not null")
-    return slim.groupBy("video_id").applyInPandas(grow, GROWN)
+    return sparse_looks(slim, look_of, flag, threshold, empty_gap, base)
+
+
+def grown(looks: DataFrame) -> DataFrame:
+    """The intervals of ``sparse_looks``."""
+    return looks.where("seq >= 0")
+
+
+def looked_at(looks: DataFrame) -> DataFrame:
+    """(n_frames, n_decoded, n_analysed) over all videos of ``sparse_looks``, with or without intervals."""
+    return looks.where("seq = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_frames", "n_decoded", "n_analysed")])
+
+
+def speculative_intervals(frames: DataFrame, flag: str, feature: str, threshold: float, empty_gap: int = 0, base: TimeBase = MICROS) -> DataFrame:
+    """Intervals grown from ``frames(video_id, pts, frame_idx, is_key, <flag>, <feature>)``.
+
+    ``feature`` is an array of doubles. Two looks are alike if the distance of a
+    look to an interval's mean is below ``threshold``; a look of all zeros farther
+    than ``empty_gap`` ms from an interval never joins it. Intervals whose first
+    look lacks the flag are dropped. ``n_frames``, ``n_decoded`` and ``n_analysed``
+    tell how much was looked at. Frames of equal pts are one, the first. A video
+    without key frames has its first and last frame; an empty table gives an empty
+    one. Not equal to the framewise result by design: what lies between alike key
+    frames is never seen.
+    """
+    return grown(by_features(frames, flag, feature, threshold, empty_gap, base))
 
 
 def key_segments(frames: DataFrame) -> DataFrame:
@@ -154,13 +202,8 @@ def nearest_frame(frames: DataFrame, low: int, centre: int, high: int) -> DataFr
     return best.select("video_id", "f.frame_idx", "f.pts")
 
 
-def looked_at(grown: DataFrame) -> DataFrame:
-    """(n_frames, n_analysed) over all videos that have an interval."""
-    return grown.groupBy("video_id").agg(F.first("n_frames").alias("f"), F.first("n_analysed").alias("a")).agg(F.sum("f").alias("n_frames"), F.sum("a").alias("n_analysed"))
-
-
 def simulate(pts: list[int], key: list[bool], feature: list[float], threshold: float) -> Iterator[tuple[int, int]]:
     """Begins and ends for scalar features of one video, without Spark."""
     f = np.array(feature, float)[:, None]
-    for g in Video(np.array(pts), np.array(key), np.ones(len(pts), bool), f, threshold, 1 << 60).run():
+    for g in Video(np.array(pts), np.array(key), lambda i: (True, f[i]), threshold, 1 << 60).run():
         yield g.begin, g.end

@@ -303,8 +303,8 @@ def box_text(roi: np.ndarray, p: dict) -> np.ndarray:
     return found if found.mean() > p["minCcFinalMean"] else none
 
 
-def box_colours(image: np.ndarray, rect: Callable[[str], Rect], detector: Detector = text_rows, **p) -> Flags:
-    roi = rect("dialogRect").cut(image)
+def boxes_of_text(roi: np.ndarray, p: dict, detector: Detector = text_rows) -> np.ndarray:
+    """Mask of the text in all boxes that a detector finds, minor boxes left out."""
     boxes = sorted(upright_boxes(detector(roi), roi.shape[1], roi.shape[0], p["boxVerticalExpansion"]), key=lambda b: -b[2] * b[3])
     whole = sum(w * h for _, _, w, h in boxes)
     text = np.zeros(roi.shape[:2], np.uint8)
@@ -312,6 +312,11 @@ def box_colours(image: np.ndarray, rect: Callable[[str], Rect], detector: Detect
         if rank >= p["nonMajorBoxSuppressionMinRank"] and w * h <= p["nonMajorBoxSuppressionMaxRatio"] * whole:
             break
         text[y : y + h, x : x + w] = box_text(roi[y : y + h, x : x + w], p)
+    return text
+
+
+def box_colours(image: np.ndarray, rect: Callable[[str], Rect], detector: Detector = text_rows, **p) -> Flags:
+    text = boxes_of_text(rect("dialogRect").cut(image), p, detector)
     value = float(text.mean())
     return {"Dialog": value > p["featureThreshold"], "DialogVal": value, "DialogFeat": px.dct_feature(px.resized(text, 150, 50)).tolist()}
 
@@ -371,6 +376,32 @@ def _analysed(batches: Iterator[pa.RecordBatch], strategy: str, params: dict, co
         yield pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
+def _known(params: dict) -> dict:
+    return {k: v for k, v in params.items() if k != "debugLevel" and not k.startswith(("featureJump", "jumpThresh", "fillGap", "iirPass"))}
+
+
+def looks(strategy: str, params: dict, flag: str, feature: str, image_of: Callable, content: tuple[float, float, float, float] = (0, 1, 0, 1), **extra) -> Callable:
+    """For ``speculative.sparse_looks``: fetches and analyses one frame of a video at a time.
+
+    ``image_of`` gets the video's rows and gives the function from a row's place to
+    its image (h, w, 3).
+    """
+    run, known = STRATEGIES[strategy][0], _known(params)
+    values = {k: v for k, v in known.items() if not k.endswith("Rect")} | extra
+
+    def of(pdf):
+        image = image_of(pdf)
+
+        def look(i: int) -> tuple[bool, np.ndarray]:
+            x = image(i)
+            flags = run(x, rectangles(strategy, known, x.shape[1], x.shape[0], content), **values)
+            return bool(flags[flag]), np.asarray(flags[feature], float)
+
+        return look
+
+    return of
+
+
 def analyse(frames: DataFrame, strategy: str, params: dict, content: tuple[float, float, float, float] = (0, 1, 0, 1), **extra) -> DataFrame:
     """The frames' keys and the strategy's flag columns, from their pixels.
 
@@ -384,6 +415,5 @@ def analyse(frames: DataFrame, strategy: str, params: dict, content: tuple[float
     keys = ["video_id", "pts", "frame_idx", "is_key"]
     slim = frames.where("img is not null").select(*keys, "h", "w", "img")
     schema = T.StructType([*[slim.schema[k] for k in keys], *STRATEGIES[strategy][1].fields])
-    known = {k: v for k, v in params.items() if k != "debugLevel" and not k.startswith(("featureJump", "jumpThresh", "fillGap", "iirPass"))}
-    run = partial(_analysed, strategy=strategy, params=known, content=tuple(content), extra=extra, schema=to_arrow_schema(schema))
+    run = partial(_analysed, strategy=strategy, params=_known(params), content=tuple(content), extra=extra, schema=to_arrow_schema(schema))
     return slim.mapInArrow(run, schema)

@@ -17,11 +17,14 @@ from cuelark.functions.timebase import MICROS, TimeBase, div, format_timestamp,
 from cuelark.operators import frames as fr
 from cuelark.operators import intervals as it
 from cuelark.operators import recognise, speculative, vision
+from cuelark.plans import pixel_sql as ps
 from cuelark.plans.presets import PRESETS
-from cuelark.plans.strategies import KEYS, SPEAKERS, classify_speaker, framewise, plan
+from cuelark.plans.strategies import KEYS, SPEAKERS, classify_speaker, framewise, plan, sparse_plan, sparse_threshold
 from cuelark.plans.strategies import speculative as speculative_plan
 from cuelark.sinks import subtitles
-from cuelark.sources.tables import drawn_frames, embedding_frames, event_frames, table
+from cuelark.streaming import intervals as stream
+from cuelark.sources.pictures import drawn_frames, image_of
+from cuelark.sources.tables import embedding_frames, event_frames, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,37 +157,23 @@ for _name, _how, _distance, _sql in (
         return fr.feature_jump(event_frames(spark, sf_dir), "feat", "jump", lambda a, b: F.round(distance(a, b), 9), **how).select("video_id", "frame_idx", "jump")
 
 
-def _vector_jump_sql(window: int, default: float, measure: str) -> str:
-    """Each frame's distance to the mean of the frames ahead."""
+def _vector_jump_sql(window: int, default: float, measure: str, least: float) -> str:
+    """Frames far from the mean of the frames ahead."""
     return f"""WITH {VP},
 h AS (SELECT video_id, frame_idx, feat::DOUBLE[] AS f, coalesce(list(feat::DOUBLE[]) OVER ({ORDER} ROWS BETWEEN 1 FOLLOWING AND {window} FOLLOWING), []) AS a FROM vf),
 m AS (SELECT video_id, frame_idx, f, list_transform(range(1, 65), lambda i: (list_sum(list_concat([0.0::DOUBLE], list_transform(a, lambda v: v[i]))) + {default} * ({window} - len(a))) / {window}) AS mean FROM h)
-SELECT video_id, frame_idx, round({measure}, 6) AS distance FROM m"""
+SELECT video_id, frame_idx, round({measure}, 6) >= {least} AS jump FROM m"""
 
 
-@query("feature_jump_l2", _vector_jump_sql(5, 0.0, "list_distance(f, mean)"))
-def feature_jump_l2(spark, sf_dir):
-    return _distances(spark, sf_dir, 5, 0.0, vector.l2)
-
-
-@query("feature_jump_cosine", _vector_jump_sql(3, 1.0, "0.5 - list_cosine_similarity(f, mean) / 2"))
-def feature_jump_cosine(spark, sf_dir):
-    return _distances(spark, sf_dir, 3, 1.0, vector.half_cosine)
-
-
-def _distances(spark, sf_dir, window, default, measure):
-    seen = {}
-
-    def keep(a, b):
-        seen["d"] = measure(a, b)
-        return seen["d"]
+for _name, _measure, _sql, _least, _window, _default in (
+    ("l2", vector.l2, "list_distance(f, mean)", 1.1, 5, 0.0),
+    ("cosine", vector.half_cosine, "0.5 - list_cosine_similarity(f, mean) / 2", 0.5, 3, 1.0),
+):
 
-    rows = embedding_frames(spark, sf_dir)
-    ahead = F.collect_list(F.col("feat").cast("array<double>")).over(fr.in_order().rowsBetween(1, window))
-    filler = F.array_repeat(F.array_repeat(F.lit(default), 64), F.lit(window) - F.size("a"))
-    rows = rows.withColumn("a", ahead).withColumn("mean", vector.mean_of(F.concat("a", filler), 64))
-    keep(F.col("feat"), F.col("mean"))
-    return rows.select("video_id", "frame_idx", F.round(seen["d"], 6).alias("distance"))
+    @query(f"feature_jump_{_name}", _vector_jump_sql(_window, _default, _sql, _least))
+    def vector_jump(spark, sf_dir, measure=_measure, least=_least, window=_window, default=_default):
+        far = lambda a, b: F.round(measure(a, b), 6)
+        return fr.vector_jump(embedding_frames(spark, sf_dir), "feat", "jump", 64, far, least, window, default=default).select("video_id", "frame_idx", "jump")
 
 
 _PAIRWISE = """p AS (SELECT video_id, frame_idx, feat::DOUBLE[] AS f, lead(feat::DOUBLE[]) OVER (PARTITION BY video_id ORDER BY frame_idx) AS g FROM vf)"""
@@ -228,16 +217,8 @@ def frame_dump(spark, sf_dir):
 
 @query("denoise_in_segments", f"WITH {FP}, {noise_sql('fp', 'clean', 'dialog', True, 3)} SELECT video_id, frame_idx, dialog FROM clean")
 def denoise_in_segments(spark, sf_dir):
-    """Noise removal with long videos dealt out in segments: the two ends of a video are told by neighbours' absence."""
-    rows = fr.with_halo(event_frames(spark, sf_dir), 16, 3, 3)
-    last = event_frames(spark, sf_dir).groupBy("video_id").agg(F.max("frame_idx").alias("last"))
-    part = rows.withColumn("whole_id", F.col("video_id")).withColumn("video_id", F.struct("video_id", "segment"))
-    flipped = fr.remove_noise(part.withColumn("was", F.col("dialog")), "dialog", True, 1 << 20)
-    run = Window.partitionBy("video_id", "was", "run")
-    marked = flipped.withColumn("at", F.row_number().over(fr.in_order())).withColumn("run", F.col("at") - F.row_number().over(fr.in_order("was"))).withColumn("long", F.count("*").over(run))
-    out = marked.where("own").select(F.col("whole_id").alias("video_id"), "frame_idx", "was", "long").join(last, "video_id")
-    flip = F.col("was") & (F.col("long") < 3) & F.col("frame_idx").between(F.lit(3), F.col("last") - 3)
-    return out.select("video_id", "frame_idx", (F.col("was") & ~flip).alias("dialog"))
+    """Noise removal with long videos dealt out in segments of 16 frames."""
+    return fr.remove_noise_in_segments(event_frames(spark, sf_dir), "dialog", True, 3, 16).select("video_id", "frame_idx", "dialog")
 
 
 # Scalars
@@ -296,10 +277,29 @@ for _name, _meet in (("half", 0.5), ("left", 0.0), ("right", 1.0)):
         return it.fill_gap(one(spark, sf_dir), "dialog", 300, meet, HOURS).select(*IV_COLUMNS)
 
 
-@query("fill_gap_sequential", f"WITH {FP}, {ONE}, {gap_sql('iv', 'g', 'dialog', TICKS[300], 0.5)} {IV} g")
+# Two kinds of events under one label: their intervals touch and overlap, so one looks past the next for a real gap.
+_MIXED = f"""{islands("fp", {"click": "event_type = 'click'"}, "jv")}, {islands("fp", {"dialog": "dialog"}, "dv")},
+iv AS (SELECT video_id, 'x' AS main_flag, b, e, n_points, row_number() OVER (PARTITION BY video_id ORDER BY b, t, seq) - 1 AS seq FROM (SELECT *, 0 AS t FROM dv UNION ALL SELECT *, 1 AS t FROM jv))"""
+#: Each interval in turn: the first later one that begins within reach, after it ends, meets it; both are changed in the list that goes on.
+_IN_TURN = f"""WITH RECURSIVE {FP}, {_MIXED},
+l AS (SELECT video_id, list({{'b': b, 'e': e, 'n': n_points}} ORDER BY seq) AS xs FROM iv GROUP BY video_id),
+turn(video_id, i, xs) AS (
+  SELECT video_id, 1, xs FROM l
+  UNION ALL
+  SELECT video_id, i + 1, CASE WHEN j IS NULL THEN xs ELSE list_transform(xs, lambda x, p: CASE WHEN p = i THEN {{'b': x.b, 'e': m, 'n': x.n}} WHEN p = j THEN {{'b': m, 'e': x.e, 'n': x.n}} ELSE x END) END
+  FROM (SELECT *, trunc(xs[i].e::DOUBLE * 0.5 + xs[j].b::DOUBLE * 0.5)::BIGINT AS m FROM (SELECT *, CASE WHEN xs[k].b - xs[i].e <= {TICKS[300]} THEN k END AS j FROM (
+    SELECT *, list_filter(range(i + 1, len(xs) + 1), lambda q: xs[q].b > xs[i].e)[1] AS k FROM turn WHERE i <= len(xs))))),
+done AS (SELECT video_id, unnest(xs) AS x, unnest(range(len(xs))) AS seq FROM turn WHERE i = len(xs) + 1),
+g AS (SELECT video_id, 'x' AS main_flag, x.b AS b, x.e AS e, x.n AS n_points, row_number() OVER (PARTITION BY video_id ORDER BY x.b, seq) - 1 AS seq FROM done)"""
+
+
+@query("fill_gap_sequential", f"{_IN_TURN} {IV} g")
 def fill_gap_sequential(spark, sf_dir):
-    """Equal to the closed form where a label's intervals do not touch, as here."""
-    return it.fill_gap_sequential(one(spark, sf_dir), "dialog", 300, 0.5, HOURS).select(*IV_COLUMNS)
+    mixed = F.row_number().over(Window.partitionBy("video_id").orderBy("begin", F.col("main_flag") == "click", "seq")) - 1
+    rows = event_frames(spark, sf_dir).withColumn("click", F.col("event_type") == "click")
+    both = it.append(fr.build_intervals(rows, ["dialog"]), fr.build_intervals(rows, ["click"]))
+    both = both.withColumn("seq", mixed.cast("long")).withColumn("main_flag", F.lit("x"))
+    return it.fill_gap_sequential(both, "x", 300, 0.5, HOURS).select(*IV_COLUMNS)
 
 
 @query("extend", f"WITH {FP}, {TWO}, {resorted('iv', 's')}, {extend_sql('s', 'x', 'dialog', TICKS[100], TICKS[200])} {IV} x")
@@ -423,7 +423,7 @@ def merge_by_feature(spark, sf_dir):
 
 
 _CENTROIDS = {"east": (1.0, 0.0), "west": (-1.0, 0.0), "north": (0.0, 1.0), "centre": (0.0, 0.0)}
-_D = {k: f"round((x - {a}) * (x - {a}) + (y - {b}) * (y - {b}), 9)" for k, (a, b) in _CENTROIDS.items()}
+_D = {k: f"(x - {a}) * (x - {a}) + (y - {b}) * (y - {b})" for k, (a, b) in _CENTROIDS.items()}
 
 
 @query(
@@ -435,8 +435,7 @@ SELECT vec_id, CASE WHEN c.d > 0.2 THEN 'none' ELSE c.n END AS nearest FROM b"""
 )
 def classify_nearest_centroid(spark, sf_dir):
     x, y = (F.element_at("embedding", i).cast("double") for i in (1, 2))
-    best = F.least(*[F.struct(F.round((x - a) * (x - a) + (y - b) * (y - b), 9).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("n")) for i, (k, (a, b)) in enumerate(_CENTROIDS.items())])
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(best["d"] > 0.2, "none").otherwise(best["n"]).alias("nearest"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", it.nearest_centroid(x, y, _CENTROIDS, 0.2, "none").alias("nearest"))
 
 
 # Scans
@@ -584,10 +583,47 @@ for _key in KEYS:
         return out.select(*IV_COLUMNS, *(["style"] if key == "mr-s0" else []))
 
 
+def _event_looks(spark, sf_dir):
+    rows = event_frames(spark, sf_dir).withColumn("f", F.array(F.when(F.col("dialog"), 1.0).otherwise(0.0)))
+    return speculative.by_features(rows, "dialog", "f", 0.5, 300, HOURS)
+
+
 @query("speculative_intervals")
 def speculative_intervals(spark, sf_dir):
-    rows = event_frames(spark, sf_dir).withColumn("f", F.array(F.when(F.col("dialog"), 1.0).otherwise(0.0)))
-    return speculative.speculative_intervals(rows, "dialog", "f", 0.5, 300, HOURS).drop("feat_sum")
+    return speculative.grown(_event_looks(spark, sf_dir)).drop("feat_sum")
+
+
+def _held_frames(spark, sf_dir):
+    """Events as a video whose picture stays for 48 frames, as a caption does, with a key frame in 24."""
+    span = Window.partitionBy("video_id", div(F.col("frame_idx"), 48)).orderBy("frame_idx")
+    rows = event_frames(spark, sf_dir).withColumns({"feat": F.first("feat").over(span), "is_key": F.col("frame_idx") % 24 == 0})
+    return rows.select("video_id", "pts", "frame_idx", "is_key", "feat")
+
+
+def _picture_looks(spark, sf_dir, key):
+    """Sparse looks at drawn frames: a picture is drawn and analysed only when it is looked at."""
+    params = next(iter(PRESETS[key].values()))
+    own = plan(key, params)
+    look = vision.looks(key, params, own.flags[0], own.feature, image_of)
+    return own, speculative.sparse_looks(_held_frames(spark, sf_dir), look, own.flags[0], sparse_threshold(own), 1000, HOURS)
+
+
+@query("speculative_pixels")
+def speculative_pixels(spark, sf_dir):
+    own, looks = _picture_looks(spark, sf_dir, "otl")
+    return sparse_plan(looks, own, HOURS).select(*IV_COLUMNS)
+
+
+@query("framewise_pixels")
+def framewise_pixels(spark, sf_dir):
+    """The same way frame by frame, to compare with."""
+    params = next(iter(PRESETS["otl"].values()))
+    return framewise(vision.analyse(drawn_frames(_held_frames(spark, sf_dir)), "otl", params), plan("otl", params), HOURS).select(*IV_COLUMNS)
+
+
+@query("speculative_pixel_work")
+def speculative_pixel_work(spark, sf_dir):
+    return speculative.looked_at(_picture_looks(spark, sf_dir, "otl")[1])
 
 
 for _key in ("prk", "otl", "bcs"):
@@ -600,7 +636,7 @@ for _key in ("prk", "otl", "bcs"):
 
 @query("speculative_work")
 def speculative_work(spark, sf_dir):
-    return speculative.looked_at(speculative_intervals(spark, sf_dir))
+    return speculative.looked_at(_event_looks(spark, sf_dir))
 
 
 @query(
@@ -618,11 +654,25 @@ def speaker_classes(spark, sf_dir):
 # Pixels
 
 
+def _flag_names(key: str) -> str:
+    return ", ".join(f'"{f.name}"' for f in vision.STRATEGIES[key][1].fields)
+
+
+_PIXEL_CTES = {"mr": ps.mr_ctes, "md": ps.md_ctes, "pkm": ps.pkm_ctes, "bdr": ps.bdr_ctes, "prk": ps.prk_ctes, "lcb-mech": ps.mech_ctes}
+
+
+def in_millionths(feature) -> F.Column:
+    """A vector as text that any engine writes alike."""
+    return F.array_join(F.transform(feature, lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+
+
 for _key in KEYS:
 
-    @query(f"pixel_{_key.replace('-', '_')}")
+    @query(f"pixel_{_key.replace('-', '_')}", ps.flags_of(_key, FP, _flag_names(_key), _PIXEL_CTES[_key](ps.first(_key))) if _key in _PIXEL_CTES else None)
     def run_pixels(spark, sf_dir, key=_key):
-        return vision.analyse(drawn_frames(event_frames(spark, sf_dir)), key, next(iter(PRESETS[key].values())))
+        flags = vision.analyse(drawn_frames(event_frames(spark, sf_dir)), key, next(iter(PRESETS[key].values())))
+        alike = {"double": lambda c: F.round(c, 6), "array<double>": in_millionths}
+        return flags.select(*[alike.get(kind, F.col)(F.col(c) if kind in alike else c).alias(c) for c, kind in flags.dtypes])
 
 
 def _per_frame(frames: DataFrame, columns: str, run: Callable[[np.ndarray], tuple]) -> DataFrame:
@@ -634,14 +684,20 @@ def _per_frame(frames: DataFrame, columns: str, run: Callable[[np.ndarray], tupl
     return frames.select("video_id", "frame_idx", "h", "w", "img").mapInPandas(each, f"video_id long, frame_idx long, {columns}")
 
 
-@query("dct_descriptor")
+def _per_picture_sql(flags: str, ctes: str) -> str:
+    return f"WITH {FP}, {ps.pictures_sql()}, {ctes}, sh AS (SELECT video_id, frame_idx, {ps.SHOWN} FROM fp) SELECT video_id, frame_idx, {flags} FROM sh JOIN fl USING (k, n)"
+
+
+@query("dct_descriptor", _per_picture_sql("feature", f"{ps.resized_ctes('px', 'grey', [0.0, 1.0, 0.0, 1.0])}, {ps.dct_ctes()}, fl AS (SELECT * FROM ft)"))
 def dct_descriptor(spark, sf_dir):
-    return _per_frame(drawn_frames(event_frames(spark, sf_dir)), "feature array<double>", lambda x: (px.dct_feature(px.resized(px.grey(x), 150, 50)).tolist(),))
+    rows = _per_frame(drawn_frames(event_frames(spark, sf_dir)), "feature array<double>", lambda x: (px.dct_feature(px.resized(px.grey(x), 150, 50)).tolist(),))
+    return rows.withColumn("feature", in_millionths(F.col("feature")))
 
 
-@query("rgb_sobel")
+@query("rgb_sobel", _per_picture_sql("strength, most", ps.sobel_ctes()))
 def rgb_sobel(spark, sf_dir):
-    return _per_frame(drawn_frames(event_frames(spark, sf_dir)), "strength double, most int", lambda x: (float((e := px.edges(x)).mean()), int(e.max())))
+    rows = _per_frame(drawn_frames(event_frames(spark, sf_dir)), "strength double, most int", lambda x: (float((e := px.edges(x)).mean()), int(e.max())))
+    return rows.withColumn("strength", F.round("strength", 6))
 
 
 @query("component_filter")
@@ -660,17 +716,59 @@ def pca_features(spark, sf_dir):
     return model.transform(rows).select("video_id", "frame_idx", vector_to_array("p").alias("feature"))
 
 
-@query("interval_texts")
+_READ = f"'{ps.WIDTH}x{ps.HEIGHT}:' || mean"
+
+
+@query(
+    "interval_texts",
+    f"""WITH {FP}, {ONE}, {ps.pictures_sql()}, {ps.MEANS}, sh AS (SELECT video_id, pts, frame_idx, {ps.SHOWN} FROM fp),
+rd AS (SELECT video_id, pts, arg_min({_READ}, frame_idx) AS t FROM sh JOIN fl USING (k, n) GROUP BY video_id, pts)
+SELECT iv.video_id, seq, t || '@' || t AS text FROM iv JOIN rd ON rd.video_id = iv.video_id AND rd.pts = iv.b""",
+)
 def interval_texts(spark, sf_dir):
-    frames = event_frames(spark, sf_dir)
-    seen = drawn_frames(frames)
     reader = lambda image, mask: f"{image.shape[1]}x{image.shape[0]}:{int(image.mean())}"
-    return recognise.interval_texts(one(spark, sf_dir), seen, [reader, reader]).select("video_id", "seq", "text")
+    return recognise.interval_texts(one(spark, sf_dir), drawn_frames(event_frames(spark, sf_dir)), [reader, reader]).select("video_id", "seq", "text")
+
 
+_BOXED = PRESETS["bdr"]["default"] | {"dialogRect": [0.25, 0.75, 0.8, 0.98], "bgMinBrightness": 0, "bgMaxBrightness": 60, "bgMinMeanVal": 100.0, "textMinBrightness": 200, "textMaxBrightness": 255}
 
-@query("pixels_to_subtitles")
+
+@query(
+    "pixels_to_subtitles",
+    f"""WITH {FP}, {ps.pictures_sql()}, {ps.bdr_ctes(_BOXED)}, sh AS (SELECT video_id, pts, frame_idx, is_key, {ps.SHOWN} FROM kf),
+f0 AS (SELECT sh.*, "Dialog", tx AS val FROM sh JOIN fl USING (k, n) JOIN st USING (k, n)), {jump_sql("f0", "j", "val", "jump", "abs(f - mean)", 2.0, 3)},
+{islands("j", {"Dialog": '"Dialog" AND NOT jump'})}, {resorted("iv", "s")}, {gap_sql("s", "gp", "Dialog", TICKS[500], 0.5)},
+nm AS (SELECT *, row_number() OVER (PARTITION BY video_id, main_flag ORDER BY b, seq) - 1 AS number FROM gp)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY b, seq) - 1 AS ord, 'Dialogue: 0,' || {_CLOCK("b")} || ',' || {_CLOCK("e")} || ',Default,,0,0,0,,Subtitle_' || main_flag || '_' || number AS line FROM nm""",
+)
 def pixels_to_subtitles(spark, sf_dir):
     """The whole way: drawn frames, their analysis, a plan, and subtitle lines."""
-    params = PRESETS["bdr"]["default"] | {"dialogRect": [0.25, 0.75, 0.8, 0.98], "bgMinBrightness": 0, "bgMaxBrightness": 60, "bgMinMeanVal": 100.0, "textMinBrightness": 200, "textMaxBrightness": 255}
-    flags = vision.analyse(drawn_frames(event_frames(spark, sf_dir)), "bdr", params)
-    return subtitles.subtitle_lines(framewise(flags, plan("bdr", params), HOURS))
+    flags = vision.analyse(drawn_frames(event_frames(spark, sf_dir)), "bdr", _BOXED)
+    return subtitles.subtitle_lines(framewise(flags, plan("bdr", _BOXED), HOURS))
+
+
+# Forms that streams have as well
+
+
+@query(
+    "flag_rates",
+    """SELECT user_id AS video_id, epoch_us(time_bucket(INTERVAL 6 HOURS, ts)) AS "begin", count(*) AS frames, round(avg((value > 40)::INT), 9) AS share FROM events GROUP BY ALL""",
+)
+def flag_rates(spark, sf_dir):
+    rates = stream.flag_rates(_clocked(spark, sf_dir), "dialog", "6 hours")
+    return rates.select("video_id", F.unix_micros("window.start").alias("begin"), "frames", F.round("share", 9).alias("share"))
+
+
+@query(
+    "flag_sessions",
+    """WITH o AS (SELECT user_id AS video_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE value > 40),
+r AS (SELECT *, sum((gap IS NULL OR gap >= 36000000000)::INT) OVER (PARTITION BY video_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT video_id, min(t) AS "begin", max(t) + 36000000000 AS "end", count(*) AS frames FROM r GROUP BY video_id, run""",
+)
+def flag_sessions(spark, sf_dir):
+    found = stream.sessions(_clocked(spark, sf_dir), "dialog", "10 hours")
+    return found.select("video_id", F.unix_micros("begin").alias("begin"), F.unix_micros("end").alias("end"), "frames")
+
+
+def _clocked(spark, sf_dir):
+    return event_frames(spark, sf_dir).select("video_id", "dialog", F.timestamp_micros("pts").alias("ts"))

@@ -17,7 +17,7 @@ from cuelark.functions import vector
 from cuelark.functions.timebase import MICROS, TimeBase
 from cuelark.operators import frames as fr
 from cuelark.operators import intervals as it
-from cuelark.operators.speculative import speculative_intervals
+from cuelark.operators.speculative import by_features, grown
 
 Step = tuple  # (operator, parameters)
 
@@ -188,7 +188,16 @@ def framewise(flags: DataFrame, plan: Plan, base: TimeBase = MICROS, every: int
 
 def speculative(flags: DataFrame, plan: Plan, empty_gap: int = 1000, base: TimeBase = MICROS) -> DataFrame:
     """Intervals of a plan grown from sparse looks at its frame flags; the plan must allow it."""
+    return sparse_plan(by_features(flags, plan.flags[0], plan.feature, sparse_threshold(plan), empty_gap, base), plan, base)
+
+
+def sparse_threshold(plan: Plan) -> float:
+    """The distance below which two looks of a plan are alike."""
     if plan.merge_below is None:
         raise ValueError(f"{plan.key} cannot grow intervals from sparse looks")
-    grown = speculative_intervals(flags, plan.flags[0], plan.feature, plan.merge_below, empty_gap, base)
-    return _through(it.resort(grown), plan.sparse_steps, base)
+    return plan.merge_below
+
+
+def sparse_plan(looks: DataFrame, plan: Plan, base: TimeBase = MICROS) -> DataFrame:
+    """The steps of a plan after its intervals are grown."""
+    return _through(it.resort(grown(looks)), plan.sparse_steps, base)

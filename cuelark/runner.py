@@ -10,47 +10,64 @@ from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelark.functions.timebase import TimeBase
 from cuelark.operators import recognise, vision
 from cuelark.operators.geometry import Rect
-from cuelark.operators.speculative import looked_at, speculative_intervals
-from cuelark.plans.strategies import framewise, speculative
+from cuelark.operators.speculative import looked_at, sparse_looks
+from cuelark.plans.strategies import framewise, sparse_plan, sparse_threshold
 from cuelark.sinks import subtitles
 from cuelark.sources import config
-from cuelark.sources.raw_video import RawFrames
+from cuelark.sources.raw_video import RawFrames, image_of
 
 
-def intervals_of(frames: DataFrame, run: config.Run, base: TimeBase, **extra) -> DataFrame:
+def image_in_row(pdf):
+    """The image of a row that has its pixels."""
+    return lambda i: np.frombuffer(pdf["img"][i], np.uint8).reshape(pdf["h"][i], pdf["w"][i], 3)
+
+
+def looks_of(frames: DataFrame, run: config.Run, base: TimeBase, image_of: Callable = image_in_row, **extra) -> DataFrame:
+    """The sparse looks of a speculative run; ``image_of`` says how a frame's image is fetched."""
+    look = vision.looks(run.strategy, run.params, run.plan.flags[0], run.plan.feature, image_of, run.content, **extra)
+    return sparse_looks(frames, look, run.plan.flags[0], sparse_threshold(run.plan), run.empty_gap, base)
+
+
+def intervals_of(frames: DataFrame, run: config.Run, base: TimeBase, image_of: Callable = image_in_row, **extra) -> DataFrame:
     """The labelled intervals of a frame table under a checked configuration."""
-    if run.engine == "framewise" and run.every > 1:
-        frames = frames.where(F.col("frame_idx") % run.every == 0)
-    flags = vision.analyse(frames, run.strategy, run.params, run.content, **extra)
     if run.engine == "speculative":
-        return speculative(flags, run.plan, run.empty_gap, base)
-    return framewise(flags, run.plan, base)
+        return sparse_plan(looks_of(frames, run, base, image_of, **extra), run.plan, base)
+    if run.every > 1:
+        frames = frames.where(F.col("frame_idx") % run.every == 0)
+    return framewise(vision.analyse(frames, run.strategy, run.params, run.content, **extra), run.plan, base)
 
 
-def work_of(frames: DataFrame, run: config.Run, base: TimeBase, **extra) -> DataFrame:
-    """(n_frames, n_analysed) of a speculative run."""
-    flags = vision.analyse(frames, run.strategy, run.params, run.content, **extra)
-    return looked_at(speculative_intervals(flags, run.plan.flags[0], run.plan.feature, run.plan.merge_below, run.empty_gap, base))
+def work_of(frames: DataFrame, run: config.Run, base: TimeBase, image_of: Callable = image_in_row, **extra) -> DataFrame:
+    """(n_frames, n_decoded, n_analysed) of a speculative run."""
+    return looked_at(looks_of(frames, run, base, image_of, **extra))
 
 
-def text_masks(run: config.Run):
-    """The mask that a recogniser reads, of a frame; None where a strategy makes none."""
-    if run.strategy != "otl":
-        return None
-    values = {k: v for k, v in run.params.items() if not k.endswith("Rect")}
+def dialog_crop(run: config.Run):
+    """The part of a frame that a recogniser reads."""
 
     def of(image):
-        box = Rect.source(image.shape[1], image.shape[0]).part(*run.content).part(*run.params["dialogRect"])
-        return vision.outlined_text(box.cut(image), values)
+        return Rect.source(image.shape[1], image.shape[0]).part(*run.content).part(*run.params["dialogRect"]).cut(image)
+
+    return of if "dialogRect" in run.params else None
 
-    return of
+
+def text_masks(run: config.Run):
+    """The mask of text in a crop; None where a strategy makes none."""
+    values = {k: v for k, v in run.params.items() if not k.endswith("Rect")}
+    if run.strategy == "otl":
+        return lambda crop: vision.outlined_text(crop, values)
+    if run.strategy == "bcs":
+        return lambda crop: vision.boxes_of_text(crop, values)
+    return None
 
 
 def execute(spark: SparkSession, run: config.Run, base: TimeBase, recognisers: list[recognise.Recogniser] | None = None, **extra) -> list[float]:
@@ -60,10 +77,13 @@ def execute(spark: SparkSession, run: config.Run, base: TimeBase, recognisers: l
     for source, destination in zip(run.sources, run.destinations, strict=True):
         begin = time.time()
         frames = spark.read.format("raw_frames").load(source)
-        found = intervals_of(frames, run, base, **extra)
+        if run.engine == "speculative":  # pixels only of the frames looked at
+            found = intervals_of(spark.read.format("raw_frames").option("pixels", "false").load(source), run, base, image_of(source), **extra)
+        else:
+            found = intervals_of(frames, run, base, **extra)
         subtitles.write_documents(found, f"{destination}/subtitles", run.plan.styles, base)
         if run.ocr and recognisers:
-            texts = recognise.interval_texts(found, frames, recognisers, run.ocr["separator"], text_masks(run))
+            texts = recognise.interval_texts(found, frames, recognisers, run.ocr["separator"], dialog_crop(run), text_masks(run))
             lines = subtitles.ocr_lines(texts).repartition("video_id").sortWithinPartitions("video_id", "ord")
             lines.select("video_id", "line").write.mode("overwrite").partitionBy("video_id").text(f"{destination}/texts{run.ocr['suffix']}")
         seconds.append(time.time() - begin)

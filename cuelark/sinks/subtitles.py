@@ -9,14 +9,17 @@ from cuelark.functions import interval as iv
 from cuelark.functions.timebase import MICROS, TimeBase
 from cuelark.operators.intervals import numbered
 
-#: The fixed lines of a subtitle file.
+#: The fixed lines of a subtitle file. Fixed values.
 HEADER = (
     "[Script Info]",
     "ScriptType: v4.00+",
+    "WrapStyle: 0",
+    "PlayResX: 1280",
+    "PlayResY: 720",
     "",
     "[V4+ Styles]",
     "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding",
-    "Style: Default,Arial,48,&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,2,2,2,10,10,10,1",
+    "Style: Default,Microsoft YaHei,40,&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,2,2,2,10,10,100,1",
 )
 EVENTS = ("", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text")
 

@@ -1,8 +1,10 @@
 """A data source of raw frame files: one partition a file and key segment.
 
-A file ``<video_id>.npz`` holds ``pts`` (n), ``key`` (n, boolean) and ``img`` (n, h, w, 3).
-Sampling (option ``every``) and a pushed-down range of ``pts`` or ``video_id``
-decide before any pixel is read. Decoders of compressed video take this reader's
+A file ``<video_id>.npz`` holds ``pts`` (n) and ``key`` (n, boolean); the pixels are
+``<video_id>.npy`` (n, h, w, 3) beside it, of which only the frames asked for are read,
+or ``img`` in the first file, which is read whole. Sampling (option ``every``) and a
+pushed-down range of ``pts`` or ``video_id`` decide before any pixel is read, and with
+the option ``pixels`` false none is. Decoders of compressed video take this reader's
 place where they are installed.
 """
 
@@ -17,6 +19,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SCHEMA = "video_id long, pts long, frame_idx long, is_key boolean, h int, w int, img binary"
 
 
+def pixels(folder: str, video: int) -> np.ndarray:
+    """A video's frames, read from the disk as they are looked at."""
+    path = os.path.join(folder, f"{video}.npy")
+    if os.path.exists(path):
+        return np.load(path, mmap_mode="r")
+    with np.load(os.path.join(folder, f"{video}.npz")) as z:
+        return z["img"]
+
+
+def image_of(folder: str):
+    """For ``vision.looks``: the image of a row of a video's frames."""
+
+    def of(pdf):
+        held = pixels(folder, int(pdf["video_id"].iloc[0]))
+        index = pdf["frame_idx"].to_numpy()
+        return lambda i: np.asarray(held[index[i]])
+
+    return of
+
+
 class Segment(InputPartition):
     def __init__(self, path: str, video: int, begin: int, end: int):
         self.path, self.video, self.begin, self.end = path, video, begin, end
@@ -40,6 +62,7 @@ class RawFramesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.every, self.least = int(options.get("every", 1)), int(options.get("segment", 64))
+        self.pixels = str(options.get("pixels", "true")).lower() == "true"
         self.low, self.high, self.video = -(1 << 63), (1 << 63) - 1, None
 
     def pushFilters(self, filters: list[Filter]):
@@ -84,8 +107,10 @@ class RawFramesReader(DataSourceReader):
             at = at[(at % self.every == 0) & (pts >= self.low) & (pts <= self.high)]
             if not len(at):
                 return
-            pts, key, img = z["pts"][at], z["key"][at], z["img"][at]
-        n, h, w = len(at), img.shape[1], img.shape[2]
+            pts, key = z["pts"][at], z["key"][at]
+        n = len(at)
+        img = pixels(self.folder, partition.video)[at] if self.pixels else np.empty((n, 0, 0, 3), np.uint8)
+        h, w = img.shape[1:3]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, partition.video)), pa.array(pts.astype(np.int64)), pa.array(at), pa.array(key.astype(bool)), pa.array(np.full(n, h, np.int32)), pa.array(np.full(n, w, np.int32)), pa.array([x.tobytes() for x in img], pa.binary())],
             ["video_id", "pts", "frame_idx", "is_key", "h", "w", "img"],

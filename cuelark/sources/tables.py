@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,32 +34,3 @@ def embedding_frames(spark: SparkSession, sf_dir: str, ticks: int = 40_000) -> D
     order = Window.partitionBy("label").orderBy("vec_id")
     rows = v.select(F.col("label").cast("long").alias("video_id"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), "embedding")
     return rows.select("video_id", (F.col("frame_idx") * ticks).alias("pts"), "frame_idx", (F.col("frame_idx") % KEY_EVERY == 0).alias("is_key"), (F.element_at("embedding", 1) > 0).alias("dialog"), F.col("embedding").alias("feat"))
-
-
-def drawn_frames(frames: DataFrame, width: int = 192, height: int = 108) -> DataFrame:
-    """Frames with pixels: a picture drawn from each frame's value (``feat``), the same for the same value.
-
-    A mid-grey ground; over some values a dark or white screen; a caption box with
-    bright, dark-edged bars for text in the lower part, more of them for a larger
-    value.
-    """
-
-    def draw(value: float) -> bytes:
-        kind, n = int(value) % 5, int(value) % 13
-        ground = {0: 20, 1: 230}.get(kind, 128)
-        image = np.full((height, width, 3), ground, np.uint8)
-        top, left = height * 8 // 10, width // 4
-        image[top : height - 2, left : width - left] = (250, 250, 250) if kind == 2 else (30, 25, 20)
-        for i in range(n):
-            x = left + 4 + i * 6
-            if x + 5 < width - left:
-                image[top + 4 : top + 14, x : x + 5] = 0
-                image[top + 5 : top + 13, x + 1 : x + 4] = (20, 30, 40) if kind == 2 else (255, 255, 255)
-        return image.tobytes()
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"video_id": pdf.video_id, "pts": pdf.pts, "frame_idx": pdf.frame_idx, "is_key": pdf.is_key, "h": height, "w": width, "img": [draw(v) for v in pdf.feat]})
-
-    slim = frames.select("video_id", "pts", "frame_idx", "is_key", "feat")
-    return slim.mapInPandas(run, "video_id long, pts long, frame_idx long, is_key boolean, h int, w int, img binary")

@@ -138,6 +138,74 @@ def test_sparse_looks_find_every_change():
         assert got == [(3 * a, 3 * min(b, t - 1)) for a, b in spans]
 
 
+def model(pts, key, feature, threshold, reach):
+    """The same growth told otherwise: lists of looks, gaps closed by recursion."""
+    found, looked = [], []
+
+    def fits(own, i, gated):
+        mean = [sum(feature[j][c] for j in own["looks"]) / len(own["looks"]) for c in range(len(feature[i]))]
+        near = sum((a - b) ** 2 for a, b in zip(mean, feature[i], strict=True)) ** 0.5 < threshold
+        away = max(own["begin"] - pts[i], pts[i] - own["end"], 0)
+        return near and not (gated and not any(feature[i]) and away > reach)
+
+    def add(own, i):
+        own["looks"].append(i)
+        own["begin"], own["end"] = min(own["begin"], pts[i]), max(own["end"], pts[i])
+
+    def new(i):
+        return {"begin": pts[i], "end": pts[i], "looks": [i]}
+
+    def close(left, right):
+        """What lies between two neighbours, both of which may grow."""
+        between = [i for i, t in enumerate(pts) if left["end"] < t < right["begin"]]
+        if not between or left["end"] >= right["begin"]:
+            left["end"] = max(left["end"], right["begin"])
+            return []
+        middle = left["end"] + (right["begin"] - left["end"]) // 2
+        i = min(between, key=lambda j: (abs(pts[j] - middle), j))
+        looked.append(i)
+        if fits(left, i, True):
+            add(left, i)
+            return close(left, right)
+        if fits(right, i, True):
+            add(right, i)
+            return close(left, right)
+        inner = new(i)
+        before = close(left, inner)
+        # What was found before may have grown the new one; then the rest.
+        return [*before, inner, *close(inner, right)]
+
+    keys = sorted({0, len(pts) - 1, *(i for i, k in enumerate(key) if k)})
+    for n, i in enumerate(keys):
+        looked.append(i)
+        if found and fits(found[-1], i, n > 1):
+            add(found[-1], i)
+            continue
+        right = new(i)
+        if found:
+            found += close(found[-1], right)
+        found.append(right)
+    return [(x["begin"], x["end"], len(x["looks"])) for x in found], len(looked)
+
+
+def test_growth_is_that_of_a_plain_model():
+    rng = random.Random(21)
+    for _ in range(150):
+        n = rng.randrange(2, 90)
+        pts = sorted(rng.sample(range(1000), n))
+        level, feature = [0.0, 0.0], []
+        for _ in range(n):
+            if rng.random() < 0.15:
+                level = rng.choice([[0.0, 0.0], [1.0, 0.0], [0.6, 0.8], [0.3, 0.1]])
+            feature.append([x + rng.choice([0, 0, 0.05]) if any(level) else 0.0 for x in level])
+        key = [rng.random() < 0.1 for _ in range(n)]
+        for reach in (0, 60, 10**6):
+            video = sp.Video(np.array(pts), np.array(key), lambda i, f=feature: (True, np.array(f[i])), 0.4, reach)
+            got = [(g.begin, g.end, g.looks) for g in video.run()]
+            want, looks = model(pts, key, feature, 0.4, reach)
+            assert got == want and video.analysed == looks and looks <= video.decoded <= n
+
+
 def test_speculative_operator(spark):
     data = [(1, 10 * i, i, i % 60 == 0, 100 <= i < 300, [1.0 if 100 <= i < 300 else 0.0]) for i in range(400)]
     df = spark.createDataFrame([*data, (2, 0, 0, True, True, [1.0])], "video_id long, pts long, frame_idx long, is_key boolean, on boolean, f array<double>")
@@ -145,6 +213,11 @@ def test_speculative_operator(spark):
     assert (got[1].begin, got[1].end) == (1000, 3000) and got[1].n_analysed < 40 and got[1].n_frames == 400
     assert (got[2].begin, got[2].end) == (0, 0)
     assert sp.speculative_intervals(df.limit(0), "on", "f", 0.5).count() == 0
+    dark = df.withColumn("on", F.lit(False))
+    looks = sp.by_features(dark, "on", "f", 0.5, 10_000_000, MS)
+    work = sp.looked_at(looks).first()  # videos without an interval count too
+    assert sp.grown(looks).count() == 0 and work.n_frames == 401 and 0 < work.n_analysed < 42
+    assert sp.looked_at(sp.by_features(df.limit(0), "on", "f", 0.5)).first() == (0, 0, 0)
 
 
 def test_empty_looks_far_away_do_not_join(spark):

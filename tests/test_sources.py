@@ -7,7 +7,7 @@ from cuelark.plans import presets
 from cuelark.plans.strategies import KEYS, framewise, plan, speculative
 from cuelark.sinks import subtitles
 from cuelark.sources import config
-from cuelark.sources.raw_video import RawFrames
+from cuelark.sources.raw_video import RawFrames, image_of
 
 TEXT = """
 source: [a.mp4, b.mp4]
@@ -63,7 +63,10 @@ def folder(tmp_path_factory):
     for video in (1, 2):
         img = np.zeros((200, 12, 16, 3), np.uint8)
         img[:, :, :, 0] = np.arange(200)[:, None, None]
-        np.savez(home / f"{video}.npz", pts=np.arange(200) * 40, key=np.arange(200) % 50 == 0, img=img)
+        beside = {} if video == 2 else {"img": img}  # pixels in the same file, and in one of their own
+        np.savez(home / f"{video}.npz", pts=np.arange(200) * 40, key=np.arange(200) % 50 == 0, **beside)
+        if video == 2:
+            np.save(home / "2.npy", img)
     (home / "notes.txt").write_text("no video")
     return str(home)
 
@@ -108,6 +111,10 @@ def test_from_pixels_to_subtitles(spark, tmp_path):
     assert written[0][0] == "[Script Info]" and written[-1][0].endswith("Subtitle_Dialog_1")
     texts = recognise.interval_texts(found, frames, [lambda image, mask: "seen", lambda image, mask: recognise.one_line("a\nb\n\f")])
     assert {r.text for r in texts.collect()} == {"seen@ab"}
+    sizes = [lambda image, mask: "", lambda image, mask: f"{image.shape[1]}x{image.shape[0]} {mask.shape[1]}x{mask.shape[0]}"]
+    texts = recognise.interval_texts(found, frames, sizes, crop=lambda image: image[10:30, 5:45], text_mask=lambda crop: crop[..., 0])
+    assert {r.text for r in texts.collect()} == {"40x20 40x20"}  # no separator before the first text; the mask is the crop's
+    texts = recognise.interval_texts(found, frames, [lambda image, mask: "seen", lambda image, mask: recognise.one_line("a\nb\n\f")])
     assert subtitles.ocr_lines(texts).where("video_id = 2").orderBy("ord").first().line == "Subtitle_Dialog_0,seen@ab"
 
 
@@ -151,8 +158,37 @@ def test_a_whole_run(spark, tmp_path):
     sparse = config.parse(f"{{source: [{home}], destination: [x], strategy: prk, preset: default, engine: speculative}}")
     frames = spark.read.format("raw_frames").load(str(home))
     work = runner.work_of(frames, sparse, TimeBase(1, 1000)).first()
-    assert work.n_frames in (260, 520) and work.n_analysed < work.n_frames
-    assert runner.intervals_of(frames, sparse, TimeBase(1, 1000)).count() >= 2
+    assert work.n_frames == 520 and work.n_analysed < work.n_decoded < work.n_frames
+    whole = runner.intervals_of(frames, sparse, TimeBase(1, 1000))
+    assert whole.count() >= 2
+    bare = spark.read.format("raw_frames").option("pixels", "false").load(str(home))
+    assert {r.h for r in bare.collect()} == {0}
+    lazy = runner.intervals_of(bare, sparse, TimeBase(1, 1000), image_of(str(home)))
+    assert sorted(map(str, lazy.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_sparse_looks_read_few_pixels(spark, tmp_path):
+    """Only the frames looked at are fetched: all others may be missing."""
+    from cuelark.plans import presets
+    from cuelark.operators import speculative as sp, vision
+
+    params = next(iter(presets.PRESETS["prk"].values()))
+    img = np.zeros((240, 60, 96, 3), np.uint8)
+    img[100:200, 54:58, 10:60] = 255
+    fetched = []
+
+    def of(pdf):
+        def image(i):
+            fetched.append(i)
+            return img[i]
+
+        return image
+
+    look = vision.looks("prk", params, "Dialog", "DialogFeat", of)
+    video = sp.Video(np.arange(240) * 40, np.arange(240) % 60 == 0, look(None), 0.1, 10**9)
+    spans = [(g.begin // 40, g.end // 40) for g in video.run() if g.first_main]
+    assert spans == [(100, 200)] and len(fetched) == len(set(fetched)) == video.analysed < 24
+    assert video.analysed < video.decoded < 240
 
 
 def test_projection_models(spark, tmp_path):
