@@ -148,7 +148,10 @@ def sparse_looks(frames: DataFrame, look_of: Callable[[pd.DataFrame], Look], fla
         out = pd.DataFrame(rows, columns=["begin", "end", "n_points", "feat_sum", "first_main", "ocr_pts"])
         return out.assign(video_id=pdf["video_id"].iloc[0], main_flag=flag, style="Default", seq=[*range(len(rows) - 1), -1], n_frames=len(pdf), n_decoded=video.decoded, n_analysed=video.analysed)
 
-    return frames.groupBy("video_id").applyInPandas(grow, GROWN)
+    # The rows are small and the looks dear: a stated number of partitions, so that none are put together by their bytes.
+    spark = frames.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return frames.repartition(parts, "video_id").groupBy("video_id").applyInPandas(grow, GROWN)
 
 
 def by_features(frames: DataFrame, flag: str, feature: str, threshold: float, empty_gap: int = 0, base: TimeBase = MICROS) -> DataFrame:

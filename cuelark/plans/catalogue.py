@@ -605,7 +605,7 @@ def _picture_looks(spark, sf_dir, key):
     params = next(iter(PRESETS[key].values()))
     own = plan(key, params)
     look = vision.looks(key, params, own.flags[0], own.feature, image_of)
-    return own, speculative.sparse_looks(_held_frames(spark, sf_dir), look, own.flags[0], sparse_threshold(own), 1000, HOURS)
+    return own, speculative.sparse_looks(_held_frames(spark, sf_dir), look, own.flags[0], sparse_threshold(own), 10_000, HOURS)
 
 
 @query("speculative_pixels")
