@@ -17,6 +17,7 @@ from cuelark.functions.timebase import MICROS, TimeBase, div, format_timestamp,
 from cuelark.operators import frames as fr
 from cuelark.operators import intervals as it
 from cuelark.operators import recognise, speculative, vision
+from cuelark.plans import growth_sql as gs
 from cuelark.plans import pixel_sql as ps
 from cuelark.plans.presets import PRESETS
 from cuelark.plans.strategies import KEYS, SPEAKERS, classify_speaker, framewise, plan, sparse_plan, sparse_threshold
@@ -588,7 +589,14 @@ def _event_looks(spark, sf_dir):
     return speculative.by_features(rows, "dialog", "f", 0.5, 300, HOURS)
 
 
-@query("speculative_intervals")
+_GROWN = f"WITH RECURSIVE {FP}, {gs.grown_ctes('kf', 'dialog', '[dialog::INT::DOUBLE]', 0.5, TICKS[300])}"
+_VECTORS_GROWN = f"WITH RECURSIVE {VP}, kv AS (SELECT *, frame_idx % 12 = 0 AS is_key FROM vf), {gs.grown_ctes('kv', 'dialog', 'feat::DOUBLE[]', 1.3, 1_000_000)}"
+
+
+@query(
+    "speculative_intervals",
+    f"""{_GROWN} SELECT video_id, 'dialog' AS main_flag, b AS "begin", e AS "end", 'Default' AS style, n_points, true AS first_main, fp AS ocr_pts, seq, n_frames, n_decoded, n_analysed FROM gr JOIN wk USING (video_id)""",
+)
 def speculative_intervals(spark, sf_dir):
     return speculative.grown(_event_looks(spark, sf_dir)).drop("feat_sum")
 
@@ -626,15 +634,26 @@ def speculative_pixel_work(spark, sf_dir):
     return speculative.looked_at(_picture_looks(spark, sf_dir, "otl")[1])
 
 
+def _sparse_sql(key: str) -> str:
+    """The steps after growing: gaps filled, or folds around the removal of what is short."""
+    if key == "prk":
+        return f"{_VECTORS_GROWN}, {resorted('gr', 's')}, {gap_sql('s', 'gp', 'Dialog', 300_000, 1.0)} {IV} gp"
+    least = 300 if key == "otl" else next(iter(PRESETS["bcs"].values())).get("iirPassDenoiseMinTime", 300)
+    return f"{_VECTORS_GROWN}, {gs.fold_ctes('gr', 'm1', 1.3, 64)}, kept AS (SELECT * FROM m1 WHERE e - b >= {least * 1000}), {gs.fold_ctes('kept', 'm2', 1.3, 64)} {IV} m2"
+
+
 for _key in ("prk", "otl", "bcs"):
 
-    @query(f"speculative_{_key}")
+    @query(f"speculative_{_key}", _sparse_sql(_key))
     def run_sparse(spark, sf_dir, key=_key):
         own = replace(plan(key, next(iter(PRESETS[key].values())) | {"featureJumpThreshold": 1.3}), merge_below=1.3)
         return speculative_plan(flagged(spark, sf_dir, key), own, 1000, MEDIUM).select(*IV_COLUMNS)
 
 
-@query("speculative_work")
+_WORK = ", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in ("n_frames", "n_decoded", "n_analysed"))
+
+
+@query("speculative_work", f"{_GROWN} SELECT {_WORK} FROM wk")
 def speculative_work(spark, sf_dir):
     return speculative.looked_at(_event_looks(spark, sf_dir))
 
