@@ -55,7 +55,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), home=sharding.map_home(spark, f"op10 {sf_dir}"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_minhash, op3_decontamination, op4_pii, op5_spotsigs, op6_toxicity, op7_quality, op8_html, op9_mixing, op10_sharding)}
+def spotsigs_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair search of op5's fingerprints, beside its query, which compares given pairs."""
+    return spotsigs.near_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_minhash, op3_decontamination, op4_pii, op5_spotsigs, op6_toxicity, op7_quality, op8_html, op9_mixing, op10_sharding, spotsigs_near_pairs)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -166,6 +171,22 @@ SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, array_to_string(ts, ' '
   CASE WHEN len(ts) + len(xs) = 0 THEN 1.0 ELSE len(list_intersect(ts, xs))::DOUBLE / (len(ts) + len(xs) - len(list_intersect(ts, xs))) END::DOUBLE AS near_next FROM j
 """
 
+#: All pairs of different fingerprints that share a signature.
+ORACLE_SQL["spotsigs_near_pairs"] = rf"""
+WITH common AS (SELECT [{", ".join(f"'{w}'" for w in spotsigs.COMMON)}] AS c),
+ws AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+f AS (SELECT doc_id, unnest(list_prepend('', ws)) AS w, unnest(range(len(ws) + 1)) AS i FROM ws),
+k AS (SELECT f.*, w = '' OR list_contains(c, w) AS anchor FROM f, common),
+r AS MATERIALIZED (SELECT *, sum((NOT anchor)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM k),
+content AS MATERIALIZED (SELECT doc_id, nth, w || coalesce(' ' || lead(w, 1) OVER o, '') || coalesce(' ' || lead(w, 2) OVER o, '') AS chain FROM r WHERE NOT anchor WINDOW o AS (PARTITION BY doc_id ORDER BY nth)),
+sig AS (SELECT DISTINCT a.doc_id, substr(md5(c.chain), 1, 8) AS s FROM r a JOIN content c ON a.anchor AND c.doc_id = a.doc_id AND c.nth = a.nth + 1),
+fp AS (SELECT doc_id, list(s ORDER BY s) AS s FROM sig GROUP BY doc_id),
+cl AS MATERIALIZED (SELECT s, min(doc_id) AS id, len(s) AS n FROM fp GROUP BY s),
+e AS MATERIALIZED (SELECT id, n, unnest(s) AS s FROM cl),
+p AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE AS same, a.n + b.n AS n FROM e a JOIN e b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n)
+SELECT a, b, same / (n - same) AS likeness FROM p WHERE same / (n - same) >= 0.8
+"""
+
 #: Sainte-Laguë by ranking every quotient; targets by raising the level source by source.
 ORACLE_SQL["op9_mixing"] = r"""
 WITH RECURSIVE d AS (

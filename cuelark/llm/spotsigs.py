@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelark.llm.joins import spread_join
 from cuelark.llm.storage import cut
 
 #: Common words: they anchor chains and do not count in them. Fixed values.
@@ -130,7 +131,9 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     each meeting its own and the next partition only; within them two sets meet
     if their rarest signatures, as many as must overlap, have one in common; then
     lengths and the exact Jaccard decide. Documents without signatures pair with
-    none; null ids are left out; nothing is capped.
+    none; null ids are left out; nothing is capped. A signature of many sets is
+    dealt over several tasks. An empty table gives an empty one; other columns are
+    not read.
     """
     sets = docs.where("doc_id is not null").select("doc_id", signatures(F.col("text")).alias("s")).where("size(s) > 0")
     classes = cut(sets.groupBy("s").agg(F.min("doc_id").alias("id")).withColumn("part", F.floor(F.log(F.size("s").cast("double")) / F.log(F.lit(1 / least))).cast("int")))
@@ -138,8 +141,8 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     often = every.groupBy("sig").agg(F.count("*").alias("df"))
     ranked = every.join(often, "sig").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("r"))
     prefix = F.size("r") - F.ceil(F.size("r") * least).cast("int") + 1
-    keys = ranked.join(classes.select("id", "part"), "id").select("id", "part", F.explode(F.transform(F.slice("r", F.lit(1), prefix), lambda x: x["sig"])).alias("sig"))
+    keys = cut(ranked.join(classes.select("id", "part"), "id").select("id", "part", F.explode(F.transform(F.slice("r", F.lit(1), prefix), lambda x: x["sig"])).alias("sig")))
     other = keys.select(F.col("id").alias("id_2"), F.col("part").alias("part_2"), "sig")
-    meets = keys.join(other, "sig").where("part_2 - part in (0, 1) and id <> id_2").select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+    meets = spread_join(keys, other, ["sig"]).where("part_2 - part in (0, 1) and id <> id_2").select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
     left, right = classes.select(F.col("id").alias("a"), F.col("s").alias("s_a")), classes.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
     return meets.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("s_a"), F.col("s_b"), least).alias("likeness")).where(F.col("likeness") >= least)
