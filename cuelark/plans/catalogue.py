@@ -677,7 +677,7 @@ def _flag_names(key: str) -> str:
     return ", ".join(f'"{f.name}"' for f in vision.STRATEGIES[key][1].fields)
 
 
-_PIXEL_CTES = {"mr": ps.mr_ctes, "md": ps.md_ctes, "pkm": ps.pkm_ctes, "bdr": ps.bdr_ctes, "prk": ps.prk_ctes, "lcb-mech": ps.mech_ctes}
+_PIXEL_CTES = {"mr": ps.mr_ctes, "md": ps.md_ctes, "pkm": ps.pkm_ctes, "bdr": ps.bdr_ctes, "prk": ps.prk_ctes, "lcb": ps.lcb_ctes, "lcb-mech": ps.mech_ctes}
 
 
 def in_millionths(feature) -> F.Column:

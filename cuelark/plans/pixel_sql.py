@@ -148,6 +148,26 @@ m1 AS (SELECT k, n, grey, max(t) OVER (PARTITION BY k, n, x ORDER BY y {around})
 fl AS (SELECT k, n, avg(CASE WHEN t > 0 THEN 0 ELSE grey END) < 10 AS "DialogBgColour", avg((grey > 128)::INT) * 255 > 10 AS "DialogTextMin", '1000000,1000000,1000000,1000000' AS "DialogTextFeat" FROM m1 GROUP BY k, n)"""
 
 
+def lcb_ctes(p: dict) -> str:
+    """Local means over 9 by 9 with repeated edges; an opening by a line of 31; a top hat by a disc of 5, whose first and last rows are one pixel."""
+    box = Rect.source(WIDTH, HEIGHT).part(*p["dialogRect"])
+    left, right, top, bottom = box.corners
+    near = lambda c, lo, hi: f"greatest({lo}, least({hi - 1}, {c}))"
+    over = lambda f, v, axis, n: f"{f}({v}) OVER (PARTITION BY k, n, {'y' if axis == 'x' else 'x'} ORDER BY {axis} ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
+    side = lambda f, v, n: f"{f}({v}, {n}) OVER (PARTITION BY k, n, x ORDER BY y)"
+    disc = lambda f, row, v, none: f"{f}({over('max' if f == 'greatest' else 'min', row, 'y', 1)}, coalesce({side('lag', v, 2)}, {none}), coalesce({side('lead', v, 2)}, {none}))"
+    return f"""l0 AS MATERIALIZED (SELECT k, n, x, y, grey, (grey > 128)::INT AS t FROM px WHERE {inside(p["dialogRect"])}),
+l1 AS MATERIALIZED (SELECT a.k, a.n, a.x, a.y, sum(b.grey) AS s FROM (SELECT k, n, x, y, {near("x + d", left, right)} AS at FROM l0, range(-4, 5) r(d)) a JOIN l0 b ON b.k = a.k AND b.n = a.n AND b.y = a.y AND b.x = a.at GROUP BY a.k, a.n, a.x, a.y),
+l2 AS (SELECT a.k, a.n, a.x, a.y, sum(b.s) AS s FROM (SELECT k, n, x, y, {near("y + d", top, bottom)} AS at FROM l0, range(-4, 5) r(d)) a JOIN l1 b ON b.k = a.k AND b.n = a.n AND b.x = a.x AND b.y = a.at GROUP BY a.k, a.n, a.x, a.y),
+l3 AS (SELECT l0.k, l0.n, l0.x, l0.y, t, (grey > round_even(s / 81.0::DOUBLE, 0))::INT AS u FROM l0 JOIN l2 ON l2.k = l0.k AND l2.n = l0.n AND l2.x = l0.x AND l2.y = l0.y),
+l4 AS (SELECT k, n, x, y, t, {over("min", "u", "x", 15)} AS u, {over("min", "t", "x", 2)} AS r FROM l3),
+l5 AS (SELECT k, n, x, y, t, {over("max", "u", "x", 15)} AS u, {disc("least", "r", "t", 1)} AS o FROM l4),
+l6 AS (SELECT k, n, x, y, t, u, o, {over("max", "o", "x", 2)} AS r FROM l5),
+l7 AS (SELECT k, n, t, u, {disc("greatest", "r", "o", 0)} AS o FROM l6),
+st AS (SELECT k, n, avg(u * 255) / {max(box.area, 1)} AS bg, avg((t - least(o, t)) * 255) / {max(box.area, 1)} AS tx FROM l7 GROUP BY k, n),
+fl AS (SELECT k, n, bg > 100e-6 AND tx > 1e-6 AND tx < 120e-6 AS "Dialog", tx > 1e-6 AND tx < 120e-6 AS "DialogText", round(tx, 6) AS "DialogTextVal", bg > 100e-6 AS "DialogBg", round(bg, 6) AS "DialogBgVal" FROM st)"""
+
+
 def sobel_ctes() -> str:
     """Both derivatives of each colour with reflected borders, saturated and put together step by step."""
     down = {c: f"coalesce(lead({c}) OVER v, lag({c}) OVER v)" for c in "bgr"}

@@ -67,7 +67,7 @@ KINDS = (
     Picture(even(128), ((4, 188, 78, 106, even(250)),), 20, 90, bar=even(30)),  # a white band
     Picture(even(128), (), 30, 94, bar=even(255)),  # plain white text
     Picture(even(128), CAPTION, 52, 90, bar=even(255), edge=even(0)),  # outlined text in a dark box
-    Picture(even(128)),
+    Picture(even(60), ((40, 150, 88, 90, even(110)),), 60, 94, (1, 1), 6, even(255)),  # specks of text under a line
     Picture((60, 90, 30), CAPTION, 52, 90, bar=(40, 220, 240), edge=even(0)),  # outlined coloured text
 )
 
