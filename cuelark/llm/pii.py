@@ -9,6 +9,7 @@ leftmost matches in time linear in the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ class Kind:
 
 
 CONTEXT, CONTEXT_BONUS, LEAST = 40, 0.3, 0.5
+#: Matches of a text whose lengths are summed together.
+CHUNK = 256
 
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++", "@", 0.9, r"e-?mail|mail|contact|kontakt|correo|courriel"),
@@ -91,39 +94,70 @@ def confirmed(kind: Kind, match: Column) -> Column:
     }.get(kind.name, lambda: F.lit(True))()
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is found once: a projection before may be merged into the function, which would find it at each step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, kind: Kind, order: int) -> Column:
-    """Array of (start, ord, kind, end, score) of a kind's confirmed spans, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
-    pair = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-
-    def place(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
-        return F.struct((begin + F.length(p["match"])).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), p["match"].alias("match")))).alias("out"))
-
-    placed = F.aggregate(pair, start, place, lambda acc: acc["out"])
-
-    def stands(s: Column) -> Column:
-        right = confirmed(kind, s["match"])
-        if kind.apart:
-            beside = F.concat(F.substr(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substr(text, s["start"] + F.length(s["match"]) + 1, F.lit(1)))
-            right = right & ~beside.rlike(kind.apart)
-        return right
-
-    right = F.filter(placed, stands)
-
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.words), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), (s["start"] + F.length(s["match"])).alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
-
-    empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,score:double>>")
-    counted = F.when(F.size(found) > 0, F.transform(right, scored))
-    if kind.hint:
-        counted = F.when(F.contains(text, F.lit(kind.hint)), counted)
-    counted = F.coalesce(counted, empty)
-    return counted if kind.base else F.filter(counted, lambda s: s["score"] >= LEAST)
+    """Array of (start, ord, kind, end, score) of a kind's confirmed spans, in code points, end exclusive.
+
+    A step is a match and the text between it and the last one. Running sums over
+    chunks of steps, and within its chunk for each confirmed match, tell where it
+    lies: Spark copies what an aggregate gathers at each step, so nothing is
+    gathered over all steps, and long texts take time linear in their length.
+    """
+    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,score:double>>")
+
+    def steps(found: Column, gaps: Column) -> Column:
+        def step(match: Column, i: Column) -> Column:
+            gap = F.get(gaps, i)
+            parts = [i.alias("i"), gap.alias("gap"), match.alias("match"), (F.length(gap) + F.length(match)).alias("n")]
+            if kind.apart:
+                left = F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), gap), F.lit(1))
+                right = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), F.lit(1))
+                parts.append(F.concat(left, right).alias("beside"))
+            return F.struct(*parts)
+
+        return F.transform(found, step)
+
+    def stands(step: Column) -> Column:
+        right = confirmed(kind, step["match"])
+        return right & ~step["beside"].rlike(kind.apart) if kind.apart else right
+
+    def total(every: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(every, first + 1, n), F.lit(0), lambda sum, step: sum + step["n"])
+
+    def chunk_starts(every: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor(F.size(every) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + total(every, c * CHUNK, F.lit(CHUNK)))))
+
+    def context(every: Column, step: Column) -> Column:
+        # A match has two characters at least.
+        first = F.greatest(step["i"] - CONTEXT // 2, F.lit(0))
+        last = F.transform(F.slice(every, first + 1, step["i"] - first), lambda p: F.concat(F.right(p["gap"], F.lit(CONTEXT)), F.right(p["match"], F.lit(CONTEXT))))
+        return F.right(F.concat(F.array_join(last, ""), F.right(step["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+
+    def scored(every: Column, starts: Column, step: Column) -> Column:
+        chunk = F.floor(step["i"] / CHUNK).cast("int")
+        begin = F.get(starts, chunk) + total(every, chunk * CHUNK, step["i"] - chunk * CHUNK) + F.length(step["gap"])
+        score = F.lit(kind.score) + F.when(F.lower(context(every, step)).rlike(kind.words), CONTEXT_BONUS).otherwise(0.0)
+        score = F.round(F.least(score, F.lit(1.0)), 2)
+        return _held(begin, lambda b: F.struct(b.alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), (b + F.length(step["match"])).alias("end"), score.alias("score")))
+
+    def placed(every: Column) -> Column:
+        def all_of(right: Column) -> Column:
+            return F.when(F.size(right) > 0, _held(chunk_starts(every), lambda starts: F.transform(right, lambda step: scored(every, starts, step)))).otherwise(none)
+
+        return _held(F.filter(every, stands), all_of)
+
+    def searched(found: Column) -> Column:
+        gaps = F.split(text, kind.pattern, -1)
+        return F.when(F.size(found) > 0, _held(gaps, lambda g: _held(steps(found, g), placed))).otherwise(none)
+
+    every = _held(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), searched)
+    every = F.when(F.contains(text, F.lit(kind.hint)), every).otherwise(none) if kind.hint else every
+    return every if kind.base else F.filter(every, lambda s: s["score"] >= LEAST)
 
 
 def written(found: Column) -> Column:

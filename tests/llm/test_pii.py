@@ -65,3 +65,19 @@ def test_nulls_repeats_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a@b.co", 1), (1, "a@b.co", 1), (None, None, 1)], "doc_id long, text string, email int")
     got = [(r.doc_id, r.n_email) for r in pii.find(docs).collect()]
     assert sorted(got, key=str) == [(1, 1), (1, 1), (None, 0)] and pii.find(docs.limit(0)).count() == 0
+
+
+def test_long_texts_of_many_matches(spark):
+    rng = random.Random(5)
+    text = " ".join(f"é{rng.randrange(10**6)} a{i}@b.co {card(rng)}" for i in range(20000))
+    near = "12 " * 700 + "ssn " + "12-" * 19 + " 123-45-6789 " + "7 8 " * 20 + "123-45-6789"
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(1, text), (2, near)], "doc_id long, text string")).collect()}
+    line = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base_spans(text))
+    assert got[1].n_email == 20000 and got[1].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+    assert "ssn" not in got[2].spans
+
+
+def test_context_reaches_over_matches_before(spark):
+    words = [(1, "ssn " + "12 " * 11 + "123-45-6789"), (2, "ssn " + "12 " * 14 + "123-45-6789"), (3, "ssn 123-45-6789123-45-6789"), (4, "ssn 123-45-6789 123-45-6789")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(words, "doc_id long, text string")).collect()}
+    assert "ssn:37:48" in got[1] and "ssn" not in got[2] and "ssn" not in got[3] and got[4].count("ssn:") == 2
