@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from cuelark.llm.storage import local_table
+
 #: A key is hot beyond one part in HOT_PARTS of the rows, and HOT_LEAST rows.
 HOT_PARTS, HOT_LEAST = 1000, 256
 
@@ -25,7 +27,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     if not hot:
         return left.join(right, on, how)
     schema = StructType([*(left.schema[c] for c in on), StructField("_salts", IntegerType())])
-    marks = F.broadcast(left.sparkSession.createDataFrame(hot, schema))
+    marks = F.broadcast(local_table(left.sparkSession, hot, schema))
     salts = F.coalesce("_salts", F.lit(1))
     dealt = left.join(marks, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
     copies = right.join(marks, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cuelark.llm.components import connected_components
 from cuelark.llm.joins import spread_join
-from cuelark.llm.storage import cut, staged
+from cuelark.llm.storage import cut, small_batches, staged
 from cuelark.llm.textbatch import U64, mixed, shingle_sets
 
 WORDS = 5
@@ -311,6 +311,11 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = WOR
     with a null component, not kept. Ties need no rule. An empty table gives an
     empty one; other columns are never read.
     """
+    with small_batches(docs.sparkSession):  # all that runs Python is done in here
+        return _classed(docs, num, den, k)
+
+
+def _classed(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = staged(texts.mapInArrow(partial(_fingerprints, k=k), FINGERPRINT), "fingerprints")
     known = prints.where("n > 0 and doc_id is not null")

@@ -15,8 +15,9 @@ from dataclasses import dataclass, replace
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
-from cuelark.llm.storage import cut, shared_dir
+from cuelark.llm.storage import cut, local_table, shared_dir
 
 SLOTS, SHARDS, SEED = 4096, 16, 7
 
@@ -74,7 +75,7 @@ class SlotMap:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes this version as one JSON line beside the earlier ones."""
-        spark.createDataFrame([(json.dumps(self.__dict__),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/version={self.version}")
+        local_table(spark, [(json.dumps(self.__dict__),)], StructType().add("value", StringType())).coalesce(1).write.mode("overwrite").text(f"{path}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -130,7 +131,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, at: SlotMap
     for slot, number in enumerate(plan.shard_of):
         entries.append((slot, number, begin[number]))
         begin[number] += held.get(slot, (0, 0))[1]
-    places = spark.createDataFrame(entries, "virtual_slot int, shard int, first long")
+    places = local_table(spark, entries, StructType().add("virtual_slot", IntegerType()).add("shard", IntegerType()).add("first", LongType()))
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     numbered = rows.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(places), "virtual_slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(plan.version).alias("map_version"))

@@ -10,10 +10,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SETTING = "spark.checkpoint.dir"
+#: Bytes (about) of the rows handed to a Python worker at a time; a longer row goes alone.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +43,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A table of a few rows (numbers, strings) of the driver, handed over as Arrow.
+
+    Handed over as a list, they would be copied by Python workers of a second kind,
+    which stay on the executors beside those of the operators.
+    """
+    columns = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(columns)], schema=columns), schema)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows that go to Python workers meanwhile go in batches of about BATCH_BYTES, unless the session has a bound of its own.
+
+    A batch is held several times, by the executor and its worker; 10,000 rows of long texts are many MB.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what was cut off.
 

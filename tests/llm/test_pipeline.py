@@ -1,10 +1,11 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from cuelark.llm import decontam, minhash, mixing, quality
+from cuelark.llm import decontam, joins, minhash, mixing, quality, sharding, storage
 from tests.llm.test_decontam import words
 from tests.llm.test_minhash import brute
 
@@ -102,3 +103,41 @@ def test_nulls_empty_texts_repeats_and_clashing_columns(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     home = tables(spark, tmp_path / "none", [])
     assert corpus_pipeline.run(spark, home).count() == 0
+
+
+def test_rows_of_the_driver_need_no_workers_of_another_kind(spark, tmp_path):
+    """A list given to createDataFrame is copied by RDD workers, which stay beside the operators' (LogicalRDD)."""
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    left = spark.range(2000).selectExpr("if(id < 1500, 7, id) as k", "id")
+    met = joins.spread_join(left, spark.range(2000).withColumnRenamed("id", "k"), ["k"])
+    assert "_salt" in plan(met) and "LogicalRDD" not in plan(met)
+    assert met.count() == 2000
+
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    texts.write.parquet(f"{tmp_path}/d")
+    dealt = sharding.shard(spark.read.parquet(f"{tmp_path}/d"), home=f"{tmp_path}/maps")
+    places = [x for x in plan(dealt).splitlines() if "first" in x and ("LocalRelation" in x or "LogicalRDD" in x)]
+    assert places and all("LocalRelation" in x for x in places)
+
+
+def _measured(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+
+def test_near_dedup_hands_texts_to_workers_in_batches_of_bounded_size(spark, monkeypatch):
+    seen, real = [], minhash.staged
+
+    def watched(df, name):
+        if name == "fingerprints":
+            rows = spark.range(6000, numPartitions=1).selectExpr("id", "repeat('x', 4000) as t")
+            seen.extend(rows.mapInArrow(_measured, "n long, bytes long").collect())
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "staged", watched)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "other")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sum(r.n for r in seen) == 6000 and max(r.bytes for r in seen) < 1.1 * storage.BATCH_BYTES
+    assert spark.conf.get(storage.BATCH_SETTING, None) is None
