@@ -6,9 +6,9 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelark.functions import interval as iv
 from cuelark.functions import pixel as px
@@ -24,7 +24,7 @@ from cuelark.plans.strategies import KEYS, SPEAKERS, classify_speaker, framewise
 from cuelark.plans.strategies import speculative as speculative_plan
 from cuelark.sinks import subtitles
 from cuelark.streaming import intervals as stream
-from cuelark.sources.pictures import drawn_frames, image_of
+from cuelark.sources.pictures import image_of
 from cuelark.sources.tables import embedding_frames, event_frames, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,7 +626,7 @@ def speculative_pixels(spark, sf_dir):
 def framewise_pixels(spark, sf_dir):
     """The same way frame by frame, to compare with."""
     params = next(iter(PRESETS["otl"].values()))
-    return framewise(vision.analyse(drawn_frames(_held_frames(spark, sf_dir)), "otl", params), plan("otl", params), HOURS).select(*IV_COLUMNS)
+    return framewise(vision.analyse(_held_frames(spark, sf_dir), "otl", params, image_of=image_of), plan("otl", params), HOURS).select(*IV_COLUMNS)
 
 
 @query("speculative_pixel_work")
@@ -673,6 +673,11 @@ def speaker_classes(spark, sf_dir):
 # Pixels
 
 
+def _drawable(spark, sf_dir):
+    """Events as frames with what draws their pictures."""
+    return event_frames(spark, sf_dir).select("video_id", "pts", "frame_idx", "is_key", "feat")
+
+
 def _flag_names(key: str) -> str:
     return ", ".join(f'"{f.name}"' for f in vision.STRATEGIES[key][1].fields)
 
@@ -689,18 +694,13 @@ for _key in KEYS:
 
     @query(f"pixel_{_key.replace('-', '_')}", ps.flags_of(_key, FP, _flag_names(_key), _PIXEL_CTES[_key](ps.first(_key))) if _key in _PIXEL_CTES else None)
     def run_pixels(spark, sf_dir, key=_key):
-        flags = vision.analyse(drawn_frames(event_frames(spark, sf_dir)), key, next(iter(PRESETS[key].values())))
+        flags = vision.analyse(_drawable(spark, sf_dir), key, next(iter(PRESETS[key].values())), image_of=image_of)
         alike = {"double": lambda c: F.round(c, 6), "array<double>": in_millionths}
         return flags.select(*[alike.get(kind, F.col)(F.col(c) if kind in alike else c).alias(c) for c, kind in flags.dtypes])
 
 
-def _per_frame(frames: DataFrame, columns: str, run: Callable[[np.ndarray], tuple]) -> DataFrame:
-    def each(batches):
-        for pdf in batches:
-            rows = [run(np.frombuffer(i, np.uint8).reshape(h, w, 3)) for h, w, i in zip(pdf.h, pdf.w, pdf.img, strict=True)]
-            yield pd.DataFrame({"video_id": pdf.video_id, "frame_idx": pdf.frame_idx} | {c.split()[0]: [r[k] for r in rows] for k, c in enumerate(columns.split(", "))})
-
-    return frames.select("video_id", "frame_idx", "h", "w", "img").mapInPandas(each, f"video_id long, frame_idx long, {columns}")
+def _per_frame(spark, sf_dir, columns: str, run: Callable[[np.ndarray], dict]) -> DataFrame:
+    return vision.each_frame(_drawable(spark, sf_dir), ["video_id", "frame_idx"], run, T.StructType.fromDDL(columns), image_of)
 
 
 def _per_picture_sql(flags: str, ctes: str) -> str:
@@ -709,19 +709,19 @@ def _per_picture_sql(flags: str, ctes: str) -> str:
 
 @query("dct_descriptor", _per_picture_sql("feature", f"{ps.resized_ctes('px', 'grey', [0.0, 1.0, 0.0, 1.0])}, {ps.dct_ctes()}, fl AS (SELECT * FROM ft)"))
 def dct_descriptor(spark, sf_dir):
-    rows = _per_frame(drawn_frames(event_frames(spark, sf_dir)), "feature array<double>", lambda x: (px.dct_feature(px.resized(px.grey(x), 150, 50)).tolist(),))
+    rows = _per_frame(spark, sf_dir, "feature array<double>", lambda x: {"feature": px.dct_feature(px.resized(px.grey(x), 150, 50)).tolist()})
     return rows.withColumn("feature", in_millionths(F.col("feature")))
 
 
 @query("rgb_sobel", _per_picture_sql("strength, most", ps.sobel_ctes()))
 def rgb_sobel(spark, sf_dir):
-    rows = _per_frame(drawn_frames(event_frames(spark, sf_dir)), "strength double, most int", lambda x: (float((e := px.edges(x)).mean()), int(e.max())))
+    rows = _per_frame(spark, sf_dir, "strength double, most int", lambda x: {"strength": float((e := px.edges(x)).mean()), "most": int(e.max())})
     return rows.withColumn("strength", F.round("strength", 6))
 
 
 @query("component_filter")
 def component_filter(spark, sf_dir):
-    return _per_frame(drawn_frames(event_frames(spark, sf_dir)), "regions int, letter_area int", lambda x: (len(px.components(m := px.mask(px.grey(x) > 160))[1]) - 1, vision.letters(m)[1]))
+    return _per_frame(spark, sf_dir, "regions int, letter_area int", lambda x: {"regions": len(px.components(m := px.mask(px.grey(x) > 160))[1]) - 1, "letter_area": vision.letters(m)[1]})
 
 
 @query("pca_features")
@@ -746,7 +746,7 @@ SELECT iv.video_id, seq, t || '@' || t AS text FROM iv JOIN rd ON rd.video_id =
 )
 def interval_texts(spark, sf_dir):
     reader = lambda image, mask: f"{image.shape[1]}x{image.shape[0]}:{int(image.mean())}"
-    return recognise.interval_texts(one(spark, sf_dir), drawn_frames(event_frames(spark, sf_dir)), [reader, reader]).select("video_id", "seq", "text")
+    return recognise.interval_texts(one(spark, sf_dir), _drawable(spark, sf_dir), [reader, reader], image_of=image_of).select("video_id", "seq", "text")
 
 
 _BOXED = PRESETS["bdr"]["default"] | {"dialogRect": [0.25, 0.75, 0.8, 0.98], "bgMinBrightness": 0, "bgMaxBrightness": 60, "bgMinMeanVal": 100.0, "textMinBrightness": 200, "textMaxBrightness": 255}
@@ -762,7 +762,7 @@ SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY b, seq) - 1 A
 )
 def pixels_to_subtitles(spark, sf_dir):
     """The whole way: drawn frames, their analysis, a plan, and subtitle lines."""
-    flags = vision.analyse(drawn_frames(event_frames(spark, sf_dir)), "bdr", _BOXED)
+    flags = vision.analyse(_drawable(spark, sf_dir), "bdr", _BOXED, image_of=image_of)
     return subtitles.subtitle_lines(framewise(flags, plan("bdr", _BOXED), HOURS))
 
 

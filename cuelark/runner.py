@@ -12,13 +12,13 @@ import argparse
 import time
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelark.functions.timebase import TimeBase
 from cuelark.operators import recognise, vision
 from cuelark.operators.geometry import Rect
+from cuelark.operators.recognise import image_in_row
 from cuelark.operators.speculative import looked_at, sparse_looks
 from cuelark.plans.strategies import framewise, sparse_plan, sparse_threshold
 from cuelark.sinks import subtitles
@@ -26,11 +26,6 @@ from cuelark.sources import config
 from cuelark.sources.raw_video import RawFrames, image_of
 
 
-def image_in_row(pdf):
-    """The image of a row that has its pixels."""
-    return lambda i: np.frombuffer(pdf["img"][i], np.uint8).reshape(pdf["h"][i], pdf["w"][i], 3)
-
-
 def looks_of(frames: DataFrame, run: config.Run, base: TimeBase, image_of: Callable = image_in_row, **extra) -> DataFrame:
     """The sparse looks of a speculative run; ``image_of`` says how a frame's image is fetched."""
     look = vision.looks(run.strategy, run.params, run.plan.flags[0], run.plan.feature, image_of, run.content, **extra)

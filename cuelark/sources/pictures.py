@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 WIDTH, HEIGHT = 192, 108
 #: The most bars, and one; a value's whole part modulo this is its number.
 MOST_BARS = 13
+#: Drawn rows of a batch, about 4 MB.
+BATCH_ROWS = 64
 
 Colour = tuple[int, int, int]  # blue, green, red
 Box = tuple[int, int, int, int, Colour]  # left, right, top, bottom (not included)
@@ -86,10 +88,13 @@ def drawn(value: float) -> bytes:
 
 
 def drawn_frames(frames: DataFrame) -> DataFrame:
-    """Frames with pixels: each has the picture of its ``feat``."""
+    """Frames with pixels: each has the picture of its ``feat``.
+
+    Rows go on in batches of BATCH_ROWS, however many come at a time: each has 62 KB.
+    """
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (whole[a : a + BATCH_ROWS] for whole in batches for a in range(0, len(whole), BATCH_ROWS)):
             yield pd.DataFrame({"video_id": pdf.video_id, "pts": pdf.pts, "frame_idx": pdf.frame_idx, "is_key": pdf.is_key, "h": HEIGHT, "w": WIDTH, "img": [drawn(v) for v in pdf.feat]})
 
     slim = frames.select("video_id", "pts", "frame_idx", "is_key", "feat")
@@ -97,8 +102,9 @@ def drawn_frames(frames: DataFrame) -> DataFrame:
 
 
 def image_of(pdf: pd.DataFrame):
-    """For ``vision.looks``: the image of a row is drawn when it is looked at."""
-    return lambda i: np.frombuffer(drawn(pdf["feat"][i]), np.uint8).reshape(HEIGHT, WIDTH, 3)
+    """For ``vision.looks`` and ``vision.analyse``: the image of a row is drawn when it is looked at."""
+    feat = pdf["feat"].to_numpy()
+    return lambda i: np.frombuffer(drawn(feat[i]), np.uint8).reshape(HEIGHT, WIDTH, 3)
 
 
 def pictures_sql() -> str:

@@ -190,3 +190,87 @@ def test_bubbles():
     cut[8:14, 10:40] = 20
     f = flags("md", image)
     assert f["LeftBubble"] and not f["RightBubble"]
+
+
+PIXEL_QUERIES = [*[f"pixel_{k.replace('-', '_')}" for k in KEYS], "component_filter", "dct_descriptor", "rgb_sobel", "framewise_pixels", "interval_texts", "pixels_to_subtitles"]
+
+
+@pytest.mark.parametrize("name", PIXEL_QUERIES)
+def test_no_pixel_leaves_its_worker(spark, name):
+    """Rows that go to and from workers have what draws a picture; 10,000 rows of pixels are 622 MB."""
+    from cuelark.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "img" not in plan and "feat" in plan
+
+
+def test_a_picture_is_worked_out_once(spark):
+    from pyspark.sql import types as T
+
+    calls = []
+
+    def run(x):
+        calls.append(1)
+        return {"total": int(x.sum()), "row": x[0, :, 0].astype(float).tolist()}
+
+    images = [rng.integers(0, 256, (4, 5, 3)).astype(np.uint8) for _ in range(3)]
+    of = vision.ByPicture(run)
+    for i in (0, 1, 2, 0, 1, 2):
+        assert of(images[i]) == run(images[i])
+    assert len(calls) == 6 + 3
+    assert of(images[0].reshape(5, 4, 3)) == run(images[0].reshape(5, 4, 3))  # the same bytes in another shape
+    images[0][0, 0, 0] ^= 1
+    assert of(images[0]) == run(images[0])  # an image that changed in its place
+    rows = [(1 + i % 2, i, i, i % 25 == 0, *images[i % 3].shape[:2], bytearray(images[i % 3].tobytes())) for i in range(150)]
+    frames = spark.createDataFrame([*rows, (3, 0, 0, True, None, None, None)], "video_id long, pts long, frame_idx long, is_key boolean, h int, w int, img binary")
+    columns = T.StructType.fromDDL("total int, row array<double>")
+    fetch = lambda pdf: lambda i: images[pdf["frame_idx"][i] % 3]
+    want = sorted((1 + i % 2, i, int(x.sum()), x[0, :, 0].astype(float).tolist()) for i in range(150) for x in [images[i % 3]])
+    stored = vision.each_frame(frames, ["video_id", "frame_idx"], run, columns)
+    fetched = vision.each_frame(frames.where("img is not null").select("video_id", "frame_idx"), ["video_id", "frame_idx"], run, columns, fetch)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, fetched.collect())) == want
+
+
+def test_kept_pictures_have_a_bound(monkeypatch):
+    monkeypatch.setattr(vision, "KEPT_BYTES", 100)
+    calls = []
+    of = vision.ByPicture(lambda x: calls.append(1) or int(x.sum()))
+    small = [np.full((2, 5, 3), i, np.uint8) for i in range(5)]
+    for x in (*small, *small, small[4], small[3]):
+        assert of(x) == int(x.sum())
+    assert len(calls) == 10 and of.held == 90 and len(of.kept) == 3
+    large = np.ones((7, 5, 3), np.uint8)
+    assert of(large) == of(large) == 105 and len(calls) == 12 and of.held == 90
+
+
+def test_a_worker_keeps_pictures_for_its_next_task():
+    from pyspark import cloudpickle
+
+    calls = []
+    monday, tuesday = vision.ByPicture(lambda x: int(x.sum()) + 1), vision.ByPicture(lambda x: int(x.sum()) + 2)
+    sent = cloudpickle.dumps(monday)
+    first = cloudpickle.loads(sent)
+    first.run = lambda x: calls.append(1) or 7
+    x = np.ones((2, 2, 3), np.uint8)
+    again = cloudpickle.loads(sent)
+    assert first(x) == again(x) == 7 and calls == [1]
+    assert cloudpickle.loads(cloudpickle.dumps(tuesday))(x) == 14  # another function has pictures of its own
+    assert cloudpickle.loads(sent)(x) == 13
+
+
+def test_drawn_rows_go_in_small_batches():
+    import pandas as pd
+
+    from cuelark.sources import pictures
+
+    class Frames:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            n = 1000
+            return list(run([pd.DataFrame({"video_id": 1, "pts": range(n), "frame_idx": range(n), "is_key": True, "feat": np.arange(n) / 3})]))
+
+    parts = pictures.drawn_frames(Frames())
+    assert max(map(len, parts)) == 64 and [i for p in parts for i in p.frame_idx] == list(range(1000))
+    assert all(img == pictures.drawn(i / 3) for p in parts for i, img in zip(p.frame_idx, p.img, strict=True))
