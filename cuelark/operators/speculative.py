@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from cuelark.functions.timebase import MICROS, TimeBase
 
 GROWN = "video_id long, main_flag string, begin long, end long, style string, n_points int, feat_sum array<double>, first_main boolean, ocr_pts long, seq long, n_frames long, n_decoded long, n_analysed long"
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in GROWN.split(", ")])
+
 #: Whether a frame, by its place, has the main flag, and its feature.
 Look = Callable[[int], tuple[bool, np.ndarray]]
 
@@ -138,20 +143,55 @@ def sparse_looks(frames: DataFrame, look_of: Callable[[pd.DataFrame], Look], fla
     analyses one of them by its place; it is called for the frames looked at only.
     See ``speculative_intervals``.
     """
-    reach = base.ticks(empty_gap)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pts", "frame_idx"], kind="stable").drop_duplicates("pts").reset_index(drop=True)
-        video = Video(pdf["pts"].to_numpy(np.int64), pdf["is_key"].fillna(False).to_numpy(bool), look_of(pdf), threshold, reach)
-        rows = [(g.begin, g.end, g.looks, g.total.tolist(), True, g.first_pts) for g in video.run() if g.first_main]
-        rows.append((0, 0, 0, [], False, 0))
-        out = pd.DataFrame(rows, columns=["begin", "end", "n_points", "feat_sum", "first_main", "ocr_pts"])
-        return out.assign(video_id=pdf["video_id"].iloc[0], main_flag=flag, style="Default", seq=[*range(len(rows) - 1), -1], n_frames=len(pdf), n_decoded=video.decoded, n_analysed=video.analysed)
-
     # The rows are small and the looks dear: a stated number of partitions, so that none are put together by their bytes.
     spark = frames.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return frames.repartition(parts, "video_id").groupBy("video_id").applyInPandas(grow, GROWN)
+    dealt = frames.repartition(parts, "video_id").sortWithinPartitions("video_id", "pts", F.asc_nulls_last("frame_idx"))
+    return dealt.mapInArrow(partial(_looks, look_of=look_of, flag=flag, threshold=threshold, reach=base.ticks(empty_gap)), GROWN)
+
+
+def _starts(video: list) -> list[int]:
+    """Where a run of equal ids begins."""
+    return [i for i, v in enumerate(video) if not i or v != video[i - 1]]
+
+
+def _videos(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, pd.DataFrame]]]:
+    """Whole videos of rows sorted by video, those that end with a batch together; only the last one is held."""
+    held: list[pd.DataFrame] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        video, rows = batch.column("video_id").to_pylist(), batch.to_pandas()
+        starts = _starts(video)
+        out = []
+        for a, b in zip(starts, [*starts[1:], len(video)], strict=True):
+            if held and video[a] != name:
+                out.append((name, held[0] if len(held) == 1 else pd.concat(held)))
+                held = []
+            name = video[a]
+            held.append(rows.iloc[a:b])
+        yield out
+    if held:
+        yield [(name, pd.concat(held))]
+
+
+def _looks(batches: Iterator[pa.RecordBatch], look_of: Callable[[pd.DataFrame], Look], flag: str, threshold: float, reach: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``sparse_looks`` for sorted frames; a batch of many short videos is one of results, too."""
+    for videos in _videos(batches):
+        rows = []
+        for name, pdf in videos:
+            pts = pdf["pts"].to_numpy(np.int64)
+            first = np.append(True, pts[1:] != pts[:-1])
+            if not first.all():
+                pdf, pts = pdf[first], pts[first]
+            pdf.index = pd.RangeIndex(len(pts))
+            video = Video(pts, pdf["is_key"].fillna(False).to_numpy(bool), look_of(pdf), threshold, reach)
+            found = [g for g in video.run() if g.first_main]
+            work = len(pts), video.decoded, video.analysed
+            rows += [(name, flag, g.begin, g.end, "Default", g.looks, g.total.tolist(), True, g.first_pts, k, *work) for k, g in enumerate(found)]
+            rows.append((name, flag, 0, 0, "Default", 0, [], False, 0, -1, *work))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW)], schema=ARROW)
 
 
 def by_features(frames: DataFrame, flag: str, feature: str, threshold: float, empty_gap: int = 0, base: TimeBase = MICROS) -> DataFrame:

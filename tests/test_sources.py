@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,31 @@ def test_sparse_looks_read_few_pixels(spark, tmp_path):
     assert video.analysed < video.decoded < 240
 
 
+def test_videos_come_whole_out_of_any_batches():
+    """Short videos share a batch of results, which are the work of one call each a batch; a long one spans batches."""
+    from cuelark.operators import speculative as sp
+
+    lengths = {None: 3, 1: 1, 2: 40, 3: 7, 4: 2, 5: 11}
+    rows = [(v, 10 * (i - i % 2), i, i % 5 == 0, float(v or 0) + i // 6) for v, n in lengths.items() for i in range(n)]
+    table = pa.table({c: [r[k] for r in rows] for k, c in enumerate(("video_id", "pts", "frame_idx", "is_key", "feat"))})
+
+    def look_of(pdf):
+        assert list(pdf.index) == list(range(len(pdf))) and not pdf.pts.duplicated().any()
+        return lambda i: (True, np.array([pdf["feat"][i]]))
+
+    whole = None
+    for size in (1, 2, 3, 7, 64):
+        batches = [b for a in range(0, len(rows), size) for b in table.slice(a, size).combine_chunks().to_batches()] + table.slice(0, 0).to_batches()
+        out = list(sp._looks(iter(batches), look_of, "on", 0.5, 1 << 60))
+        assert len(out) <= len(batches) + 1 and all(b.schema == sp.ARROW for b in out)
+        got = [tuple(map(str, r.values())) for b in out for r in b.to_pylist()]
+        whole = whole or got
+        assert got == whole
+    works = {r["video_id"]: r for b in out for r in b.to_pylist() if r["seq"] == -1}
+    assert {v: r["n_frames"] for v, r in works.items()} == {v: (n + 1) // 2 for v, n in lengths.items()}
+    assert sum(len(b) for b in sp._looks(iter([]), look_of, "on", 0.5, 1)) == 0
+
+
 def test_projection_models(spark, tmp_path):
     from cuelark.functions import pixel
     from cuelark.sources import models
