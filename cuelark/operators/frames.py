@@ -33,16 +33,20 @@ def remove_noise(frames: DataFrame, flag: str, value: bool = True, min_length: i
     """Flips runs of ``value`` shorter than ``min_length`` frames.
 
     Frames within ``min_length`` of either end of the video are left alone. A null
-    flag counts as false. ``min_length`` 1 changes nothing.
+    flag counts as false. ``min_length`` 1 changes nothing. All windows have the
+    frames' own order, so that any number of these share one sort: a frame that has
+    ``min_length`` frames after it lies in a short run only if the next run begins
+    among them.
     """
+    order, most = in_order(*by), max(min_length, 1)
     own = F.coalesce(F.col(flag), F.lit(False))
-    keys = [VIDEO, *by]
-    marked = frames.withColumn("_on", own).withColumn("_at", F.row_number().over(in_order(*by)))
-    marked = marked.withColumn("_run", F.col("_at") - F.row_number().over(in_order(*by, "_on")))
-    marked = marked.withColumns({"_length": F.count("*").over(Window.partitionBy(*keys, "_on", "_run")), "_n": F.count("*").over(Window.partitionBy(*keys))})
-    inner = (F.col("_at") - 1).between(F.lit(min_length), F.col("_n") - 1 - min_length)
-    flip = (F.col("_on") == F.lit(value)) & (F.col("_length") < min_length) & inner
-    return marked.withColumn(flag, F.when(flip, F.lit(not value)).otherwise(F.col("_on"))).drop("_on", "_at", "_run", "_length", "_n")
+    marked = frames.withColumn("_on", own).withColumns({"_at": F.row_number().over(order), "_new": F.col("_on") != F.lag("_on", 1).over(order)})
+    begins = F.when(F.coalesce("_new", F.lit(True)), F.col("_at"))
+    length = F.min(begins).over(order.rowsBetween(1, most)) - F.max(begins).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    inner = F.lag(F.lit(1), most).over(order).isNotNull() & F.lead(F.lit(1), most).over(order).isNotNull()
+    marked = marked.withColumns({"_length": length, "_inner": inner})
+    flip = F.col("_inner") & (F.col("_on") == F.lit(value)) & F.coalesce(F.col("_length") < min_length, F.lit(False))
+    return marked.withColumn(flag, F.when(flip, F.lit(not value)).otherwise(F.col("_on"))).drop("_on", "_at", "_new", "_length", "_inner")
 
 
 def _marked(frames: DataFrame, dst: str, distance: Column, spread: Column | None, least: float, most_spread: float, inverse: bool) -> DataFrame:

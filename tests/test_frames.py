@@ -147,3 +147,37 @@ def test_segments_with_halos_see_the_same(spark):
     parts = dealt.withColumn("ahead", F.avg("x").over(fr.in_order("segment").rowsBetween(1, 3))).withColumn("n", F.count("x").over(fr.in_order("segment").rowsBetween(1, 3))).where("own")
     got = {(r.video_id, r.frame_idx): abs(r.x - (((r.ahead or 0) * r.n + 2.0 * (3 - r.n)) / 3)) >= 3.0 for r in parts.collect()}
     assert got == whole
+
+
+@pytest.mark.parametrize("value,least", [(True, 1), (True, 2), (True, 5), (False, 3), (False, 10), (True, 40)])
+def test_noise_is_that_of_a_plain_loop(spark, value, least):
+    rng = np.random.default_rng(least)
+    rows, want = [], []
+    for video, n in ((1, 0), (2, 1), (3, 2 * least), (4, 2 * least + 1), (5, 120), (6, 33)):
+        on = [None if x < 0.1 else bool(x < 0.1 + 0.9 * p) for x, p in zip(rng.random(n), np.repeat(rng.random(n), rng.integers(1, 9, n))[:n] if n else [], strict=True)]
+        rows += [(video, i * 10 - i % 2 * 10, i, x) for i, x in enumerate(on)]
+        plain = [bool(x) for x in on]
+        out, a = list(plain), 0
+        for b in range(1, n + 1):
+            if b == n or plain[b] != plain[a]:
+                if plain[a] == value and b - a < least:
+                    for i in range(a, b):
+                        if least <= i <= n - 1 - least:
+                            out[i] = not value
+                a = b
+        want += [(video, i, x) for i, x in enumerate(out)]
+    df = spark.createDataFrame(rows, "video_id long, pts long, frame_idx long, f boolean").repartition(3)
+    got = fr.remove_noise(df, "f", value, least)
+    assert got.columns == df.columns
+    assert sorted((r.video_id, r.frame_idx, r.f) for r in got.collect()) == want
+
+
+def test_noise_needs_no_order_of_its_own(spark):
+    """Each sort of a task holds memory of its own: of eight steps all but the first need none."""
+    df = spark.createDataFrame([(1, i, i, i % 3 > 0, i % 5 > 0) for i in range(50)], "video_id long, pts long, frame_idx long, f boolean, g boolean")
+    sorts = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    many = df
+    for flag in ("f", "g"):
+        for value, least in ((False, 2), (True, 10), (False, 3), (True, 4)):
+            many = fr.remove_noise(many, flag, value, least)
+    assert sorts(many) == sorts(fr.shift(df, "s", "f", 1, False)) == 1
