@@ -135,8 +135,9 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     dealt over several tasks. An empty table gives an empty one; other columns are
     not read.
     """
-    sets = docs.where("doc_id is not null").select("doc_id", signatures(F.col("text")).alias("s")).where("size(s) > 0")
-    classes = cut(sets.groupBy("s").agg(F.min("doc_id").alias("id")).withColumn("part", F.floor(F.log(F.size("s").cast("double")) / F.log(F.lit(1 / least))).cast("int")))
+    sets = docs.where("doc_id is not null").select("doc_id", signatures(F.col("text")).alias("s"))
+    # Empty sets go after the cut: a filter before it would make all signatures once more.
+    classes = cut(sets.groupBy("s").agg(F.min("doc_id").alias("id")).withColumn("part", F.floor(F.log(F.size("s").cast("double")) / F.log(F.lit(1 / least))).cast("int"))).where("size(s) > 0")
     every = classes.select("id", F.explode("s").alias("sig"))
     often = every.groupBy("sig").agg(F.count("*").alias("df"))
     ranked = every.join(often, "sig").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("r"))

@@ -84,3 +84,14 @@ def test_near_pairs_are_all_pairs(spark):
     ids = sorted(first.values())
     want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     assert len(want) > 5 and {(r.a, r.b) for r in spotsigs.near_pairs(df, 0.7).collect()} == want
+
+
+def test_near_pairs_make_signatures_once(spark, monkeypatch):
+    """They are most of the work; texts without any, all of one class, pair with none."""
+    from cuelark.llm import spotsigs
+
+    plans, cut = [], spotsigs.cut
+    monkeypatch.setattr(spotsigs, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    df = spark.createDataFrame([(1, "the red fox and the blue bird"), (2, "the red fox and the blue bird!"), (3, ""), (4, None), (5, "..."), (None, "the red fox")], "doc_id long, text string")
+    assert spotsigs.near_pairs(df).count() == 0  # 1 and 2 are one class
+    assert sum(p.count("regexp_extract_all") for p in plans) == 1
