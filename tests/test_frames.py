@@ -181,3 +181,11 @@ def test_noise_needs_no_order_of_its_own(spark):
         for value, least in ((False, 2), (True, 10), (False, 3), (True, 4)):
             many = fr.remove_noise(many, flag, value, least)
     assert sorts(many) == sorts(fr.shift(df, "s", "f", 1, False)) == 1
+
+
+@pytest.mark.parametrize(("name", "most"), [("plan_mr", 13), ("plan_mr_s0", 11)])
+def test_plans_with_noise_sort_few_times(spark, name, most):
+    """The noise steps add none: 29 and 25 sorts before."""
+    from cuelark.plans import catalogue
+
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Sort [") <= most
